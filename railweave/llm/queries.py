@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railweave.llm.encode import count_tokens, encode_texts
+from railweave.llm.mixing import mix
+from railweave.llm.names import match_names
 from railweave.llm.percentiles import day_digests, digest_percentiles, percentiles
 from railweave.llm.spans import repeated_spans, shared_share, sharing_pairs
 from railweave.tables import table
@@ -14,6 +16,19 @@ GROUPS = ("edge_id", "period")
 PERCENTS = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    return match_names(table(spark, d, "study_area_boundary"), "area_no", "area_name", table(spark, d, "boundaries"), province_codes="prov_codes", area_code="area_code")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _named(spark, d).select("area_no", F.col("code").alias("natcode"))
+
+
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The values that mean no municipality of the list, and why."""
+    return _named(spark, d).where(F.col("code") == "").select("area_no", "step", "score")
+
+
 def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact percentiles of the travel time per edge and period."""
     found = percentiles(table(spark, d, "schedule"), GROUPS, "travel_time_seconds", PERCENTS)
@@ -39,6 +54,16 @@ def p8_sizes(spark: SparkSession, d: str) -> DataFrame:
     return count_tokens(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "n_tokens")
 
 
+def p9_draws(spark: SparkSession, d: str) -> DataFrame:
+    """Which speeches to draw, and how often."""
+    return mix(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of tokens that the draws reach."""
+    return mix(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sharing_pairs(table(spark, d, "documents"), "doc_id", "text")
 
@@ -54,7 +79,7 @@ def p10_repeats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p5_percentiles, p5_daily, p5_combined, p8_ids, p8_sizes, p10_found, p10_shares, p10_repeats)}
+    return {f.__name__: f for f in (p1_found, p1_unmatched, p5_percentiles, p5_daily, p5_combined, p8_ids, p8_sizes, p9_draws, p9_shares, p10_found, p10_shares, p10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
