@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: The characters that part values.
 DELIMITERS = ";,|/+\\t\\n\\r"
 #: Words that stand for a missing value (compared in lower case).
-PLACEHOLDERS = ("n/a", "na", "none", "null", "nan", "nil", "-", "--", "?", "unknown", "missing", "undefined", "tbd", "no data", "sin dato", "sin datos", "n.a.", "n.d.", "nd", ".", "...", "*", "x", "xxx")
+PLACEHOLDERS = ("n/a", "na", "none", "null", "nan", "nil", "-", "--", "?", "unknown", "missing", "undefined", "tbd", "no data", "sin dato", "sin datos", "n.a.", "n.d.", "nd", ".", "...", "*")
 
 _BLANK = r"[\s\u00A0\u200B\uFEFF]"
 _END = rf"(?={_BLANK}*(?:[{DELIMITERS}]|$))"

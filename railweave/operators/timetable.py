@@ -304,11 +304,15 @@ def stop_edges(
     flags = {f"t{i}": c for i, (_, c) in enumerate(conditions.items())}
     per_trip = rows.groupBy(*keys, "trip_id").agg(*[F.max(true if c is None else c).alias(n) for n, c in flags.items()])
     counts = per_trip.where(F.col("trip_id").isNotNull()).groupBy(*keys).agg(*[F.nullif(F.count_if(F.col(n)), F.lit(0)).alias(f"trip_count{s}") for n, s in zip(flags, conditions)])
-    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
-    edges = overall.join(counts, same(overall, counts), "left").drop(*[counts[k] for k in keys]).fillna({"trip_count": 0})
+
+    def with_(left: DataFrame, right: DataFrame) -> DataFrame:
+        other = {k: f"_right_{k}" for k in keys}
+        on = [F.col(k).eqNullSafe(F.col(o)) for k, o in other.items()]
+        return left.join(right.withColumnsRenamed(other), on, "left").drop(*other.values())
+
+    edges = with_(overall, counts).fillna({"trip_count": 0})
     if hourly:
-        packed = hourly_packs(rows, keys)
-        edges = edges.join(packed, same(edges, packed), "left").drop(*[packed[k] for k in keys])
+        edges = with_(edges, hourly_packs(rows, keys))
     else:
         edges = edges.withColumn("hourly_travel_times", F.lit(None).cast("string")).withColumn("hourly_trip_counts", F.lit(None).cast("string"))
     if "route_id" in keys:

@@ -100,7 +100,7 @@ class AliasIndex:
         best: dict[str, float] = {}
         for i in shared:
             alias, name = self.aliases[i]
-            size = sum(map(weight, alias)) or 1.0
+            size = sum(min(weight(c), 1.0) for c in alias) or 1.0
             d = weighted_distance(text, alias) / size
             if d < best.get(name, 9e9):
                 best[name] = d

@@ -20,7 +20,7 @@ MATRIX_VERSION = 1
 NODE_KEYS = {"layer": "node_layer", "node_id": "node_id", "x": "node_x", "y": "node_y", "in_area": "node_in_area"}
 WEIGHT_PREFIX = "w_"
 
-ANSWER = "struct<elements: array<struct<type: string, id: bigint, lat: double, lon: double, nodes: array<bigint>, tags: map<string, string>>>>"
+ANSWER = "elements array<struct<type: string, id: bigint, lat: double, lon: double, nodes: array<bigint>, tags: map<string, string>>>"
 
 
 class TemporaryFailure(RuntimeError):
@@ -44,7 +44,7 @@ def temporary(status: int | None, text: str = "") -> bool:
 
 def read_elements(spark: SparkSession, path: str) -> DataFrame:
     """The elements of a street answer: ``(type, id, lat, lon, nodes, tags)``."""
-    return spark.read.schema(ANSWER[7:-1]).json(path, multiLine=True).select(F.explode("elements").alias("e")).select("e.*")
+    return spark.read.schema(ANSWER).json(path, multiLine=True).select(F.explode("elements").alias("e")).select("e.*")
 
 
 def street_networks(elements: DataFrame, filters: dict[str, str]) -> dict[str, tuple[DataFrame, DataFrame]]:
