@@ -117,6 +117,8 @@ def digest_percentiles(digests: DataFrame, groups: Sequence[str], percents: Sequ
     groups = list(groups)
     keys = digests.select(*groups, F.shiftleft("bucket", 64 - bits).alias("key"), "n").groupBy(*groups, "key").agg(F.sum("n").alias("n"))
     found = select_ranks(keys, groups, percents)
-    last = F.col("key").bitwiseOR(F.lit((1 << (64 - bits)) - 1))
-    # the bits of a negative number run the other way, but the bucket's ends stay its first and last key
-    return found.select(*groups, "percent", _to_value("key").alias("low"), _to_value(F.col("key").bitwiseOR(F.lit(1 << (63 - bits)))).alias("value"), _to_value(last).alias("high"), "n")
+    # keys beyond those of the infinities are no numbers
+    ends = [F.lit(int(k)).cast("long") for k in ordered_bits(np.array([-np.inf, np.inf]))]
+    number = lambda key: _to_value(F.least(F.greatest(key, ends[0]), ends[1]))
+    last, middle = F.col("key").bitwiseOR(F.lit((1 << (64 - bits)) - 1)), F.col("key").bitwiseOR(F.lit(1 << (63 - bits)))
+    return found.select(*groups, "percent", number(F.col("key")).alias("low"), number(middle).alias("value"), number(last).alias("high"), "n")
