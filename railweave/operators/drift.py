@@ -11,6 +11,8 @@ partial aggregation, so that one file may hold any share of all rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,13 +45,15 @@ def separator(header: Column) -> Column:
 
 def cells(line: Column, sep: Column) -> Column:
     """The cells of ``line``, bare; separators inside double quotes part nothing."""
-    plain = F.replace(line, sep, F.lit(_CELL))
-    outside = F.concat(F.lit("["), sep, F.lit(r']|("[^"]*")'))
-    # a quoted stretch is kept as it is, any other separator becomes the cell mark
-    quoted = F.regexp_replace(F.regexp_replace(line, outside, f"{_CELL}$1"), _CELL + '(?=")', _CELL)
-    lead = F.regexp_replace(quoted, rf"(?<=^|[{_CELL}])\s*{_CELL}\"", '"')
-    risky = line.rlike(r'"[^"]*[,;\t|][^"]*"')
-    return F.transform(F.split(F.when(risky, lead).otherwise(plain), _CELL), bare)
+    plain = F.split(F.replace(line, sep, F.lit(_CELL)), _CELL)
+    quoted = None
+    for s in SEPARATORS:
+        mark = re.escape(s)
+        # a separator is put before the line, so that each cell, empty ones too, begins with one
+        one = F.regexp_extract_all(F.concat(F.lit(s), line), F.lit(rf'{mark}(\s*"(?:[^"]|"")*"(?=\s*(?:{mark}|$))|[^{mark}]*)'), F.lit(1))
+        quoted = F.when(sep == s, one) if quoted is None else quoted.when(sep == s, one)
+    # only lines with a separator inside quotes take the longer way
+    return F.transform(F.when(line.rlike(r'"[^"]*[,;\t|][^"]*"'), quoted).otherwise(plain), bare)
 
 
 def cell_kind(cell: Column) -> Column:

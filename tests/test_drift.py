@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from railweave.operators.drift import canonical_names, cell_kind, migration_steps, one_table, versions
+from railweave.operators.drift import canonical_names, cell_kind, cells, migration_steps, one_table, versions
 
 
 def feed(rows, *files):
@@ -68,3 +68,9 @@ def test_empty_tables_blank_lines_and_kinds(rows):
     assert migration_steps(f, r).count() == 0
     kinds = rows("c string", ("12",), ("-3",), ("1.5",), ("25:00:10",), ("True",), ("x",), ("",)).select(cell_kind(F.col("c")).alias("k")).collect()
     assert [k["k"] for k in kinds] == ["whole", "whole", "decimal", "clock", "truth", "text", None]
+
+
+def test_cells_with_quotes(rows):
+    lines = {'a,b,c': ["a", "b", "c"], ' "a, b" ,c': ["a, b", "c"], ',"x,y",': ["", "x,y", ""], '"a","b"': ["a", "b"], 'un"closed, b,"c,d"': ['un"closed', "b", "c,d"], "": [""]}
+    out = rows("l string", *[(k,) for k in lines]).select(cells(F.col("l"), F.lit(","))).collect()
+    assert [r[0] for r in out] == list(lines.values())
