@@ -23,7 +23,7 @@ TOKENIZERS = "/opt/tokenizers"
 #: The pattern that cuts texts into pre-tokens, as published with the vocabulary (a fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens a worker remembers between batches; beyond it starts anew, so memory stays bounded.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Longest pre-token, in characters, that is remembered.
 LONGEST = 64
 

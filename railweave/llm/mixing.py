@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from railweave.llm.encode import TOKENIZERS, count_tokens
+from railweave.llm.encode import TOKENIZERS, encoder
 from railweave.scale import cut, lookup_join, spread
 
 #: Buckets of hashed words; the most sources; gradient passes; how far posteriors are softened; trust in a label.
@@ -74,17 +74,19 @@ def members(df: DataFrame, key: str, text: str, source: str, names: Sequence[str
     prior, likelihood = learn_words(rows.where("label >= 0"), len(names))
 
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own_encoder = encoder(vocabulary)
         for batch in batches:
+            tokens = [len(ids) for ids in own_encoder.encode_batch(batch["text"])]
             p = np.array([posteriors(t, prior, likelihood) for t in batch["text"]]).reshape(-1, len(names))
             given = batch["label"].to_numpy()
             own = np.where(given == -2, p.argmax(axis=1), given) if len(p) else given
             known = given >= 0
             p[known] *= 1 - trust
             p[known, given[known]] += trust
-            yield pd.DataFrame({key: batch[key], "label": own.astype("int32"), "tokens": batch["tokens"], "p": list(p)})
+            yield pd.DataFrame({key: batch[key], "label": own.astype("int32"), "tokens": np.array(tokens, "int64"), "p": list(p)})
 
-    counted = count_tokens(rows, "text", as_column="tokens", vocabulary=vocabulary).where("label <> -1")
-    return cut(counted.mapInPandas(judged, f"`{key}` {df.schema[key].dataType.simpleString()}, label int, tokens long, p array<double>"))
+    # sizes and posteriors come from one pass, so a task has one Python worker
+    return cut(rows.where("label <> -1").mapInPandas(judged, f"`{key}` {df.schema[key].dataType.simpleString()}, label int, tokens long, p array<double>"))
 
 
 def _summed(table: DataFrame, compute, size: int) -> np.ndarray:
