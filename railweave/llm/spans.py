@@ -168,7 +168,7 @@ def sharing_pairs(df: DataFrame, key: str, text: str, least: int = LEAST, unit:
     """
     windows = cut(shared_windows(df, key, text, least, unit))
     groups = window_groups(windows, key)
-    one = groups.groupBy("first", "last", "n", "s1", "s2").agg(F.min(F.struct("h1", "h2")).alias("w"), F.max(F.struct("n")).alias("_")).select("w.h1", "w.h2", "n")
+    one = groups.groupBy("first", "last", "n", "s1", "s2").agg(F.min(F.struct("h1", "h2")).alias("w")).select("w.h1", "w.h2")
     members = cut(windows.join(one, ["h1", "h2"]).select("h1", "h2", key).distinct())
     left, right = members.withColumnRenamed(key, "doc_a"), members.withColumnRenamed(key, "doc_b")
     return left.join(right, ["h1", "h2"]).where("doc_a < doc_b").select("doc_a", "doc_b").distinct()
