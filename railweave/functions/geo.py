@@ -8,6 +8,8 @@ area's corners; for areas of many corners use ``railweave.operators.near.regions
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,8 +48,17 @@ def _on(s: Column, px: Column, py: Column) -> Column:
     return within & (_cross(s["a"], s["b"], s["c"], s["d"], px, py) == 0)
 
 
+#: Sides up to which a point's test is written out side by side, which compiles; more are an array that is folded.
+WRITTEN_OUT = 64
+
+
 def point_inside(px: Column, py: Column, area: Area) -> Column:
     """Whether a point lies in the area: an odd number of sides to its right, or on a border."""
+    listed = sides(area)
+    if len(listed) <= WRITTEN_OUT:
+        crossed = [F.when(((F.lit(b) > py) != (F.lit(d) > py)) & (px < (py - b) * (c - a) / (d - b) + a), 1).otherwise(0) for a, b, c, d in listed if b != d]
+        on = [(px >= min(a, c)) & (px <= max(a, c)) & (py >= min(b, d)) & (py <= max(b, d)) & ((py - b) * (c - a) == (px - a) * (d - b)) for a, b, c, d in listed]
+        return (sum(crossed, F.lit(0)) % 2 == 1) | reduce(or_, on)
     lines = _sides_column(area)
     over = lambda s: ((s["b"] > py) != (s["d"] > py)) & (px < (s["c"] - s["a"]) * (py - s["b"]) / F.when(s["d"] != s["b"], s["d"] - s["b"]) + s["a"])
     odd = F.size(F.filter(lines, lambda s: F.coalesce(over(s), F.lit(False)))) % 2 == 1

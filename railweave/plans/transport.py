@@ -11,6 +11,7 @@ from railweave.functions import geo, tags, text
 from railweave.functions.calendar import WEEK
 from railweave.functions.clock import PERIODS, REST, clock_seconds, clock_text, hour_band, period
 from railweave.operators import areas, network, report, streets, timetable
+from railweave.operators.near import regions_holding
 from railweave.scale import cut
 from railweave.tables import table
 
@@ -348,9 +349,8 @@ _RAY = """seg as (select part_no, unnest(list_transform(range(1, len(ring)), lam
     select node_id, part_no from nd, seg where x is not null and (s.b > y) <> (s.d > y) and x < (s.c - s.a) * (y - s.b) / (s.d - s.b) + s.a group by 1, 2 having count(*) % 2 = 1""")
 def nodes_in_parts(spark, d):
     """The part of the study area that holds each node."""
-    parts = table(spark, d, "area_parts").collect()  # fixed, 14 rows
-    shapes = F.array_compact(F.array(*[F.when(geo.point_inside(F.col("x"), F.col("y"), [[[(p["x"], p["y"]) for p in r["ring"]]]]), F.lit(r["part_no"])) for r in parts]))
-    return _nodes(spark, d).where("x is not null").select("node_id", F.explode(shapes).alias("part_no"))
+    held = regions_holding(_nodes(spark, d), "node_id", "x", "y", table(spark, d, "area_parts"), "part_no", "ring")
+    return held.select(F.col("id").alias("node_id"), F.col("region").alias("part_no"))
 
 
 @query(f"with {_NODES} select node_id, x between {BOX[0]} and {BOX[2]} and y between {BOX[1]} and {BOX[3]} as in_area from nd where x is not null and node_id in (select from_node from edges union select to_node from edges)")
