@@ -71,7 +71,10 @@ def split_packed(df: DataFrame, key: str, fields: Sequence[str], *, least: int =
     fields give no row; repeated rows and repeated values give their rows each; any other columns of
     ``df``, whatever their names, are ignored; an empty table gives an empty table.  Narrow: no shuffle.
     """
-    parsed = F.array(*[F.struct(F.lit(f).alias("field_name"), parse_packed(F.col(f).cast("string"), placeholders).alias("values")) for f in fields])
+    text = {f: F.col(f).cast("string") for f in fields}
+    if least > 1:  # two values need a delimiter between them, so a text without one isn't parsed
+        text = {f: F.when(t.rlike(f"[{DELIMITERS}]"), t) for f, t in text.items()}
+    parsed = F.array(*[F.struct(F.lit(f).alias("field_name"), F.when(t.isNotNull(), parse_packed(t, placeholders)).alias("values")) for f, t in text.items()])
     return (
         df.select(F.col(key).alias("key"), F.explode(parsed).alias("f"))
         .where(F.size("f.values") >= least)
