@@ -24,6 +24,8 @@ from railweave.scale import cut, lookup_join
 WINDOW, DEVIATIONS, LEAST_RATIO, STUCK_RUN = 31, 3.5, 1.8, 8
 #: Successive readings in a task's unit of work.
 CHUNK = 4096
+#: Readings of small sources that are judged together, on average.
+BATCH = 8_192
 #: A source's scatter (as a ratio) below which it follows a timetable, so that equal readings say nothing.
 LEAST_SCATTER = 0.004
 
@@ -48,13 +50,16 @@ def hampel(logs: np.ndarray, scatter: np.ndarray, half: int, k: float, least: fl
     return np.stack([middle, width])
 
 
-def run_lengths(values: np.ndarray) -> np.ndarray:
-    """For each place the length of the run of equal values it is in; NaN are passed over and get 0."""
+def run_lengths(values: np.ndarray, part: np.ndarray | None = None) -> np.ndarray:
+    """For each place the length of the run of equal values it is in; NaN are passed over and get 0; runs end where ``part`` changes."""
     out = np.zeros(len(values), int)
     known = np.flatnonzero(~np.isnan(values))
     if len(known):
         v = values[known]
-        starts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+        new = v[1:] != v[:-1]
+        if part is not None:
+            new |= part[known][1:] != part[known][:-1]
+        starts = np.flatnonzero(np.r_[True, new])
         sizes = np.diff(np.r_[starts, len(v)])
         out[known] = np.repeat(sizes, sizes)
     return out
@@ -66,7 +71,8 @@ def _chunked(rows: DataFrame, sources: DataFrame, chunk: int, halo: int) -> Data
     A source of at most ``chunk`` readings is one chunk.  Of a larger one, the readings per minute are
     counted; a minute goes to each chunk that it or the halo around it meets.
     """
-    small = rows.where(F.col("n") <= chunk).withColumn("chunk_no", F.lit(0).cast("long")).withColumn("before", F.lit(0).cast("long"))
+    zero = F.lit(0).cast("long")
+    small = rows.where(F.col("n") <= chunk).withColumn("chunk_no", zero).withColumn("before", zero)
     large = rows.where(F.col("n") > chunk).withColumn("slot", F.floor(F.col("at") / 60))
     slots = large.groupBy("source", "slot").agg(F.count("*").alias("c"))
     # the slots of a source are bounded by its calendar, not by its readings
@@ -109,31 +115,40 @@ def judge_readings(
     least = float(np.log(least_ratio))
 
     def judged(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["at", "tie", "id"], kind="stable").reset_index(drop=True)
-        size, number = len(g), int(g["chunk_no"].iloc[0])
+        g = g.sort_values(["source", "chunk_no", "at", "tie", "id"], kind="stable").reset_index(drop=True)
+        number, before, place = g["chunk_no"].to_numpy(), g["before"].to_numpy(), np.arange(len(g))
+        source = g["source"].to_numpy()
+        begins = np.r_[True, (source[1:] != source[:-1]) | (number[1:] != number[:-1])]
+        part = np.cumsum(begins) - 1
+        reading, second = g["reading"].to_numpy(float), g["second"].to_numpy(float)
         with np.errstate(all="ignore"):
-            reading, second = g["reading"].to_numpy(float), g["second"].to_numpy(float)
             logs, second_logs = np.log(np.where(reading > 0, reading, np.nan)), np.log(np.where(second > 0, second, np.nan))
-        scatter, level = g["scatter"].to_numpy(float), g["level"].to_numpy(float)
-        middle, width = hampel(logs, scatter, half, deviations, least)
+        # all parts in one array, half a window of nothing between them, so that no window reaches the next part
+        spaced = np.full(len(g) + half * (part[-1] + 1), np.nan)
+        wide = np.full(len(spaced), np.nan)
+        at = place + half * part
+        spaced[at], wide[at] = logs, g["scatter"].to_numpy(float)
+        middle, width = (x[at] for x in hampel(spaced, wide, half, deviations, least))
         # a row whose neighbours have no readings is judged by its source's level
-        middle = np.where(np.isnan(middle), level, middle)
+        middle = np.where(np.isnan(middle), g["level"].to_numpy(float), middle)
         with np.errstate(invalid="ignore"):
             far, second_far = np.abs(logs - middle) > width, np.abs(second_logs - middle) > width
         # rows with a wrong second reading may stand at a wrong time, so they don't part a run
         value = np.where(~np.isnan(reading), reading, second)
-        run = run_lengths(np.where(second_far & ~far | g["at"].isna().to_numpy(), np.nan, value))
-        stuck = (run >= stuck_run) & (scatter > LEAST_SCATTER)
+        run = run_lengths(np.where(second_far & ~far, np.nan, value), part)
+        stuck = (run >= stuck_run) & (g["scatter"].to_numpy(float) > LEAST_SCATTER)
         # a time slot is here as a whole, so a reading's rank in its source is that of the slot plus its place in it
-        before, place = g["before"].to_numpy(), np.arange(size)
-        rank = before + place - np.maximum.accumulate(np.where(np.r_[True, before[1:] != before[:-1]], place, 0))
-        core = (g["n"].to_numpy() <= chunk) | (rank // chunk == number)
+        first = np.maximum.accumulate(np.where(begins | np.r_[True, before[1:] != before[:-1]], place, 0))
+        core = (g["n"].to_numpy() <= chunk) | ((before + place - first) // chunk == number)
         keep = core & (far | second_far | stuck)
         return pd.DataFrame({"id": g["id"][keep], "spike": far[keep], "second_spike": second_far[keep], "stuck": stuck[keep]})
 
     timed = _chunked(rows.where(F.col("at").isNotNull()), stats, chunk, halo)
+    # small sources share a unit of work of about BATCH readings; a chunk of a large one is a unit of its own
+    total = stats.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    work = F.when(F.col("n") <= chunk, F.pmod(F.xxhash64("source"), F.lit(max(1, total // BATCH)))).otherwise(F.xxhash64("source", "chunk_no"))
     kind = df.schema["id"].dataType.simpleString()
-    found = timed.groupBy("source", "chunk_no").applyInPandas(judged, f"id {kind}, spike boolean, second_spike boolean, stuck boolean")
+    found = timed.withColumn("work", work).groupBy("work").applyInPandas(judged, f"id {kind}, spike boolean, second_spike boolean, stuck boolean")
     width = F.greatest(F.lit(deviations * _SIGMA) * F.col("scatter"), F.lit(least))
     far = [F.coalesce(F.abs(F.log(F.when(F.col(c) > 0, F.col(c))) - F.col("level")) > width, F.lit(False)) for c in ("reading", "second")]
     untimed = rows.where(F.col("at").isNull()).select("id", far[0].alias("spike"), far[1].alias("second_spike"), F.lit(False).alias("stuck")).where("spike or second_spike")
@@ -154,25 +169,26 @@ def wrong_passages(df: DataFrame, *, last_hour: int = 47, **limits) -> DataFrame
     """
     content = ["edge_id", "trip_id", "departure_time", "arrival_time", "travel_time_seconds", "service_date"]
     text = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in content])
-    keyed = df.select("sched_row", *content).withColumn("h1", F.xxhash64(text)).withColumn("h2", F.xxhash64(F.lit(7), F.reverse(text)))
-    once = keyed.groupBy("h1", "h2").agg(F.min("sched_row").alias("id"), *[F.first(c).alias(c) for c in content])
     clocks = {}
     for c in ("departure_time", "arrival_time"):
         given = F.col(c).isNotNull() & (F.trim(c) != "")
-        clocks[c] = (given, given & ~F.coalesce(valid_clock(F.col(c), last_hour), F.lit(False)), F.when(given & valid_clock(F.col(c), last_hour), clock_seconds(F.col(c))))
+        good = F.coalesce(valid_clock(F.col(c), last_hour), F.lit(False))
+        clocks[c] = (given & ~good, F.when(given & good, clock_seconds(F.col(c))))
     reading = F.when(~F.isnan("travel_time_seconds"), F.col("travel_time_seconds"))
-    took = clocks["arrival_time"][2] - clocks["departure_time"][2]
-    left = F.coalesce(clocks["departure_time"][2], clocks["arrival_time"][2] - F.greatest(F.coalesce(reading, F.lit(0.0)), F.lit(0.0)))
-    rows = once.select(
-        "h1", "h2", "id",
-        F.col("edge_id").alias("source"),
-        (_day_seconds(F.col("service_date")) + left).alias("at"),
-        reading.alias("reading"),
-        took.alias("second"),
-        F.coalesce(F.col("trip_id"), F.lit("")).alias("tie"),
-        (clocks["departure_time"][1] | clocks["arrival_time"][1]).alias("no_such_clock"),
-        F.coalesce((reading <= 0) | (took <= 0), F.lit(False)).alias("no_duration"),
-    )
+    took = clocks["arrival_time"][1] - clocks["departure_time"][1]
+    left = F.coalesce(clocks["departure_time"][1], clocks["arrival_time"][1] - F.greatest(F.coalesce(reading, F.lit(0.0)), F.lit(0.0)))
+    keyed = df.select(F.col("sched_row"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), F.reverse(text)).alias("h2"))
+    # rows of the same content are one; only what is judged goes through the shuffle, not the texts
+    told = {
+        "source": F.col("edge_id"),
+        "at": _day_seconds(F.col("service_date")) + left,
+        "reading": reading,
+        "second": took,
+        "no_such_clock": clocks["departure_time"][0] | clocks["arrival_time"][0],
+        "no_duration": F.coalesce((reading <= 0) | (took <= 0), F.lit(False)),
+    }
+    every = df.select("sched_row", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), F.reverse(text)).alias("h2"), *[v.alias(k) for k, v in told.items()])
+    rows = every.groupBy("h1", "h2", *told).agg(F.min("sched_row").alias("id")).withColumn("tie", F.col("h1"))
     rows = cut(rows)
     judged = judge_readings(rows.select("id", "source", "at", "reading", "second", "tie"), **limits)
     impossible = rows.where(F.col("no_such_clock") | F.col("no_duration")).select("id", F.lit(False).alias("spike"), F.lit(False).alias("second_spike"), F.lit(False).alias("stuck"), "no_such_clock", "no_duration")
