@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from railweave.llm.encode import TOKENIZERS, encoder
 from railweave.scale import cut, lookup_join, spread
@@ -214,7 +215,8 @@ def mix(
     soft = F.array(*[F.sum(F.col("tokens") * F.col("copies") * F.col("p")[i]) for i in range(k)])
     sums = all_rows.groupBy("label").agg(F.count("*").alias("n_docs"), F.sum("tokens").alias("available_tokens"), F.sum(F.col("tokens") * F.col("copies")).alias("drawn_tokens"), F.max("copies").alias("most_copies"))
     expected = all_rows.where("copies > 0").agg(soft.alias("e")).select(F.posexplode_outer("e").alias("label", "expected_tokens"))
-    report = named.join(sums, "label", "left").join(expected, "label", "left").fillna({"n_docs": 0, "available_tokens": 0, "drawn_tokens": 0, "most_copies": 0, "expected_tokens": 0.0}).crossJoin(sums.agg(F.coalesce(F.sum("drawn_tokens"), F.lit(0)).alias("all_tokens")))
+    report = named.join(sums, "label", "left").join(expected, "label", "left").fillna({"n_docs": 0, "available_tokens": 0, "drawn_tokens": 0, "most_copies": 0, "expected_tokens": 0.0})
+    report = report.withColumn("all_tokens", F.sum("drawn_tokens").over(Window.partitionBy(F.lit(0))))  # a row per source
     part = lambda c: F.round(F.when(F.col("all_tokens") > 0, F.col(c) / F.col("all_tokens")).otherwise(0.0), 6)
     shares = report.select("source", "target_share", "max_repeats", "n_docs", "available_tokens", "drawn_tokens", "most_copies", part("drawn_tokens").alias("reached_share"), part("expected_tokens").alias("expected_share"))
     return draws, shares
