@@ -50,7 +50,8 @@ def cells(line: Column, sep: Column) -> Column:
     for s in SEPARATORS:
         mark = re.escape(s)
         # a separator is put before the line, so that each cell, empty ones too, begins with one
-        one = F.regexp_extract_all(F.concat(F.lit(s), line), F.lit(rf'{mark}(\s*"(?:[^"]|"")*"(?=\s*(?:{mark}|$))|[^{mark}]*)'), F.lit(1))
+        blank = rf"(?:(?!{mark})\s)*"  # a tab may be the separator
+        one = F.regexp_extract_all(F.concat(F.lit(s), line), F.lit(rf'{mark}({blank}"(?:[^"]|"")*"(?={blank}(?:{mark}|$))|[^{mark}]*)'), F.lit(1))
         quoted = F.when(sep == s, one) if quoted is None else quoted.when(sep == s, one)
     # only lines with a separator inside quotes take the longer way
     return F.transform(F.when(line.rlike(r'"[^"]*[,;\t|][^"]*"'), quoted).otherwise(plain), bare)

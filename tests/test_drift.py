@@ -74,3 +74,5 @@ def test_cells_with_quotes(rows):
     lines = {'a,b,c': ["a", "b", "c"], ' "a, b" ,c': ["a, b", "c"], ',"x,y",': ["", "x,y", ""], '"a","b"': ["a", "b"], 'un"closed, b,"c,d"': ['un"closed', "b", "c,d"], "": [""]}
     out = rows("l string", *[(k,) for k in lines]).select(cells(F.col("l"), F.lit(","))).collect()
     assert [r[0] for r in out] == list(lines.values())
+    tabs = rows("l string", ('"a"\t \t"b"',), ('"a"\t\t"b, c"\t',)).select(cells(F.col("l"), F.lit("\t"))).collect()
+    assert [r[0] for r in tabs] == [["a", "", "b"], ["a", "", "b, c", ""]]
