@@ -216,7 +216,8 @@ def _searched(usable: DataFrame, origins: DataFrame, kind: str, limit: float | N
         wanted = spark.createDataFrame([(r[0],) for r in wanted.orderBy("origin").collect()], f"origin {kind}").coalesce(1)
         rows = wanted.groupBy(F.lit(1).alias("_one")).applyInPandas(lambda g: next(searched(iter([g])), pd.DataFrame(columns=columns)), schema)
     else:
-        rows = wanted.mapInPandas(searched, schema)
+        # the few rows of origins are dealt to all cores, one search being much work
+        rows = wanted.repartition(usable.sparkSession.sparkContext.defaultParallelism * 2).mapInPandas(searched, schema)
     found = cut(rows.select("origin", "node", "cost", "n_edges", "before", *extra))
     return found
 
@@ -252,22 +253,24 @@ def in_units(value: float, weight: str) -> float:
     return value * 60.0 if weight.startswith("tts") else float(value)
 
 
-def shortest_paths(network: Network, origins: Sequence, destinations: Sequence, threshold: float | None = None, weight: str | None = None) -> DataFrame:
+def shortest_paths(network: Network, origins: Sequence | DataFrame, destinations: Sequence | DataFrame, threshold: float | None = None, weight: str | None = None) -> DataFrame:
     """``(origin_pos, destination_pos, origin, destination, time_min, length_m, n_edges)`` of all pairs within the threshold.
 
     Pairs come in the order given and repeats are kept; an origin that is its destination has zeros.  Time
-    and length are both those of the chosen path; a weight the network lacks is null.
+    and length are both those of the chosen path; a weight the network lacks is null.  Many ends are given as
+    tables, ``(origin_pos, origin)`` and ``(destination_pos, destination)``, and not sent to the driver.
     """
     weight = network.weight(weight)
     spark = network.nodes.sparkSession
     kind = network.nodes.schema["node_id"].dataType.simpleString()
     given = lambda ids, name: spark.createDataFrame([(i, v) for i, v in enumerate(ids)], f"{name}_pos int, {name} {kind}")
-    o, t = given(origins, "origin"), given(destinations, "destination")
+    table = lambda ids, name: ids if isinstance(ids, DataFrame) else F.broadcast(given(ids, name))
+    o, t = table(origins, "origin"), table(destinations, "destination")
     sums = [w for w in ("tts", "length") if w in network.weights]
     edges = matrix_edges(network)
     limit = None if threshold is None else in_units(threshold, weight)
     costs = travel_costs(edges, o.select("origin"), weight, limit, extra=sums)
-    reached = costs.join(F.broadcast(t), costs["node"] == t["destination"]).join(F.broadcast(o), "origin")
+    reached = costs.join(t, costs["node"] == t["destination"]).join(o, "origin")
     value = lambda c, by: (F.col(c) / by if c in sums else F.lit(None)).cast("double")
     return reached.select("origin_pos", "destination_pos", "origin", "destination", value("tts", 60.0).alias("time_min"), value("length", 1.0).alias("length_m"), F.col("n_edges").cast("long").alias("n_edges"))
 

@@ -397,7 +397,7 @@ def matrix_missing_nodes(spark, d):
 
 
 def _origins(spark, d) -> list[int]:
-    """A fixed handful of origins: the least ids that edges start from."""
+    """A fixed handful of origins, for the recursive SQL: the least ids that edges start from.  The whole set: ``_query_set``."""
     return [r[0] for r in _lines(spark, d).select("from_node").distinct().orderBy("from_node").limit(5).collect()]
 
 
@@ -457,6 +457,54 @@ def reach_segments(spark, d):
     return network.reach_segments(costs, edges, made.nodes, "tts", LIMIT_S).select("origin", "src", "dst", F.round("fraction", 6).alias("fraction"))
 
 
+# The five searches above run from the handful of origins of their SQL; these run the whole query set, and ``tests/`` compares them.
+
+
+def _query_set(spark, d, name: str = "origin") -> DataFrame:
+    """The whole query set: all nodes divisible by 100 that edges start from."""
+    return _lines(spark, d).where(F.col("from_node") % 100 == 0).select(F.col("from_node").alias(name)).distinct()
+
+
+@query()
+def costs_limited_all(spark, d):
+    found = network.travel_costs(network.matrix_edges(_network(spark, d)), _query_set(spark, d), "tts", LIMIT_S)
+    return found.select("origin", "node", F.round("cost", 6).alias("cost"))
+
+
+@query()
+def costs_merged_origins_all(spark, d):
+    found = network.travel_costs(network.matrix_edges(_network(spark, d)), _query_set(spark, d), "length", LIMIT_M, merged=True)
+    return found.select("node", F.round("cost", 6).alias("cost"))
+
+
+@query()
+def shortest_pairs_all(spark, d):
+    """Paths from the query set to the query set and to its neighbours."""
+    made = _network(spark, d)
+    start = cut(_query_set(spark, d))
+    near = network.matrix_edges(made).join(start.withColumnRenamed("origin", "src"), "src", "left_semi").select(F.col("dst").alias("node_id"))
+    ends = start.select(F.col("origin").alias("node_id")).union(near).distinct()
+    at = made.nodes.select("row", "node_id")
+    origins = at.join(start, F.col("node_id") == F.col("origin")).select(F.col("row").alias("origin_pos"), "origin")
+    destinations = at.join(ends, "node_id").select(F.col("row").alias("destination_pos"), F.col("node_id").alias("destination"))
+    found = network.shortest_paths(made, origins, destinations, LIMIT_S / 60, "tts")
+    return found.select("origin", "destination", F.round("time_min", 6).alias("time_min"))
+
+
+@query()
+def reach_counts_all(spark, d):
+    costs = network.travel_costs(network.matrix_edges(_network(spark, d)), _query_set(spark, d), "tts", LIMIT_S)
+    return network.reach(costs, network.cutoffs_of([10.0, 2.0, 5.0], "tts"))
+
+
+@query()
+def reach_segments_all(spark, d):
+    made = _network(spark, d)
+    edges = network.matrix_edges(made)
+    costs = network.travel_costs(edges, _query_set(spark, d), "tts", LIMIT_S)
+    return network.reach_segments(costs, edges, made.nodes, "tts", LIMIT_S).select("origin", "src", "dst", F.round("fraction", 6).alias("fraction"))
+
+
 @query(f"""with {_NODES}, p as (select * from nd where layer = 'walking' and x is not null), q as (select * from nd where layer = 'driving' and x is not null)
     select p.node_id as point_id, arg_min(q.node_id, {{'d': sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2), 'i': q.node_id}}) as node_id, round(min(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2)), 6) as distance
     from p, q where abs(p.x - q.x) <= 250 and abs(p.y - q.y) <= 250 and sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) <= 250 group by 1""")
