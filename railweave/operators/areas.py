@@ -167,6 +167,16 @@ def overlap_area(one: Sequence[Sequence], other: Sequence[Sequence]) -> float:
     return total
 
 
+def _is_box(rings: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Whether a shape is one ring around the four corners of its box, with or without the first again at the end."""
+    r = rings[0]
+    at = lambda i: F.try_element_at(r, F.lit(i))
+    turns = lambda i: (at(i)["x"] == at(i + 1)["x"]) != (at(i)["y"] == at(i + 1)["y"])
+    corner = lambda p: p["x"].isin(x1, x2) & p["y"].isin(y1, y2)
+    closed = (F.size(r) == 4) | ((F.size(r) == 5) & (at(5) == at(1)))
+    return (F.size(rings) == 1) & closed & (F.size(F.array_distinct(r)) == 4) & F.forall(r, corner) & turns(1) & turns(2) & turns(3)
+
+
 def overlaps(areas: DataFrame, regions: DataFrame, cell: float) -> DataFrame:
     """``(area_id, region_id, shared, area_size, region_size)`` of all pairs that share some area.
 
@@ -177,6 +187,7 @@ def overlaps(areas: DataFrame, regions: DataFrame, cell: float) -> DataFrame:
     def boxed(df: DataFrame, name: str) -> DataFrame:
         xs, ys = F.flatten(F.transform("rings", lambda r: F.transform(r, lambda p: p["x"]))), F.flatten(F.transform("rings", lambda r: F.transform(r, lambda p: p["y"])))
         box = df.select(F.col("id").alias(name), F.col("rings").alias(f"{name}_r"), F.array_min(xs).alias(f"{name}_1"), F.array_min(ys).alias(f"{name}_2"), F.array_max(xs).alias(f"{name}_3"), F.array_max(ys).alias(f"{name}_4"))
+        box = box.withColumn(f"{name}_b", F.coalesce(_is_box(F.col(f"{name}_r"), *[F.col(f"{name}_{i}") for i in (1, 2, 3, 4)]), F.lit(False)))
         steps = lambda a, b: F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell))
         return box.withColumn("cx", F.explode(steps(f"{name}_1", f"{name}_3"))).withColumn("cy", F.explode(steps(f"{name}_2", f"{name}_4")))
 
@@ -184,14 +195,24 @@ def overlaps(areas: DataFrame, regions: DataFrame, cell: float) -> DataFrame:
     x, y = F.greatest("a_1", "b_1"), F.greatest("a_2", "b_2")
     meets = (x <= F.least("a_3", "b_3")) & (y <= F.least("a_4", "b_4"))
     own = (F.floor(x / cell) == F.col("cx")) & (F.floor(y / cell) == F.col("cy"))
-    pairs = pairs.where(meets & own).select("a", "a_r", "b", "b_r")
+    # rectangles along the axes, which are their own boxes, are judged by their boxes without leaving the JVM
+    both = F.col("a_b") & F.col("b_b")
+    side = lambda i, j: F.greatest(F.least(f"a_{j}", f"b_{j}") - F.greatest(f"a_{i}", f"b_{i}"), F.lit(0.0))
+    size = lambda n: (F.col(f"{n}_3") - F.col(f"{n}_1")) * (F.col(f"{n}_4") - F.col(f"{n}_2"))
+    pairs = pairs.where(meets & own).select(
+        F.col("a").alias("area_id"), F.col("b").alias("region_id"), *[F.when(both, v).alias(n) for n, v in (("shared", side(1, 3) * side(2, 4)), ("area_size", size("a")), ("region_size", size("b")))], *[F.when(~both, F.col(c)).alias(c) for c in ("a_r", "b_r")]
+    )
+    pairs = pairs.where(F.col("shared").isNull() | (F.col("shared") > 0))
 
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shape = lambda rings: [[(p["x"], p["y"]) for p in r] for r in rings]
         for g in batches:
-            one, two = [shape(r) for r in g["a_r"]], [shape(r) for r in g["b_r"]]
-            out = pd.DataFrame({"area_id": g["a"], "region_id": g["b"], "shared": [overlap_area(p, q) for p, q in zip(one, two)], "area_size": [overlap_area(p, p) for p in one], "region_size": [overlap_area(q, q) for q in two]})
-            yield out[out["shared"] > 0]
+            rest = g["shared"].isna()
+            if rest.any():
+                one, two = [shape(r) for r in g.loc[rest, "a_r"]], [shape(r) for r in g.loc[rest, "b_r"]]
+                g.loc[rest, "shared"] = [overlap_area(p, q) for p, q in zip(one, two)]
+                g.loc[rest, "area_size"], g.loc[rest, "region_size"] = [overlap_area(p, p) for p in one], [overlap_area(q, q) for q in two]
+            yield g.loc[g["shared"] > 0, ["area_id", "region_id", "shared", "area_size", "region_size"]]
 
     a, b = areas.schema["id"].dataType.simpleString(), regions.schema["id"].dataType.simpleString()
     return pairs.mapInPandas(judged, f"area_id {a}, region_id {b}, shared double, area_size double, region_size double")

@@ -691,6 +691,13 @@ def area_shares(spark, d):
     return found.select("area_id", "region_id", F.round(F.col("shared") / F.col("area_size"), 6).alias("of_area"), F.round(F.col("shared") / F.col("region_size"), 6).alias("of_region"))
 
 
+@query()
+def area_shares_all(spark, d):
+    """Shares that the rectangles of the query set (nodes divisible by 100) have in those of all nodes, and the reverse; ``area_shares`` takes every 11th and 7th id."""
+    found = areas.overlaps(_rectangles(spark, d, 9000.0, 100), _rectangles(spark, d, 5000.0, 1), 10000.0)
+    return found.select("area_id", "region_id", F.round(F.col("shared") / F.col("area_size"), 6).alias("of_area"), F.round(F.col("shared") / F.col("region_size"), 6).alias("of_region"))
+
+
 # ---- reports ---------------------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ import heapq
 import numpy as np
 import pytest
 
+from railweave.operators import areas
 from railweave.plans import transport
 
 NODES = "layer string, node_id long, x double, y double, in_area boolean, loaded_at timestamp"
@@ -65,3 +66,27 @@ def test_searches_from_the_whole_query_set(spark, small):
             least[a, b] = min(w, least.get((a, b), w))
     parts = {(o, a, b): min((600.0 - costs[o][a]) / w, 1.0) for o in starts for (a, b), w in least.items() if a in costs[o] and costs[o][a] < 600.0}
     assert {(r["origin"], r["src"], r["dst"]): r["fraction"] for r in transport.reach_segments_all(spark, d).collect()} == pytest.approx(parts, abs=1e-6)
+
+
+def test_shares_of_the_query_set_in_all_rectangles(spark, small):
+    d, nodes, _ = small
+    want = {}
+    for a, (ax, ay) in nodes.items():
+        for b, (bx, by) in nodes.items():
+            w, h = min(ax + 9000, bx + 5000) - max(ax, bx), min(ay + 4500, by + 2500) - max(ay, by)
+            if a % 100 == 0 and w > 0 and h > 0:
+                want[a, b] = (w * h / (9000 * 4500), w * h / (5000 * 2500))
+    found = transport.area_shares_all(spark, d).collect()
+    assert len(found) == len(want) and {a for a, _ in want} == {v for v in nodes if v % 100 == 0} and len({b for _, b in want}) == len(nodes)
+    for r in found:
+        assert (r["of_area"], r["of_region"]) == pytest.approx(want[r["area_id"], r["region_id"]], abs=1e-6)
+
+
+def test_rectangles_by_their_boxes_and_other_shapes_by_slabs(spark):
+    shapes = {1: [(0, 0), (4, 0), (4, 4), (0, 4)], 2: [(2, 2), (2, 6), (6, 6), (6, 2), (2, 2)], 3: [(0, 0), (4, 4), (4, 0), (0, 4)], 4: [(0, 0), (4, 0), (0, 4)], 5: [(4, 0), (8, 0), (8, 4), (4, 4)]}
+    ring = "id long, rings array<array<struct<x: double, y: double>>>"
+    df = spark.createDataFrame([(k, [[(float(x), float(y)) for x, y in r]]) for k, r in shapes.items()], ring)
+    found = {(r["area_id"], r["region_id"]): r for r in areas.overlaps(df, df, 3.0).collect()}
+    want = {(a, b): areas.overlap_area([shapes[a]], [shapes[b]]) for a in shapes for b in shapes}
+    assert {k: r["shared"] for k, r in found.items()} == pytest.approx({k: v for k, v in want.items() if v > 0})
+    assert all((r["area_size"], r["region_size"]) == pytest.approx((want[a, a], want[b, b])) for (a, b), r in found.items())
