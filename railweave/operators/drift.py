@@ -197,25 +197,98 @@ def canonical_names(files: DataFrame, steps: DataFrame, max_names: int = MAX_NAM
     return {n: top(n) for n in used}
 
 
-def one_table(files: DataFrame, rows: DataFrame, names: dict[str, str]) -> DataFrame:
+def chained_names(files: DataFrame, steps: DataFrame, max_names: int = MAX_NAMES) -> DataFrame:
+    """``(file_id, name, canonical)``: each file's fields, routed along its dataset's own chain of versions.
+
+    A field goes on from the file before under its own name or through a rename found there; what goes on
+    is one field.  It is called like the name that most files of all datasets use among its own names and those
+    that renames of any dataset link to them, the links of most datasets first; a link that would join names
+    that stand together in any file is passed over.  Where two fields of a dataset would be called the same though a file holds both, the one in more
+    files keeps the name and the other gets one of its own, or ``#2`` behind it.
+    """
+    renamed = steps.where("change_kind = 'renamed'")
+    used = {r["name"]: r["count"] for r in files.select(F.explode("names").alias("name")).groupBy("name").count().limit(max_names + 1).collect()}
+    links = lookup_join(renamed, files.select("file_id", "dataset_id"), ["file_id"], "inner").groupBy("old_field", "new_field").agg(F.count_distinct("dataset_id").alias("n")).limit(max_names + 1).collect()
+    headers = [set(r["names"]) for r in files.select(F.array_sort("names").alias("names")).distinct().limit(max_names + 1).collect()] if links else []
+    if max(len(used), len(links), len(headers)) > max_names:
+        raise ValueError(f"more than {max_names} field names or headers; raise max_names if that is meant")
+    groups = {n: {n} for n in used}
+    for link in sorted(links, key=lambda r: (-r["n"], r["old_field"], r["new_field"])):
+        both = groups[link["old_field"]] | groups[link["new_field"]]
+        if all(len(both & h) < 2 for h in headers):
+            groups |= dict.fromkeys(both, both)
+    best = {n: min(g, key=lambda m: (-used[m], m)) for n, g in groups.items()}
+
+    def route(g):
+        import pandas as pd
+
+        g = g.sort_values(["published_at", "file_id"])
+        chains, held, now = [], [], {}  # per field its names and files; per file the field of each name
+        for k, (own, pairs) in enumerate(zip(g["names"], g["renames"])):
+            came = {p["new_field"]: p["old_field"] for p in (pairs if pairs is not None else ())}
+            here = {}
+            for n in own:
+                t = now.get(came.get(n, n))
+                if t is None:
+                    chains.append([])
+                    t = len(chains) - 1
+                chains[t].append((k, n))
+                here[n] = t
+            held.append(here)
+            now = here
+        given, taken = {}, [set() for _ in held]
+        for t in sorted(range(len(chains)), key=lambda t: (-len(chains[t]), chains[t][0])):
+            names = sorted({n for _, n in chains[t]}, key=lambda n: (-used[n], n))
+            first = min((best[n] for n in names), key=lambda n: (-used[n], n))
+            free = lambda n: all(n not in taken[k] for k, _ in chains[t])  # noqa: B023, E731
+            name = next((n for n in (first, *names) if free(n)), None)
+            k = 2
+            while name is None:
+                name = f"{first}#{k}" if free(f"{first}#{k}") else None
+                k += 1
+            given[t] = name
+            for k, _ in chains[t]:
+                taken[k].add(name)
+        return pd.DataFrame([(f, n, given[t]) for f, here in zip(g["file_id"], held) for n, t in here.items()], columns=["file_id", "name", "canonical"])
+
+    by_file = renamed.groupBy("file_id").agg(F.collect_list(F.struct("old_field", "new_field")).alias("renames"))
+    chain = files.select("file_id", "dataset_id", "published_at", "names").join(by_file, "file_id", "left")
+    kind = files.schema["file_id"].dataType.simpleString()
+    return cut(chain.groupBy("dataset_id").applyInPandas(route, f"file_id {kind}, name string, canonical string"))
+
+
+def one_table(files: DataFrame, rows: DataFrame, names: dict[str, str] | DataFrame) -> DataFrame:
     """All rows of all files under the canonical names, as text; ``stop_sequence`` as a whole number.
 
+    ``names`` are the routes of ``chained_names``, or one canonical name per name for all files; of several
+    fields of a file that would get one name, the first by name gets it and the others keep their own.
     A field that a file lacks is null, an empty cell too.  ``stop_sequence`` is read through its casts:
-    a letter before it and a zero fraction are dropped.  ``schema_version`` is the file's version.
+    a letter before it and a zero fraction are dropped.  ``schema_version`` is the file's version.  ``misfits``
+    lists the fields whose filled cell isn't of the kind most files give the field (any cell fits text), or is no
+    ``stop_sequence``.
     """
-    routed = lookup_join(rows, files.select("file_id", "dataset_id", F.col("version").alias("schema_version")), ["file_id"], "inner")
-    own: dict[str, list[str]] = {}
-    for name, canon in sorted(names.items()):
-        own.setdefault(canon, []).append(name)
-
-    def value(name: str) -> Column:
-        return F.when(F.array_position("names", F.lit(name)) > 0, F.nullif(F.try_element_at("values", F.array_position("names", F.lit(name)).cast("int")), F.lit("")))
-
-    fixed = {"file_id", "dataset_id", "schema_version", "line_no"}
-    columns = []
-    for canon in sorted(own):
-        text = F.coalesce(*[value(n) for n in own[canon]])
+    if isinstance(names, dict):
+        canon = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair]) if names else F.create_map().cast("map<string,string>")
+        names = files.select("file_id", F.explode("names").alias("name")).withColumn("canonical", F.coalesce(F.try_element_at(canon, F.col("name")), F.col("name")))
+        nth = F.row_number().over(Window.partitionBy("file_id", "canonical").orderBy("name"))
+        names = names.withColumn("canonical", F.when(nth == 1, F.col("canonical")).otherwise(F.col("name")))
+    placed = names.join(files.select("file_id", "dataset_id", "names", "kinds", F.col("version").alias("schema_version")), "file_id")
+    placed = cut(placed.select("file_id", "dataset_id", "schema_version", "canonical", F.array_position("names", F.col("name")).cast("int").alias("at"), F.try_element_at("kinds", F.col("name")).alias("kind")))
+    common: dict[str, str] = {}
+    for r in sorted(placed.groupBy("canonical", "kind").count().collect(), key=lambda r: (r["kind"] is None, -r["count"], r["kind"] or "")):
+        common.setdefault(r["canonical"], r["kind"] or "text")
+    routes = placed.groupBy("file_id").agg(F.first("dataset_id").alias("dataset_id"), F.first("schema_version").alias("schema_version"), F.map_from_entries(F.collect_list(F.struct("canonical", "at"))).alias("_at"))
+    routed = lookup_join(rows, routes, ["file_id"], "inner")
+    fixed = {"file_id", "dataset_id", "schema_version", "line_no", "misfits"}
+    columns, odd = [], []
+    for canon, kind in sorted(common.items()):
+        text = F.nullif(F.try_element_at("values", F.try_element_at("_at", F.lit(canon))), F.lit(""))
         if canon == "stop_sequence":
-            text = F.regexp_replace(text, r"^[A-Za-z]+|\.0+$", "").try_cast("int")
+            number = F.regexp_replace(text, r"^[A-Za-z]+|\.0+$", "").try_cast("int")
+            odd.append(F.when(text.isNotNull() & number.isNull(), F.lit(canon)))
+            text = number
+        elif kind != "text":
+            odd.append(F.when(text.isNotNull() & ~cell_kind(text).isin(kind, "whole" if kind == "decimal" else kind), F.lit(canon)))
         columns.append(text.alias(f"{canon}_" if canon in fixed else canon))
-    return routed.select("file_id", "dataset_id", "schema_version", "line_no", *columns)
+    misfits = F.array_compact(F.array(*odd)) if odd else F.array().cast("array<string>")
+    return routed.select("file_id", "dataset_id", "schema_version", "line_no", *columns, misfits.alias("misfits"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railweave.operators.drift import canonical_names, migration_steps, one_table, versions
+from railweave.operators.drift import chained_names, migration_steps, one_table, versions
 from railweave.operators.near import near_pairs, regions_holding
 from railweave.operators.packed import split_packed
 from railweave.operators.spikes import wrong_passages
@@ -49,7 +49,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_table(spark: SparkSession, d: str) -> DataFrame:
     """All stop times of all files in one table."""
     files, rows = versions(table(spark, d, "feed_lines"), table(spark, d, "gtfs_report"))
-    return one_table(files, rows, canonical_names(files, migration_steps(files, rows)))
+    return one_table(files, rows, chained_names(files, migration_steps(files, rows)))
 
 
 def p6_versions(spark: SparkSession, d: str) -> DataFrame:
