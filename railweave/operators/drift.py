@@ -1,8 +1,8 @@
 """Schemas that drift between files: versioned fingerprints, migration steps, one consistent table.
 
 Each file's header and the kinds of its filled cells make its schema version.  Consecutive versions of a
-dataset are compared; what differs becomes explicit migration steps (add, remove, rename, retype).  The
-steps are chained: every file is routed through the renames from its version to the canonical names,
+dataset are compared; what differs becomes explicit migration steps (add, remove, rename, retype).
+The steps are chained: every file is routed through the renames from its version to the canonical names,
 fields it lacks get nulls, and cells are cast to the field's common kind.
 
 Files are never gathered: lines are parsed where they lie, and per-field profiles are counted with
@@ -12,22 +12,28 @@ partial aggregation, so that one file may hold any share of all rows.
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from railweave.functions.clock import clock_text
 from railweave.scale import cut, lookup_join
 
 #: Separators a header may use, and words that are true or false.
 SEPARATORS = (",", ";", "\t", "|")
 TRUTH_WORDS = ("true", "false", "yes", "no", "si", "sí", "verdadero", "falso")
 
-#: Share of equal cells (of those filled in both files) from which a field goes on under another name.
-SAME_CONTENT = 0.6
+#: Share of equal cells (of those filled in both files) from which a field goes on under another name; up to
+#: ``SURELY`` the cells must also agree by ``BEYOND_CHANCE`` (Cohen's kappa): few values are often equal by chance.
+SAME_CONTENT, SURELY, BEYOND_CHANCE = 0.6, 0.75, 0.5
 #: Most distinct field names that the canonical naming may handle on the driver.
 MAX_NAMES = 20_000
 
+#: What a field's filled cells may be.
+KINDS = ("whole", "decimal", "clock", "truth", "text")
+
 _MARKS = r"[\s\uFEFF\u200B\u00A0\"']"
 _CELL = "\u0001"
 
@@ -44,17 +50,19 @@ def separator(header: Column) -> Column:
 
 
 def cells(line: Column, sep: Column) -> Column:
-    """The cells of ``line``, bare; separators inside double quotes part nothing."""
+    """The cells of ``line``, bare; separators inside double quotes part nothing, a doubled quote inside is one quote."""
     plain = F.split(F.replace(line, sep, F.lit(_CELL)), _CELL)
     quoted = None
     for s in SEPARATORS:
         mark = re.escape(s)
+        # possessive: nothing is tried again, so that the stack doesn't grow with the cell
+        blank = rf"[\s&&[^{mark}]]*+"  # a tab may be the separator
         # a separator is put before the line, so that each cell, empty ones too, begins with one
-        blank = rf"(?:(?!{mark})\s)*"  # a tab may be the separator
-        one = F.regexp_extract_all(F.concat(F.lit(s), line), F.lit(rf'{mark}({blank}"(?:[^"]|"")*"(?={blank}(?:{mark}|$))|[^{mark}]*)'), F.lit(1))
+        one = F.regexp_extract_all(F.concat(F.lit(s), line), F.lit(rf'{mark}({blank}"(?:[^"]++|"")*+"(?={blank}(?:{mark}|$))|[^{mark}]*+)'), F.lit(1))
         quoted = F.when(sep == s, one) if quoted is None else quoted.when(sep == s, one)
-    # only lines with a separator inside quotes take the longer way
-    return F.transform(F.when(line.rlike(r'"[^"]*[,;\t|][^"]*"'), quoted).otherwise(plain), bare)
+    unescaped = F.transform(quoted, lambda c: F.replace(bare(c), F.lit('""'), F.lit('"')))
+    # only lines with a quote take the longer way
+    return F.when(F.contains(line, F.lit('"')), unescaped).otherwise(F.transform(plain, bare))
 
 
 def cell_kind(cell: Column) -> Column:
@@ -111,15 +119,13 @@ def versions(lines: DataFrame, report: DataFrame) -> tuple[DataFrame, DataFrame]
     head, rows = read_files(lines)
     about = report.where(F.col("file_id").isNotNull() & F.col("dataset_id").isNotNull()).groupBy("file_id").agg(F.min(F.struct("published_at", "dataset_id")).alias("p")).select("file_id", "p.published_at", "p.dataset_id")
     files = lookup_join(head, about, ["file_id"], "inner")
+    # one bit per kind: what the filled cells of a field are comes out of one aggregate, combined before the shuffle
+    bit = F.coalesce(*[F.when(F.col("kind") == k, F.lit(1 << i)) for i, k in enumerate(KINDS)], F.lit(0))
     field = rows.select("file_id", F.explode(F.arrays_zip("names", F.slice("values", F.lit(1), F.size("names")).alias("values"))).alias("c")).select("file_id", F.col("c.names").alias("name"), cell_kind(F.col("c.values")).alias("kind"))
-    counted = field.where(F.col("kind").isNotNull() & F.col("name").isNotNull()).groupBy("file_id", "name").agg(F.count("*").alias("n"), *[F.count_if(F.col("kind") == k).alias(k) for k in ("whole", "decimal", "clock", "truth")])
-    kind = (
-        F.when(F.col("whole") == F.col("n"), "whole")
-        .when(F.col("whole") + F.col("decimal") == F.col("n"), "decimal")
-        .when(F.col("clock") == F.col("n"), "clock")
-        .when(F.col("truth") == F.col("n"), "truth")
-        .otherwise("text")
-    )
+    counted = field.where(F.col("name").isNotNull()).groupBy("file_id", "name").agg(F.bit_or(bit).alias("bits")).where("bits > 0")
+    kind = F.when(F.col("bits") == 3, "decimal").otherwise("text")
+    for i, k in reversed(list(enumerate(KINDS))):
+        kind = F.when(F.col("bits") == 1 << i, k).otherwise(kind)
     kinds = counted.select("file_id", F.struct("name", kind.alias("kind")).alias("k")).groupBy("file_id").agg(F.map_from_entries(F.collect_list("k")).alias("kinds"))
     files = files.join(kinds, "file_id", "left").withColumn("kinds", F.coalesce("kinds", F.create_map().cast("map<string,string>")))
     described = F.array_join(F.array_sort(F.transform("names", lambda n: F.concat(n, F.lit(":"), F.coalesce(F.element_at("kinds", n), F.lit("?"))))), ",")
@@ -130,71 +136,73 @@ def versions(lines: DataFrame, report: DataFrame) -> tuple[DataFrame, DataFrame]
     return cut(files), rows
 
 
-def migration_steps(files: DataFrame, rows: DataFrame, same_content: float = SAME_CONTENT) -> DataFrame:
-    """``(file_id, change_kind, old_field, new_field)``: what changed from the file before to this one.
+def _aligned(rows: DataFrame, own: DataFrame, wanted: str, field: str, value: str, by_line: bool) -> DataFrame:
+    """``(pair, line, field, value)``: the filled cells of the ``wanted`` fields of ``own(own, pair, wanted, kept)``.
 
-    A field that went and one that came are one *renamed* field if at least ``same_content`` of their cells,
-    compared line by line where both are filled, say the same, and neither fits another better.  The rest
-    are *added* and *removed*.  *retyped*: the same name, another kind of filled cells.
+    ``line`` is the line's number, or what its ``kept`` cells say, for lines that are alone with that in their file.
     """
-    earlier = files.select(F.col("file_id").alias("before"), F.col("names").alias("old_names"), F.col("kinds").alias("old_kinds"))
-    pairs = files.where(F.col("before").isNotNull()).join(earlier, "before")
-    pairs = pairs.withColumn("gone", F.array_except("old_names", "names")).withColumn("come", F.array_except("names", "old_names"))
-    pairs = cut(pairs.select("file_id", "before", "gone", "come", "names", "old_names", "kinds", "old_kinds"))
-    maybe = pairs.where((F.size("gone") > 0) & (F.size("come") > 0))
-
-    def picked(by: DataFrame, wanted: str, as_name: str, value: str) -> DataFrame:
-        joined = lookup_join(rows.select(F.col("file_id").alias("own"), "line_no", "names", "values"), by, ["own"], "inner")
-        each = joined.select("pair", "line_no", F.explode(wanted).alias(as_name), "names", "values")
-        place = F.array_position("names", F.col(as_name)).cast("int")
-        cell = F.try_element_at("values", place)
-        return each.select("pair", "line_no", as_name, content(cell).alias(value)).where(F.col(value) != "")
-
+    joined = lookup_join(rows.select(F.col("file_id").alias("own"), "line_no", "names", "values"), own, ["own"], "inner")
+    cell = lambda n: content(F.try_element_at("values", F.array_position("names", n).cast("int")))
+    line = F.col("line_no").cast("long") if by_line else F.xxhash64(F.transform("kept", lambda n: F.coalesce(cell(n), F.lit(""))))
+    each = joined.select("pair", line.alias("line"), F.explode(F.transform(wanted, lambda n: F.struct(n.alias("n"), cell(n).alias("c")))).alias("x"))
+    each = each.select("pair", "line", F.col("x.n").alias(field), F.col("x.c").alias(value)).where(F.col(value) != "")
+    if by_line:
+        return each
+    alone = each.groupBy("pair", "line", field).agg(F.count("*").alias("n"), F.min(value).alias(value))
+    return alone.where("n = 1").drop("n")
+
+
+def _same_fields(rows: DataFrame, pairs: DataFrame, same_content: float, by_line: bool) -> DataFrame:
+    """``(file_id, old_field, new_field)``: each gone field with the come field that goes on with its content."""
     # a file is the one before of at most one other, so each side is a lookup by its own file
-    old = picked(maybe.select(F.col("before").alias("own"), F.col("file_id").alias("pair"), "gone"), "gone", "old_field", "old_cell")
-    new = picked(maybe.select(F.col("file_id").alias("own"), F.col("file_id").alias("pair"), "come"), "come", "new_field", "new_cell")
-    alike = old.join(new, ["pair", "line_no"]).groupBy("pair", "old_field", "new_field").agg(F.count("*").alias("both"), F.count_if(F.col("old_cell") == F.col("new_cell")).alias("equal"))
-    alike = alike.withColumn("share", F.col("equal") / F.col("both")).where(F.col("share") >= same_content)
-    near = -F.levenshtein("old_field", "new_field")
+    old = _aligned(rows, pairs.select(F.col("before").alias("own"), F.col("file_id").alias("pair"), "gone", "kept"), "gone", "old_field", "old_cell", by_line)
+    new = _aligned(rows, pairs.select(F.col("file_id").alias("own"), F.col("file_id").alias("pair"), "come", "kept"), "come", "new_field", "new_cell", by_line)
+    key = ["pair", "old_field", "new_field"]
+    met = old.join(new, ["pair", "line"])
+    alike = met.groupBy(*key).agg(F.count("*").alias("both"), F.count_if(F.col("old_cell") == F.col("new_cell")).alias("equal"))
+    alike = cut(alike.withColumn("share", F.col("equal") / F.col("both")).where(F.col("share") >= same_content))
+    # the few that might be equal by chance: how often two fields with these values would be
+    doubted = alike.where(F.col("share") < SURELY).select(*key, "both")
+    told = met.join(F.broadcast(doubted) if doubted.limit(10_000).count() < 10_000 else doubted, key)
+    often = lambda c, n: told.groupBy(*key, F.col(c).alias("v"), "both").agg(F.count("*").alias(n))
+    chance = often("old_cell", "p").join(often("new_cell", "q").drop("both"), [*key, "v"]).groupBy(*key).agg(F.sum(F.col("p") * F.col("q") / F.col("both") / F.col("both")).alias("chance"))
+    alike = alike.join(chance, key, "left").withColumn("chance", F.coalesce("chance", F.lit(0.0)))
+    alike = alike.where((F.col("share") >= SURELY) | (F.col("share") - F.col("chance") >= BEYOND_CHANCE * (1 - F.col("chance"))))
     rank = [F.desc("share"), F.desc("equal"), F.desc("near"), "old_field", "new_field"]
-    alike = alike.withColumn("near", near).withColumn("a", F.row_number().over(Window.partitionBy("pair", "old_field").orderBy(*rank))).withColumn("b", F.row_number().over(Window.partitionBy("pair", "new_field").orderBy(*rank)))
-    renamed = cut(alike.where("a = 1 and b = 1").select(F.col("pair").alias("file_id"), "old_field", "new_field"))
-    by_pair = renamed.groupBy("file_id").agg(F.collect_list("old_field").alias("r_old"), F.collect_list("new_field").alias("r_new"))
-    rest = pairs.join(by_pair, "file_id", "left")
-    none = F.array().cast("array<string>")
-    kept = F.array_intersect("old_names", "names")
-    other_kind = F.filter(kept, lambda n: F.element_at("old_kinds", n) != F.element_at("kinds", n))
-    change = lambda kind, fields, old_, new_: F.transform(fields, lambda n: F.struct(F.lit(kind).alias("change_kind"), (n if old_ else F.lit("")).alias("old_field"), (n if new_ else F.lit("")).alias("new_field")))
-    listed = F.concat(
-        change("removed", F.array_except("gone", F.coalesce("r_old", none)), True, False),
-        change("added", F.array_except("come", F.coalesce("r_new", none)), False, True),
-        change("retyped", other_kind, True, True),
-    )
-    return rest.select("file_id", F.explode(listed).alias("c")).select("file_id", "c.*").unionByName(renamed.select("file_id", F.lit("renamed").alias("change_kind"), "old_field", "new_field"))
+    alike = alike.withColumn("near", -F.levenshtein("old_field", "new_field")).withColumn("a", F.row_number().over(Window.partitionBy("pair", "old_field").orderBy(*rank))).withColumn("b", F.row_number().over(Window.partitionBy("pair", "new_field").orderBy(*rank)))
+    return alike.where("a = 1 and b = 1").select(F.col("pair").alias("file_id"), "old_field", "new_field")
 
 
-def canonical_names(files: DataFrame, steps: DataFrame, max_names: int = MAX_NAMES) -> dict[str, str]:
-    """Each field name's canonical name: the most used name among those that renames link.
+def migration_steps(files: DataFrame, rows: DataFrame, same_content: float = SAME_CONTENT) -> DataFrame:
+    """``(file_id, change_kind, old_field, new_field)``: what changed from the file before to this one.
 
-    Works on the distinct names only, whose number is checked against ``max_names``.
+    A field that went and one that came are one *renamed* field if at least ``same_content`` of their cells,
+    where both are filled, say the same - more than their values would by chance - and neither fits another
+    better.  Lines are compared by number; where fields stay unexplained, which lines put in or taken out
+    cause, lines are matched by what the fields in both files say.  The rest are *added* and *removed*.
+    *retyped*: the same name, another kind of filled cells.
     """
-    names = files.select(F.explode("names").alias("name")).groupBy("name").count().limit(max_names + 1).collect()
-    links = steps.where("change_kind = 'renamed'").select("old_field", "new_field").distinct().limit(max_names + 1).collect()
-    if len(names) > max_names or len(links) > max_names:
-        raise ValueError(f"more than {max_names} field names; raise max_names if that is meant")
-    used = {r["name"]: r["count"] for r in names}
-    root = {n: n for n in used}
-
-    def top(n: str) -> str:
-        while root[n] != n:
-            root[n] = root[root[n]]
-            n = root[n]
-        return n
+    earlier = files.select(F.col("file_id").alias("before"), F.col("names").alias("old_names"), F.col("kinds").alias("old_kinds"))
+    pairs = files.where(F.col("before").isNotNull()).join(earlier, "before")
+    pairs = pairs.withColumn("gone", F.array_except("old_names", "names")).withColumn("come", F.array_except("names", "old_names")).withColumn("kept", F.array_sort(F.array_intersect("old_names", "names")))
+    pairs = cut(pairs.select("file_id", "before", "gone", "come", "kept", "kinds", "old_kinds"))
+    none = F.array().cast("array<string>")
 
-    for link in sorted(links):
-        a, b = sorted((top(link["old_field"]), top(link["new_field"])), key=lambda n: (-used[n], n))
-        root[b] = a
-    return {n: top(n) for n in used}
+    def left(renamed: DataFrame) -> DataFrame:
+        by_pair = renamed.groupBy("file_id").agg(F.collect_list("old_field").alias("r_old"), F.collect_list("new_field").alias("r_new"))
+        rest = pairs.join(by_pair, "file_id", "left")
+        return rest.withColumn("gone", F.array_except("gone", F.coalesce("r_old", none))).withColumn("come", F.array_except("come", F.coalesce("r_new", none))).drop("r_old", "r_new")
+
+    unclear = lambda df: df.where((F.size("gone") > 0) & (F.size("come") > 0))
+    renamed = cut(_same_fields(rows, unclear(pairs), same_content, True))
+    again = cut(unclear(left(renamed)).where(F.size("kept") > 0))
+    if not again.isEmpty():
+        renamed = cut(renamed.unionByName(_same_fields(rows, again, same_content, False)))
+    other_kind = F.filter("kept", lambda n: F.element_at("old_kinds", n) != F.element_at("kinds", n))
+    change = lambda kind, fields, old_, new_: F.transform(fields, lambda n: F.struct(F.lit(kind).alias("change_kind"), (n if old_ else F.lit("")).alias("old_field"), (n if new_ else F.lit("")).alias("new_field")))
+    listed = F.concat(change("removed", "gone", True, False), change("added", "come", False, True), change("retyped", other_kind, True, True))
+    steps = left(renamed).select("file_id", F.explode(listed).alias("c")).select("file_id", "c.*")
+    return steps.unionByName(renamed.select("file_id", F.lit("renamed").alias("change_kind"), "old_field", "new_field"))
 
 
 def chained_names(files: DataFrame, steps: DataFrame, max_names: int = MAX_NAMES) -> DataFrame:
@@ -222,8 +230,9 @@ def chained_names(files: DataFrame, steps: DataFrame, max_names: int = MAX_NAMES
     def route(g):
         import pandas as pd
 
-        g = g.sort_values(["published_at", "file_id"])
-        chains, held, now = [], [], {}  # per field its names and files; per file the field of each name
+        g = g.sort_values("version")
+        chains, held, now = [], [], {}  # per field its names and versions; per version the field of each name
+        files_of = g["n_files"].to_numpy()
         for k, (own, pairs) in enumerate(zip(g["names"], g["renames"])):
             came = {p["new_field"]: p["old_field"] for p in (pairs if pairs is not None else ())}
             here = {}
@@ -237,7 +246,7 @@ def chained_names(files: DataFrame, steps: DataFrame, max_names: int = MAX_NAMES
             held.append(here)
             now = here
         given, taken = {}, [set() for _ in held]
-        for t in sorted(range(len(chains)), key=lambda t: (-len(chains[t]), chains[t][0])):
+        for t in sorted(range(len(chains)), key=lambda t: (-sum(files_of[k] for k, _ in chains[t]), chains[t][0])):
             names = sorted({n for _, n in chains[t]}, key=lambda n: (-used[n], n))
             first = min((best[n] for n in names), key=lambda n: (-used[n], n))
             free = lambda n: all(n not in taken[k] for k, _ in chains[t])  # noqa: B023, E731
@@ -249,46 +258,86 @@ def chained_names(files: DataFrame, steps: DataFrame, max_names: int = MAX_NAMES
             given[t] = name
             for k, _ in chains[t]:
                 taken[k].add(name)
-        return pd.DataFrame([(f, n, given[t]) for f, here in zip(g["file_id"], held) for n, t in here.items()], columns=["file_id", "name", "canonical"])
+        return pd.DataFrame([(d, v, n, given[t]) for d, v, here in zip(g["dataset_id"], g["version"], held) for n, t in here.items()], columns=["dataset_id", "version", "name", "canonical"])
 
+    # a version's files have the same fields, so a dataset's chain is as long as its schema changed, however many files it has
+    at = F.struct("published_at", "file_id")
+    chain = files.groupBy("dataset_id", "version").agg(F.min_by("file_id", at).alias("file_id"), F.min_by("names", at).alias("names"), F.count("*").alias("n_files"))
     by_file = renamed.groupBy("file_id").agg(F.collect_list(F.struct("old_field", "new_field")).alias("renames"))
-    chain = files.select("file_id", "dataset_id", "published_at", "names").join(by_file, "file_id", "left")
-    kind = files.schema["file_id"].dataType.simpleString()
-    return cut(chain.groupBy("dataset_id").applyInPandas(route, f"file_id {kind}, name string, canonical string"))
+    kind = files.schema["dataset_id"].dataType.simpleString()
+    routed = chain.join(by_file, "file_id", "left").groupBy("dataset_id").applyInPandas(route, f"dataset_id {kind}, version int, name string, canonical string")
+    return cut(lookup_join(files.select("dataset_id", "version", "file_id"), routed.groupBy("dataset_id", "version").agg(F.collect_list(F.struct("name", "canonical")).alias("r")), ["dataset_id", "version"], "inner").select("file_id", F.explode("r").alias("r")).select("file_id", "r.*"))
 
 
-def one_table(files: DataFrame, rows: DataFrame, names: dict[str, str] | DataFrame) -> DataFrame:
-    """All rows of all files under the canonical names, as text; ``stop_sequence`` as a whole number.
+_WHOLE = r"^[A-Za-z]+(?=[+-]?\d)|\.0+$"
 
-    ``names`` are the routes of ``chained_names``, or one canonical name per name for all files; of several
-    fields of a file that would get one name, the first by name gets it and the others keep their own.
-    A field that a file lacks is null, an empty cell too.  ``stop_sequence`` is read through its casts:
-    a letter before it and a zero fraction are dropped.  ``schema_version`` is the file's version.  ``misfits``
-    lists the fields whose filled cell isn't of the kind most files give the field (any cell fits text), or is no
-    ``stop_sequence``.
-    """
-    if isinstance(names, dict):
-        canon = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair]) if names else F.create_map().cast("map<string,string>")
-        names = files.select("file_id", F.explode("names").alias("name")).withColumn("canonical", F.coalesce(F.try_element_at(canon, F.col("name")), F.col("name")))
-        nth = F.row_number().over(Window.partitionBy("file_id", "canonical").orderBy("name"))
-        names = names.withColumn("canonical", F.when(nth == 1, F.col("canonical")).otherwise(F.col("name")))
-    placed = names.join(files.select("file_id", "dataset_id", "names", "kinds", F.col("version").alias("schema_version")), "file_id")
-    placed = cut(placed.select("file_id", "dataset_id", "schema_version", "canonical", F.array_position("names", F.col("name")).cast("int").alias("at"), F.try_element_at("kinds", F.col("name")).alias("kind")))
-    common: dict[str, str] = {}
+#: Types of the kinds, and the casts to them from a cell and what it says (``content``); what a cast can't read is null.
+CASTS = {
+    "whole": ("bigint", lambda cell, said: F.regexp_replace(said, _WHOLE, "").try_cast("bigint")),
+    "decimal": ("double", lambda cell, said: F.regexp_replace(said, r"^[A-Za-z]+(?=[+-]?\d)", "").try_cast("double")),
+    "clock": ("string", lambda cell, said: clock_text(F.when(said.rlike(r"^\d{1,7}$"), said.try_cast("double")))),
+    "truth": ("boolean", lambda cell, said: F.when(said == "1", True).when(said == "0", False)),
+    "text": ("string", lambda cell, said: cell),
+}
+
+
+def _placed(files: DataFrame, routes: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """Where each file has each canonical field and of what kind, and the fields' common kinds."""
+    placed = routes.join(files.select("file_id", "dataset_id", "names", "kinds", F.col("version").alias("schema_version")), "file_id")
+    placed = cut(placed.select("file_id", "dataset_id", "schema_version", "name", "canonical", F.array_position("names", F.col("name")).cast("int").alias("at"), F.try_element_at("kinds", F.col("name")).alias("kind")))
+    common: dict[str, str] = {}  # a row per canonical name and kind, whose number chained_names has checked
     for r in sorted(placed.groupBy("canonical", "kind").count().collect(), key=lambda r: (r["kind"] is None, -r["count"], r["kind"] or "")):
         common.setdefault(r["canonical"], r["kind"] or "text")
-    routes = placed.groupBy("file_id").agg(F.first("dataset_id").alias("dataset_id"), F.first("schema_version").alias("schema_version"), F.map_from_entries(F.collect_list(F.struct("canonical", "at"))).alias("_at"))
-    routed = lookup_join(rows, routes, ["file_id"], "inner")
-    fixed = {"file_id", "dataset_id", "schema_version", "line_no", "misfits"}
+    return placed, common
+
+
+def migration_rules(files: DataFrame, routes: DataFrame, defaults: Mapping[str, str] | None = None) -> DataFrame:
+    """``(file_id, schema_version, rule, field, of, to)``: each rule a file passes on its way into the one table.
+
+    ``rename``: the field's own name ``of`` becomes ``to``.  ``cast``: its cells of kind ``of`` become the common
+    kind ``to``.  ``default``: the file lacks the field, which gets the value ``to`` (``''``: null).
+    """
+    placed, common = _placed(files, routes)
+    kinds = F.create_map(*[F.lit(x) for pair in sorted(common.items()) for x in pair]) if common else F.create_map().cast("map<string,string>")
+    rename = placed.where("name <> canonical").select("file_id", "schema_version", F.lit("rename").alias("rule"), F.col("canonical").alias("field"), F.col("name").alias("of"), F.col("canonical").alias("to"))
+    to = F.try_element_at(kinds, F.col("canonical"))
+    cast = placed.where(F.col("kind").isNotNull() & (F.col("kind") != to)).select("file_id", "schema_version", F.lit("cast").alias("rule"), F.col("canonical").alias("field"), F.col("kind").alias("of"), to.alias("to"))
+    every = F.array(*[F.lit(c) for c in sorted(common)]).cast("array<string>")
+    given = F.create_map(*[F.lit(x) for pair in sorted((defaults or {}).items()) for x in pair]) if defaults else F.create_map().cast("map<string,string>")
+    lacking = placed.groupBy("file_id", "schema_version").agg(F.collect_set("canonical").alias("has")).select("file_id", "schema_version", F.explode(F.array_except(every, F.col("has"))).alias("field"))
+    default = lacking.select("file_id", "schema_version", F.lit("default").alias("rule"), "field", F.lit("").alias("of"), F.coalesce(F.try_element_at(given, F.col("field")), F.lit("")).alias("to"))
+    return rename.unionByName(cast).unionByName(default)
+
+
+def one_table(files: DataFrame, rows: DataFrame, routes: DataFrame, defaults: Mapping[str, str] | None = None) -> DataFrame:
+    """All rows of all files under the canonical names of ``routes`` (``chained_names``), cells cast to their field's common kind.
+
+    The common kind is that of most files: whole numbers are ``bigint``, decimal numbers ``double``, truth words
+    ``boolean``, clocks ``HH:MM:SS``, the rest text.  Casts read clocks as seconds and the reverse, zero
+    fractions, and a letter before a number.  ``defaults`` (as text, by canonical name) fill fields that a file
+    lacks as a whole; without one they are null, and an empty cell is null too.  ``schema_version`` is the
+    file's version.  ``misfits`` lists the fields whose filled cell no cast can read; ``misfit_cells`` holds
+    those cells as they stand, so that nothing is lost.
+    """
+    placed, common = _placed(files, routes)
+    by_file = placed.groupBy("file_id").agg(F.first("dataset_id").alias("dataset_id"), F.first("schema_version").alias("schema_version"), F.map_from_entries(F.collect_list(F.struct("canonical", "at"))).alias("_at"))
+    routed = lookup_join(rows, by_file, ["file_id"], "inner")
+    fixed = {"file_id", "dataset_id", "schema_version", "line_no", "misfits", "misfit_cells"}
+    names = sorted(common.items())
+    # cell, what it says, its cast: in steps, so that none is computed again where the next uses it twice
+    own = ["file_id", "dataset_id", "schema_version", "line_no"]
+    at = [F.try_element_at("_at", F.lit(c)) for c, _ in names]
+    told = routed.select(*own, *[F.nullif(F.try_element_at("values", a), F.lit("")).alias(f"_t{i}") for i, a in enumerate(at)], *[at[i].isNull().alias(f"_n{i}") for i, (c, _) in enumerate(names) if c in (defaults or {})])
+    told = told.select("*", *[content(F.col(f"_t{i}")).alias(f"_s{i}") for i, (_, k) in enumerate(names) if k != "text"])
+    told = told.select("*", *[CASTS[k][1](F.col(f"_t{i}"), F.col(f"_s{i}") if k != "text" else None).cast(CASTS[k][0]).alias(f"_v{i}") for i, (_, k) in enumerate(names)])
     columns, odd = [], []
-    for canon, kind in sorted(common.items()):
-        text = F.nullif(F.try_element_at("values", F.try_element_at("_at", F.lit(canon))), F.lit(""))
-        if canon == "stop_sequence":
-            number = F.regexp_replace(text, r"^[A-Za-z]+|\.0+$", "").try_cast("int")
-            odd.append(F.when(text.isNotNull() & number.isNull(), F.lit(canon)))
-            text = number
-        elif kind != "text":
-            odd.append(F.when(text.isNotNull() & ~cell_kind(text).isin(kind, "whole" if kind == "decimal" else kind), F.lit(canon)))
-        columns.append(text.alias(f"{canon}_" if canon in fixed else canon))
-    misfits = F.array_compact(F.array(*odd)) if odd else F.array().cast("array<string>")
-    return routed.select("file_id", "dataset_id", "schema_version", "line_no", *columns, misfits.alias("misfits"))
+    for i, (canon, kind) in enumerate(names):
+        value = F.col(f"_v{i}")
+        if kind != "text":
+            odd.append(F.when(F.col(f"_t{i}").isNotNull() & value.isNull(), F.struct(F.lit(canon).alias("f"), F.col(f"_t{i}").alias("c"))))
+        if canon in (defaults or {}):
+            given = F.lit(defaults[canon])
+            value = F.when(F.col(f"_n{i}"), CASTS[kind][1](given, content(given)).cast(CASTS[kind][0])).otherwise(value)
+        columns.append(value.alias(f"{canon}_" if canon in fixed else canon))
+    unfit = F.array_compact(F.array(*odd)) if odd else F.array().cast("array<struct<f:string,c:string>>")
+    return told.select(*own, *columns, unfit.alias("_unfit")).select(*own, *[F.col(f"`{c}_`" if c in fixed else f"`{c}`") for c, _ in names], F.transform("_unfit", lambda u: u["f"]).alias("misfits"), F.map_from_entries("_unfit").alias("misfit_cells"))

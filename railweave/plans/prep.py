@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from railweave.operators.drift import chained_names, migration_steps, one_table, versions
+from railweave.operators.drift import chained_names, migration_rules, migration_steps, one_table, versions
 from railweave.operators.near import near_pairs, regions_holding
 from railweave.operators.packed import split_packed
 from railweave.operators.spikes import wrong_passages
@@ -52,6 +52,12 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
     return one_table(files, rows, chained_names(files, migration_steps(files, rows)))
 
 
+def p6_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Each rename, cast and default that a file passes on its way into the table of ``p6_table``."""
+    files, rows = versions(table(spark, d, "feed_lines"), table(spark, d, "gtfs_report"))
+    return migration_rules(files, chained_names(files, migration_steps(files, rows)))
+
+
 def p6_versions(spark: SparkSession, d: str) -> DataFrame:
     """Each file's place in its dataset's chain of schema versions."""
     files, _ = versions(table(spark, d, "feed_lines"), table(spark, d, "gtfs_report"))
@@ -70,4 +76,4 @@ def p7_speeds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_values, p3_found, p3_reasons, p4_found, p6_found, p6_table, p6_versions, p7_found, p7_speeds)}
+    return {f.__name__: f for f in (p2_found, p2_values, p3_found, p3_reasons, p4_found, p6_found, p6_table, p6_rules, p6_versions, p7_found, p7_speeds)}

@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from railweave.operators.drift import canonical_names, cell_kind, cells, migration_steps, one_table, versions
+from railweave.operators.drift import cell_kind, cells, chained_names, migration_rules, migration_steps, one_table, versions
 
 
 def feed(rows, *files):
@@ -51,13 +51,56 @@ def test_datasets_are_apart_and_unknown_files_left_out(rows):
 
 def test_one_table_through_the_chain(rows):
     f, r = versions(*feed(rows, (1, A), (1, A.replace("stop_sequence", "seq_no").replace(",1,", ",s1,")), (1, A.replace("stop_sequence", "orden").replace("code", "extra"))))
-    s = migration_steps(f, r)
-    names = canonical_names(f, s)
-    table = one_table(f, r, names)
+    routes = chained_names(f, migration_steps(f, r))
+    table = one_table(f, r, routes)
     assert table.count() == 12
-    canon = names["seq_no"]
-    assert names["orden"] == names["stop_sequence"] == canon
-    assert {x[0] for x in table.select(canon).distinct().collect()} <= {1, 2, "1", "2", "s1"}
+    named = {(x["file_id"], x["name"]): x["canonical"] for x in routes.collect()}
+    canon = named[0, "stop_sequence"]
+    assert named[1, "seq_no"] == named[2, "orden"] == canon
+    assert {x[0] for x in table.select(canon).distinct().collect()} == {1, 2}
+
+
+def test_casts_defaults_and_rules(rows):
+    whole = "trip_id,dist,at,ok,zone\nt1,5,07:00:00,true,a\nt1,6,07:05:00,false,b"
+    other = "trip_id,dist,at,ok\nt1,5.5,25260,1\nt1,x,oops,0"
+    f, r = versions(*feed(rows, (1, whole), (1, whole), (1, other)))
+    routes = chained_names(f, migration_steps(f, r))
+    table = one_table(f, r, routes, {"zone": "none"})
+    kinds = dict(table.dtypes)
+    assert (kinds["dist"], kinds["at"], kinds["ok"], kinds["zone"]) == ("bigint", "string", "boolean", "string")
+    out = {(x["file_id"], x["line_no"]): x for x in table.collect()}
+    assert (out[0, 2]["dist"], out[0, 2]["at"], out[0, 2]["ok"], out[0, 2]["zone"]) == (5, "07:00:00", True, "a")
+    assert (out[2, 2]["dist"], out[2, 2]["at"], out[2, 2]["ok"], out[2, 2]["zone"]) == (None, "07:01:00", True, "none")
+    assert out[2, 2]["misfit_cells"] == {"dist": "5.5"} and out[2, 3]["misfit_cells"] == {"dist": "x", "at": "oops"} and out[2, 3]["misfits"] == ["at", "dist"]
+    rules = {tuple(x) for x in migration_rules(f, routes, {"zone": "none"}).drop("schema_version").collect()}
+    assert rules == {(2, "cast", "dist", "text", "whole"), (2, "cast", "at", "text", "clock"), (2, "cast", "ok", "whole", "truth"), (2, "default", "zone", "", "none")}
+
+
+def test_a_rename_is_seen_through_lines_put_in_or_taken_out(rows):
+    body = [f"t{i // 4},{i % 4},{7 + i % 9:02d}:{i % 60:02d}:00,{i * i % 37}" for i in range(40)]
+    head = "trip_id,stop_sequence,arrival_time,code"
+    longer = ["t99,0,05:00:00,7", *body[:12], *body[13:]]
+    new = "\n".join(["trip_id,stop_sequence,arrival_time,zone", *longer])
+    assert steps(rows, (1, "\n".join([head, *body])), (1, new)) == {(1, "renamed", "code", "zone")}
+
+
+def test_fields_of_few_values_that_agree_by_chance_are_no_rename(rows):
+    old, new = "aaabaabaaaabaa", "abaaaabaaabaaa"
+    line = lambda i, c: f"t{i},{i},{c}"
+    first = "\n".join(["trip_id,stop_sequence,pickup", *[line(i, c) for i, c in enumerate(old)]])
+    after = "\n".join(["trip_id,stop_sequence,zone", *[line(i, c) for i, c in enumerate(new)]])
+    same = sum(a == b for a, b in zip(old, new))
+    assert 0.6 <= same / len(old) < 0.75
+    assert steps(rows, (1, first), (1, after)) == {(1, "removed", "pickup", ""), (1, "added", "", "zone")}
+
+
+def test_very_long_cells(rows):
+    quoted = 'a,"' + 'x, ""y"" ' * 110_000 + '",c'
+    spaced = '"a"' + " " * 200_000 + ',"b;c"'
+    open_ = '"' + "a,b" * 30_000
+    out = rows("l string", (quoted,), (spaced,), (open_,)).select(cells(F.col("l"), F.lit(",")).alias("c")).collect()
+    assert len(out[0]["c"]) == 3 and len(out[0]["c"][1]) > 700_000 and out[0]["c"][1].startswith('x, "y" x')
+    assert out[1]["c"] == ["a", "b;c"] and len(out[2]["c"]) == 30_001
 
 
 def test_empty_tables_blank_lines_and_kinds(rows):

@@ -13,6 +13,6 @@ def test_a_rename_of_one_dataset_merges_no_fields_of_another(rows):
     assert routes[0, "code"] == routes[1, "kind"] and routes[1, "orden"] == "stop_sequence"
     assert routes[2, "code"] == "code" and routes[2, "kind"] == "kind"
     out = {(x["file_id"], x["line_no"]): x for x in one_table(f, r, names).collect()}
-    assert len(out) == 10 and (out[2, 2]["code"], out[2, 2]["kind"]) == ("5", "9")
+    assert len(out) == 10 and (out[2, 2]["code"], out[2, 2]["kind"]) == (5, 9)
     assert out[2, 3]["stop_sequence"] is None and out[2, 3]["misfits"] == ["stop_sequence"] and out[2, 2]["misfits"] == []
-    assert out[1, 2]["stop_sequence"] == 1 and out[1, 2][routes[0, "code"]] == "3"
+    assert out[1, 2]["stop_sequence"] == 1 and out[1, 2][routes[0, "code"]] == 3
