@@ -2,16 +2,18 @@
 
 The grammar, with ordered alternatives::
 
-    field   <- open item (delimiter+ item)* close        # a bracketed list: brackets are taken off
-             / item (delimiter+ item)*
-    item    <- quoted / missing / bare
-    quoted  <- '"' [^"]* '"' &end / "'" [^']* "'" &end    # backtracks to bare if the quote isn't closed
-    missing <- 'n/a' &end                                 # holds a delimiter, so it comes before bare
-    bare    <- (!delimiter .)+
-    end     <- blank* (delimiter / !.)
+    field     <- item (delimiter+ item)*
+    item      <- quoted / bracketed / missing / bare
+    quoted    <- '"' ([^"] / '""')* '"' &end / "'" [^']* "'" &end   # backtracks if the quote isn't closed
+    bracketed <- open (string / bracketed / !close .)* close &end   # a list in the list: parsed as a field itself
+    missing   <- 'n/a' &end                                         # holds a delimiter, so it comes before bare
+    bare      <- (aside / !delimiter .)+                            # backtracks to here if a bracket isn't closed
+    aside     <- '(' [^()]* ')'                                     # behind a word: "grade (2;3)" is one value
+    end       <- blank* (delimiter / !.)
 
 A Java regular expression tries its alternatives in order and backtracks, which is exactly the
-grammar's semantics; it runs inside the JVM, without Python and without a shuffle.
+grammar's semantics; it runs inside the JVM, without Python and without a shuffle.  Lists may be nested
+``NESTED`` deep.  Repetitions are possessive, so that neither time nor stack grows beyond the text's length.
 """
 
 from __future__ import annotations
@@ -26,34 +28,56 @@ DELIMITERS = ";,|/+\\t\\n\\r"
 #: Words that stand for a missing value (compared in lower case).
 PLACEHOLDERS = ("n/a", "na", "none", "null", "nan", "nil", "-", "--", "?", "unknown", "missing", "undefined", "tbd", "no data", "sin dato", "sin datos", "n.a.", "n.d.", "nd", ".", "...", "*")
 
+#: What opens and closes a list.
+BRACKETS = ("[]", "{}", "()", "<>")
+#: How deep lists may lie in lists.
+NESTED = 3
+
 _BLANK = r"[\s\u00A0\u200B\uFEFF]"
-_END = rf"(?={_BLANK}*(?:[{DELIMITERS}]|$))"
-_ITEM = rf"""(?i){_BLANK}*(?:"[^"]*"|'[^']*'|n/a){_END}|[^{DELIMITERS}]+"""
+_END = rf"(?={_BLANK}*+(?:[{DELIMITERS}]|$))"
+_QUOTED = r"""(?:"(?:[^"]++|"")*+"|'[^']*+')"""
+
+
+def _list(pair: str, deep: int) -> str:
+    """A bracketed list in which lists of the same kind lie up to ``deep`` deep."""
+    o, c = (f"\\{x}" for x in pair)
+    inner = rf"|{_list(pair, deep - 1)}" if deep > 1 else ""
+    return rf'{o}(?:"[^"]*+"|[^{o}{c}"]++{inner}|")*+{c}'
+
+
+_BRACKETED = "(?:" + "|".join(_list(p, NESTED) for p in BRACKETS) + ")"
+_BARE = rf"(?:[^{DELIMITERS}(]++|(?<=[^\s{DELIMITERS}(]\s?)\([^()]*+\)|\()++"
+_ITEM = rf"(?i){_BLANK}*+(?:{_QUOTED}|{_BRACKETED}|n/a){_END}|{_BARE}"
 
 
 def _strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{_BLANK}+|{_BLANK}+$", "")
 
 
-def _opened(text: Column) -> Column:
-    """``text`` without the brackets around it."""
-    return F.regexp_replace(_strip(text), r"^(?s)(?:\[(.*)\]|\{(.*)\}|\((.*)\)|<(.*)>)$", "$1$2$3$4")
+def _opened(tokens: Column) -> Column:
+    """``tokens`` with those of each bracketed list in its place."""
+    opened = lambda t: F.regexp_extract_all(F.regexp_replace(_strip(t), r"^.|.$", ""), F.lit(_ITEM), F.lit(0))
+    return F.flatten(F.transform(tokens, lambda t: F.when(_strip(t).rlike(f"^{_BRACKETED}$"), opened(t)).otherwise(F.array(t))))
 
 
 def parse_packed(text: Column, placeholders: Sequence[str] = PLACEHOLDERS) -> Column:
     """``array<struct<pos int, item string, malformed boolean>>`` of the values in ``text``.
 
     ``pos`` counts from 1 over the values that are not empty; placeholders are no values.  An item has
-    no blanks, quotes or brackets around it.  ``malformed``: a quote or bracket of the item isn't closed
+    no blanks, quotes or brackets around it; a doubled quote inside quotes is one.  ``malformed``: a quote or bracket of the item isn't closed
     (the item is then what is left without the stray mark).  Null and blank texts give an empty array.
     """
-    tokens = F.regexp_extract_all(_opened(text), F.lit(_ITEM), F.lit(0))
+    tokens = F.regexp_extract_all(text, F.lit(_ITEM), F.lit(0))
+    nested = tokens
+    for _ in range(NESTED):
+        nested = _opened(nested)
+    tokens = F.when(text.rlike(r"[\[{(<]"), nested).otherwise(tokens)
 
     def item(token: Column) -> Column:
         bare = _strip(token)
-        quoted = bare.rlike(r"""^(?s)(?:"[^"]*"|'[^']*')$""")
+        quoted = bare.rlike(rf"^{_QUOTED}$")
         plain = _strip(F.regexp_replace(bare, r"""^["'\[\{\(]+|["'\]\}\)]+$""", ""))
-        inner = _strip(F.regexp_replace(bare, r"""^["']|["']$""", ""))
+        inner = F.replace(_strip(F.regexp_replace(bare, r"""^["']|["']$""", "")), F.lit('""'), F.lit('"'))
         balanced = F.length(F.regexp_replace(bare, r"[^(]", "")) == F.length(F.regexp_replace(bare, r"[^)]", ""))
         # "grade (2)" keeps its own, closed bracket
         kept = F.when(quoted, inner).when(balanced & bare.rlike(r"\w\)$"), bare).otherwise(plain)

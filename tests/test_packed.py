@@ -43,6 +43,28 @@ def test_malformed_quotes_backtrack_and_are_flagged(rows):
     assert not any(v["malformed"] for v in out[1]["v"])
 
 
+def test_lists_in_lists_asides_and_doubled_quotes(rows):
+    cases = {
+        "[a;b];[c;d]": ["a", "b", "c", "d"],
+        "a;[b,c];d": ["a", "b", "c", "d"],
+        "(a;b);c": ["a", "b", "c"],
+        "[[a,b],{c,(d)}]": ["a", "b", "c", "d"],
+        "a,b (c;d)": ["a", "b (c;d)"],
+        'a "x; y";"b; ""c; d"" e";f': ['a "x', "y", 'b; "c; d" e', "f"],
+        '["p] q";r];s': ["p] q", "r", "s"],
+        "grade (2);k": ["grade (2)", "k"],
+    }
+    out = rows("id int, t string", *enumerate(cases)).select("id", parse_packed(F.col("t")).alias("v")).orderBy("id").collect()
+    assert [[v["item"] for v in r["v"]] for r in out] == list(cases.values())
+    assert [any(v["malformed"] for v in r["v"]) for r in out] == [False] * 5 + [True, False, False]
+
+
+def test_brackets_that_arent_closed_backtrack_and_are_flagged(rows):
+    out = rows("t string", ("[a;b",), ("a;b]",), ("[a;(b];c)",)).select(parse_packed(F.col("t")).alias("v")).collect()
+    assert [[(v["item"], v["malformed"]) for v in r["v"]] for r in out[:2]] == [[("a", True), ("b", False)], [("a", False), ("b", True)]]
+    assert [v["item"] for v in out[2]["v"]] == ["a", "b", "c"]
+
+
 def test_table_with_nulls_repeats_and_clashing_names(rows):
     df = rows("k long, a string, pos int, item string", (1, "x;y", 9, "z"), (1, "x;y", 9, "z"), (2, None, 0, ""), (None, "p;q", 0, ""), (3, "one", 0, ""))
     out = [tuple(r) for r in split_packed(df, "k", ["a"], least=2).drop("malformed").collect()]
@@ -53,6 +75,9 @@ def test_table_with_nulls_repeats_and_clashing_names(rows):
 def test_very_long_text(rows):
     text = ";".join(f"v{i}" for i in range(20_000))
     assert split_packed(rows("k long, a string", (1, text)), "k", ["a"]).count() == 20_000
+    quoted, open_, listed = '"' + 'x;""y"" ' * 100_000 + '";b', '"' + "a;" * 50_000, "[" + "(p;q)," * 30_000 + "]"
+    out = split_packed(rows("k long, a string", (1, quoted), (2, open_), (3, listed), (4, "(" * 5_000)), "k", ["a"]).groupBy("k").count().collect()
+    assert {r["k"]: r["count"] for r in out} == {1: 2, 2: 50_000, 3: 60_000}
 
 
 def test_no_shuffle(rows):
