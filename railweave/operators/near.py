@@ -1,6 +1,6 @@
 """Points near other points, and regions that hold points.
 
-A bounded sample of the points drives a quadtree whose leaves hold about as many points each.  Every
+A sample of the points, a few for each leaf, drives a quadtree whose leaves hold about as many points each.  Every
 point goes to the leaf that holds it and, near a border, is copied to the neighbouring leaves within
 the distance.  In each leaf an R-tree is bulk-loaded (sort-tile-recursive) and probed; candidates are
 refined by exact geometry.  A pair is reported in one leaf only: the one holding the reference point,
@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 
 from railweave.scale import cut, lookup_join
 
-#: The most points that are sampled to shape the quadtree, the points a leaf should hold, and those of a block.
-SAMPLE, LEAF, BLOCK = 50_000, 20_000, 30_000
+#: The least size of the sample that shapes the quadtree and the least points of it in a full leaf: with these the sample
+#: grows with the number of leaves (16 bytes a point), so that leaves hold as many points whatever the size.
+SAMPLE, IN_LEAF = 50_000, 16
+#: The points a leaf should hold, and those of a block.
+LEAF, BLOCK = 20_000, 30_000
 #: The most corner points of regions that are sent to the tasks.
 MAX_CORNERS = 500_000
 
@@ -119,10 +122,11 @@ def points(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
 
 
 def sampled_tree(pts: DataFrame, n: int, least_side: float, sample: int = SAMPLE, leaf: int = LEAF, seed: int = 17) -> QuadTree:
-    """A quadtree shaped by at most about ``sample`` points, whose leaves hold about ``leaf`` of all ``n`` points."""
+    """A quadtree whose leaves hold about ``leaf`` of all ``n`` points, shaped by ``sample`` of them or ``IN_LEAF`` for each leaf."""
+    sample = max(sample, IN_LEAF * n // leaf)
     share = min(1.0, sample / max(n, 1))
-    picked = (pts if share == 1 else pts.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_003)) < share * 1_000_003)).select("x", "y").limit(2 * sample).toPandas()
-    return QuadTree(picked["x"].to_numpy(float), picked["y"].to_numpy(float), max(16, int(leaf * share)), least_side)
+    picked = (pts if share == 1 else pts.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 40)) < share * (1 << 40))).select("x", "y").toPandas()
+    return QuadTree(picked["x"].to_numpy(float), picked["y"].to_numpy(float), max(IN_LEAF, int(leaf * share)), least_side)
 
 
 def near_pairs(df: DataFrame, key: str, x: str, y: str, distance: float, *, sample: int = SAMPLE, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
@@ -143,11 +147,14 @@ def near_pairs(df: DataFrame, key: str, x: str, y: str, distance: float, *, samp
             xs, ys = b["x"].to_numpy(float), b["y"].to_numpy(float)
             home = tree.home(xs, ys)
             yield b.assign(leaf=home, own=True)
-            # the corners of a point's square tell whether it is near another leaf; few points are
-            corner = np.stack([tree.home(xs + i * reach, ys + j * reach) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-            for k in np.flatnonzero((corner != home).any(axis=0)):
-                others = [t for t in tree.touched(xs[k] - reach, ys[k] - reach, xs[k] + reach, ys[k] + reach) if t != home[k]]
-                yield b.iloc[[k] * len(others)].assign(leaf=others, own=False)
+            # no leaf is narrower than a point's square, so each leaf that meets the square holds a corner, side or middle of it
+            seen = [home]
+            for i, j in ((-1, -1), (-1, 1), (1, -1), (1, 1), (-1, 0), (1, 0), (0, -1), (0, 1)):
+                corner = tree.home(xs + i * reach, ys + j * reach)
+                new = np.logical_and.reduce([corner != s for s in seen])
+                if new.any():
+                    yield b[new].assign(leaf=corner[new], own=False)
+                    seen.append(corner)
 
     rows = pts.mapInPandas(placed, f"id {kind}, x double, y double, leaf long, own boolean")
     # leaves fuller than the sample said are split into blocks; pairs of blocks are tasks of their own
@@ -189,11 +196,27 @@ def inside(px: np.ndarray, py: np.ndarray, ring: np.ndarray) -> np.ndarray:
     return odd | border
 
 
+def _shapes(rings) -> list[tuple]:
+    """``(region, corners)`` of each region and ring, closed."""
+    return [(region, np.array([(p["x"], p["y"]) for p in [*ring, ring[0]]], float)) for region, ring in rings]
+
+
+def _probed(shapes: Sequence[tuple], b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The points of ``b`` in each shape: candidates by an R-tree of boxes, then the exact test."""
+    box = np.array([[*s.min(axis=0), *s.max(axis=0)] for _, s in shapes], float).reshape(-1, 4)
+    xs, ys = b["x"].to_numpy(float), b["y"].to_numpy(float)
+    q, i = RTree(*box.T).probe(xs, ys, xs, ys)
+    for r in np.unique(i):
+        own = q[i == r]
+        own = own[inside(xs[own], ys[own], shapes[r][1])]
+        yield pd.DataFrame({"region": [shapes[r][0]] * len(own), "id": b["id"].to_numpy()[own]})
+
+
 def regions_holding(df: DataFrame, key: str, x: str, y: str, regions: DataFrame, region_key: str, ring: str, *, max_corners: int = MAX_CORNERS) -> DataFrame:
     """``(region, id)``: each region with each distinct id that has a position in it; borders belong to the region.
 
-    ``ring``: ``array<struct<x, y>>``, closed or not.  The regions are counted before they are sent to the
-    tasks; beyond ``max_corners`` corners they are sent in blocks, one after the other.  Rows lacking an id
+    ``ring``: ``array<struct<x, y>>``, closed or not.  The regions' corners are counted: up to ``max_corners``
+    they are sent to the tasks, and points aren't shuffled; beyond, both meet in a quadtree's leaves.  Rows lacking an id
     or a finite coordinate and rings of under three corners hold nothing.
     """
     pts = points(df, key, x, y)
@@ -201,27 +224,47 @@ def regions_holding(df: DataFrame, key: str, x: str, y: str, regions: DataFrame,
     clean = regions.where(F.col(region_key).isNotNull() & (F.size(ring) >= 3)).select(F.col(region_key).alias("region"), F.col(ring).alias("ring"))
     region_kind = clean.schema["region"].dataType.simpleString()
     corners = clean.agg(F.coalesce(F.sum(F.size("ring")), F.lit(0))).first()[0]
-    blocks = max(1, -(-corners // max_corners))
 
     def held(rows: Sequence) -> DataFrame:
-        shapes = [(r["region"], np.array([(p["x"], p["y"]) for p in [*r["ring"], r["ring"][0]]], float)) for r in rows]
-        box = np.array([[*s.min(axis=0), *s.max(axis=0)] for _, s in shapes], float).reshape(-1, 4)
+        shapes = _shapes((r["region"], r["ring"]) for r in rows)
 
         def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            tree = RTree(*box.T)
             for b in batches:
-                xs, ys = b["x"].to_numpy(float), b["y"].to_numpy(float)
-                q, i = tree.probe(xs, ys, xs, ys)
-                for r in np.unique(i):
-                    own = q[i == r]
-                    own = own[inside(xs[own], ys[own], shapes[r][1])]
-                    yield pd.DataFrame({"region": [shapes[r][0]] * len(own), "id": b["id"].to_numpy()[own]})
+                yield from _probed(shapes, b)
 
         return pts.mapInPandas(probed, f"region {region_kind}, id {kind}")
 
-    parts = clean.withColumn("_b", F.pmod(F.xxhash64("region"), F.lit(blocks)))
-    out = None
-    for k in range(blocks):
-        found = held(parts.where(F.col("_b") == k).collect())
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    if corners <= max_corners:
+        return held(clean.collect()).distinct()
+
+    # too many to be sent everywhere: regions and points meet in the quadtree's leaves, in blocks of each
+    pts = cut(pts)
+    tree = sampled_tree(pts, pts.count(), 1e-9)
+
+    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(leaf=tree.home(b["x"].to_numpy(float), b["y"].to_numpy(float)))
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for region, ring_ in zip(b["region"], b["ring"]):
+                px, py = [p["x"] for p in ring_], [p["y"] for p in ring_]
+                leaves = tree.touched(min(px), min(py), max(px), max(py))
+                for k in range(0, len(leaves), 1_000):
+                    yield pd.DataFrame({"region": [region] * len(leaves[k : k + 1_000]), "leaf": leaves[k : k + 1_000], "ring": [ring_] * len(leaves[k : k + 1_000])})
+
+    at = pts.mapInPandas(homes, f"id {kind}, x double, y double, leaf long")
+    shapes = clean.mapInPandas(met, f"region {region_kind}, leaf long, ring array<struct<x:double,y:double>>")
+    full = at.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias("pb"))
+    wide = shapes.groupBy("leaf").agg(F.ceil(F.sum(F.size("ring")) / max_corners).alias("rb"))
+    blocks = cut(full.join(wide, "leaf"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = lookup_join(at, blocks, ["leaf"], "inner").withColumn("p", F.pmod(F.xxhash64("id", "x", "y"), F.col("pb"))).withColumn("r", each("rb")).drop("pb", "rb")
+    right = lookup_join(shapes, blocks, ["leaf"], "inner").withColumn("r", F.pmod(F.xxhash64("region"), F.col("rb"))).withColumn("p", each("pb")).drop("pb", "rb")
+
+    def both(points_: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = list(_probed(_shapes(zip(rows["region"], rows["ring"])), points_)) if len(rows) and len(points_) else []
+        return pd.concat(out) if out else pd.DataFrame({"region": rows["region"][:0], "id": points_["id"][:0]})
+
+    key = ["leaf", "p", "r"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(both, f"region {region_kind}, id {kind}").distinct()

@@ -14,12 +14,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from railweave.operators.timetable import with_ordinal
-from railweave.scale import cut, lookup_join
+from railweave.scale import cut, lookup_join, numbered
 
 INF = float("inf")
 #: Edges of a network that may be sent to the tasks (24 bytes each); larger ones are relaxed with joins.
@@ -68,18 +68,6 @@ def missing_endpoints(nodes: DataFrame, edges: DataFrame, from_node: str = "from
     return lost.groupBy("node_id").agg(F.min_by("x", F.when(F.col("x").isNotNull(), at)).alias("x"), F.min_by("y", F.when(F.col("y").isNotNull(), at)).alias("y"), F.min(at).alias("_at")).withColumn("in_area", F.lit(False))
 
 
-def node_rows(nodes: DataFrame, first: Column | Sequence[Column] = ()) -> DataFrame:
-    """``nodes`` with ``row`` = their place in the given order, from 0, without one task sorting all.
-
-    Nodes are range-partitioned; a partition's offset is the number of nodes before it.
-    """
-    order = list(first) if isinstance(first, (list, tuple)) else [first]
-    placed = cut(nodes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    sizes = placed.groupBy("_p").agg(F.count("*").alias("_c"))  # as many rows as partitions
-    offset = sizes.withColumn("_o", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    return lookup_join(placed, offset, ["_p"], "inner").withColumn("row", F.col("_o") + F.col("_k")).drop("_p", "_k", "_o")
-
-
 def build_matrix(nodes: DataFrame, edges: DataFrame, weights: Sequence[str], *, from_node: str = "from_node", to_node: str = "to_node", meta: dict | None = None, check: bool = True) -> Network:
     """The network matrix of a node and an edge table.
 
@@ -97,7 +85,7 @@ def build_matrix(nodes: DataFrame, edges: DataFrame, weights: Sequence[str], *,
             raise ValueError(f"repeated node ids: {', '.join(str(r['node_id']) for r in twice)}")
     column = lambda c, t: F.col(c).cast(t) if c in nodes.columns else F.lit(None).cast(t)
     known = nodes.select("node_id", column("x", "double").alias("x"), column("y", "double").alias("y"), F.coalesce(column("in_area", "boolean"), F.lit(True)).alias("in_area"), F.struct(F.lit(-1).alias("side"), F.col("_ordinal").alias("_ordinal")).alias("_at"))
-    rows = node_rows(known.unionByName(missing_endpoints(nodes, edges, from_node, to_node)), [F.col("_at")]).drop("_at")
+    rows = numbered(known.unionByName(missing_endpoints(nodes, edges, from_node, to_node)), ["_at"], "row").drop("_at")
     rows = cut(rows)
     index = rows.select("node_id", "row")
     number = lambda w: F.coalesce(F.when(~F.isnan(F.col(w).cast("double")), F.col(w).cast("double")), F.lit(INF)).alias(w)

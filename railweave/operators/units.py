@@ -155,15 +155,14 @@ def common_units(df: DataFrame, key: str, value: str, text: str, source: str, un
     not known.  A unit in the text holds for the text, and the number in ``value`` is then the same reading,
     so the text governs; without one, the text's bare numbers and ``value`` have the source's unit (``base``
     where the source never names one).  Rows without any number (nulls, blanks, NaN, words) give nulls and
-    ``n_given`` 0.  Keys that repeat are distinct rows only if ``key`` is unique; other columns are ignored.
+    ``n_given`` 0.  Each row has a row of its own, repeated keys too; other columns are ignored.  Rows aren't
+    shuffled: only the distinct lists of spellings are.
     """
     rows = df.select(F.col(key).alias("_key"), F.col(value).cast("double").alias("_value"), F.col(source).cast("string").alias("_source"), quantities(F.col(text).cast("string")).alias("_given"))
-    counted = cut(
-        rows.select("_source", F.explode("_given.spelling").alias("_spelling"))
-        .where(F.col("_spelling") != "")
-        .groupBy("_source", "_spelling")
-        .agg(F.count("*").alias("_n"))
-    )
+    rows = rows.withColumn("_spelt", F.col("_given.spelling"))
+    # the lists of spellings that rows have, each once: rows are only looked up by them, never taken apart and grouped again
+    lists = cut(rows.where(F.exists("_spelt", lambda s: s != "")).groupBy("_source", "_spelt").agg(F.count("*").alias("_n")))
+    counted = lists.select("_source", "_n", F.explode("_spelt").alias("_spelling")).where(F.col("_spelling") != "").groupBy("_source", "_spelling").agg(F.sum("_n").alias("_n"))
     names = cut(unit_dictionary(counted, "_spelling", units, most))
     habit = (
         lookup_join(counted.withColumnRenamed("_spelling", "spelling"), names, ["spelling"], "inner")
@@ -175,20 +174,26 @@ def common_units(df: DataFrame, key: str, value: str, text: str, source: str, un
         .where(F.col("_source").isNotNull())
     )
     factors = F.create_map(*[x for n, u in units.items() for x in (F.lit(n), F.lit(u.factor))])
-    # the dictionary is joined once to all rows: a row's spellings are few, so they are gathered per row by exploding
-    spelled = rows.select("_key", "_value", "_source", F.posexplode_outer("_given").alias("_pos", "_q")).select("_key", "_value", "_source", "_pos", F.col("_q.value").alias("_number"), F.col("_q.spelling").alias("spelling"))
-    joined = lookup_join(lookup_join(spelled, names.select("spelling", "unit"), ["spelling"]), habit, ["_source"])
+    spelled = lists.select("_spelt").distinct().select("_spelt", F.posexplode("_spelt").alias("_pos", "spelling"))
+    units_of = lookup_join(spelled, names.select("spelling", "unit"), ["spelling"]).groupBy("_spelt").agg(F.array_sort(F.collect_list(F.struct("_pos", "unit"))).alias("_units"))
+    joined = lookup_join(lookup_join(rows, cut(units_of), ["_spelt"]), habit, ["_source"])
     own = F.coalesce("_habit", F.lit(base))
-    meant = F.when(F.col("_number").isNotNull(), F.coalesce("unit", F.when(F.col("spelling") == "", own)))
+
+    def converted(q: Column, i: Column) -> Column:
+        known = F.try_element_at("_units", i + 1)["unit"]
+        meant = F.coalesce(known, F.when(q["spelling"] == "", own))
+        return F.struct(F.round(q["value"] * F.try_element_at(factors, meant), 9).alias("_x"), meant.alias("_u"), F.when((q["spelling"] != "") & known.isNull(), q["spelling"]).alias("_odd"))
+
     reading = F.when((F.col("_value") >= 0) & ~F.isnan("_value"), F.col("_value"))
-    per = joined.withColumn("_u", meant).withColumn("_x", F.round(F.col("_number") * F.element_at(factors, F.col("_u")), 9))
-    best = per.groupBy("_key").agg(
-        F.max(F.when(F.col("_x").isNotNull(), F.struct("_x", "_u"))).alias("_best"),
-        F.count("_x").alias("_n"),
-        F.max(F.when((F.col("spelling") != "") & F.col("unit").isNull(), F.col("spelling"))).alias("unknown_unit"),
-        F.max(F.col("unit").isNotNull()).alias("_named"),
-        F.max(reading).alias("_reading"),
-        F.max(own).alias("_own"),
+    per = joined.withColumn("_all", F.transform("_given", converted)).withColumn("_own", own)
+    best = per.select(
+        "_key",
+        "_own",
+        F.array_max(F.transform(F.filter("_all", lambda a: a["_x"].isNotNull()), lambda a: F.struct(a["_x"], a["_u"]))).alias("_best"),
+        F.size(F.filter("_all", lambda a: a["_x"].isNotNull())).alias("_n"),
+        F.array_max(F.transform("_all", lambda a: a["_odd"])).alias("unknown_unit"),
+        F.coalesce(F.exists("_units", lambda u: u["unit"].isNotNull()), F.lit(False)).alias("_named"),
+        reading.alias("_reading"),
     )
     plain = F.when(~F.col("_named"), F.struct(F.round(F.col("_reading") * F.element_at(factors, F.col("_own")), 9).alias("_x"), F.col("_own").alias("_u")))
     plain = F.when(plain["_x"].isNotNull(), plain)

@@ -5,25 +5,30 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: Rows up to which a lookup table is broadcast.  Lookup tables hold a few narrow columns,
-#: so this bounds a broadcast to some tens of MB; larger ones are joined with salted keys.
-LOOKUP_ROWS = 200_000
+#: Rows and bytes (as written out in text) up to which a lookup table is broadcast; larger ones are joined by shuffle.
+LOOKUP_ROWS, LOOKUP_BYTES = 200_000, 16 << 20
 
-#: Copies of a lookup table too large to broadcast; a hot key of the large side is spread over them.
-LOOKUP_SALTS = 16
+#: A key is hot if it has more than one in so many of all rows; there can't be more hot keys than that.
+HOT_SHARE = 1_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset, as in tests on one
-    machine, a temporary folder is made.
+    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset and the session runs on one
+    machine, as in tests, a temporary folder is made; on a cluster each executor would write to its own disk,
+    so there an unset folder raises ``ValueError``.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.getCheckpointDir() and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not named:
         named = spark.sparkContext.getCheckpointDir() or os.path.join(tempfile.gettempdir(), "railweave-checkpoints")
     if not spark.sparkContext.getCheckpointDir():
@@ -40,31 +45,49 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def lookup_join(
-    df: DataFrame,
-    small: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    *,
-    max_rows: int = LOOKUP_ROWS,
-    salts: int = LOOKUP_SALTS,
-    n_rows: int | None = None,
-) -> DataFrame:
+def is_small(df: DataFrame, max_rows: int = LOOKUP_ROWS, max_bytes: int = LOOKUP_BYTES) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes; no more than that is looked at."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    seen = df.limit(max_rows + 1).agg(F.count("*").alias("n"), F.coalesce(size, F.lit(0)).alias("b")).first()
+    return seen["n"] <= max_rows and seen["b"] <= max_bytes
+
+
+def lookup_join(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", *, max_rows: int = LOOKUP_ROWS, max_bytes: int = LOOKUP_BYTES, n_rows: int | None = None) -> DataFrame:
     """Join each row of ``df`` with at most one row of ``small``, whatever the skew of the keys.
 
-    Up to ``max_rows`` rows (counted, or given as ``n_rows``) ``small`` is broadcast and ``df`` isn't
-    shuffled.  Beyond, ``small`` is copied ``salts`` times and the rows of a key of ``df`` are spread
-    over the copies, so that no key ends in one task.
+    If ``small`` is small by rows and bytes (measured, or ``n_rows`` narrow ones as given) it is broadcast and
+    ``df`` isn't shuffled.  Beyond, the rows of each key of ``df`` are counted; a hot key's are spread over as
+    many copies of its row of ``small`` as it has thousandths of all rows, so that no task gets more than that.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"how must be left, inner, left_semi or left_anti, not {how!r}")
     on = list(on)
-    if (small.limit(max_rows + 1).count() if n_rows is None else n_rows) <= max_rows:
+    if is_small(small, max_rows, max_bytes) if n_rows is None else n_rows <= max_rows:
         return df.join(F.broadcast(small), on, how)
-    others = [c for c in df.columns if c not in on] or on
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    counts = cut(df.groupBy(*on).agg(F.count("*").alias("_c")))
+    total = counts.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
+    known = ~reduce(or_, [F.col(c).isNull() for c in on])
+    hot = cut(counts.where(known & (F.col("_c") * HOT_SHARE > total)).select(*on, F.ceil(F.col("_c") * HOT_SHARE / F.lit(total)).alias("_copies")))
+    copies = F.coalesce("_copies", F.lit(1).cast("long"))
+    # at most HOT_SHARE keys are hot, which bounds both broadcasts
+    spread_ = df.where(known).withColumn("_row", F.monotonically_increasing_id()).join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64("_row"), copies)).drop("_row", "_copies")
+    copied = small.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("_copies")
+    joined = spread_.join(copied, [*on, "_salt"], how).drop("_salt")
+    if how in ("inner", "left_semi"):
+        return joined
+    # keys with a null match nothing and would all be one task's
+    return joined.unionByName(df.where(~known), allowMissingColumns=True)
+
+
+def numbered(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """``df`` with ``name``: each row's place in the given order, from 0, without one task sorting all.
+
+    Rows are range-partitioned; a partition's offset is the number of rows before it.
+    """
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = placed.groupBy("_p").agg(F.count("*").alias("_c"))  # as many rows as partitions
+    offset = sizes.withColumn("_o", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    return placed.join(F.broadcast(offset), "_p").withColumn(name, F.col("_o") + F.col("_k")).drop("_p", "_k", "_o")
 
 
 def fresh(df: DataFrame, stem: str) -> str:

@@ -52,3 +52,28 @@ def test_trees():
     assert RTree(x[:0], y[:0], x[:0], y[:0]).probe(x, y, x, y)[0].size == 0
     square = np.array([(0, 0), (1, 0), (1, 1), (0, 1), (0, 0)], float)
     assert list(inside(np.array([0.5, 1.0, 1.5]), np.array([0.5, 0.5, 0.5]), square)) == [True, True, False]
+
+
+def test_leaves_hold_as_many_points_whatever_the_size(spark):
+    from railweave.operators.near import sampled_tree
+
+    pts = spark.range(300_000).selectExpr("id", "pmod(hash(id, 1), 1000003) / 1.0 as x", "pmod(hash(id, 2), 1000003) / 1.0 as y")
+    for n in (30_000, 300_000):
+        some = pts.where(f"id < {n}")
+        tree = sampled_tree(some, n, 1.0, sample=100, leaf=1_000)
+        at = some.toPandas()
+        held = np.bincount(tree.home(at["x"].to_numpy(), at["y"].to_numpy()))
+        assert held.max() < 2_500 and held.mean() > 200
+
+
+@pytest.mark.parametrize("corners", [500_000, 50])
+def test_many_regions_against_brute_force(spark, corners):
+    rng = np.random.default_rng(8)
+    pts = [(int(i), float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 100, (400, 2)))]
+    rings = {k: [(float(x), float(y)), (float(x + w), float(y)), (float(x + w / 2), float(y + w))] for k, (x, y, w) in enumerate(zip(rng.uniform(0, 90, 60), rng.uniform(0, 90, 60), rng.uniform(1, 40, 60)))}
+    df = spark.createDataFrame(pts, "id long, x double, y double")
+    parts = spark.createDataFrame([(k, [{"x": x, "y": y} for x, y in r]) for k, r in rings.items()], "part int, ring array<struct<x: double, y: double>>")
+    found = {tuple(r) for r in regions_holding(df, "id", "x", "y", parts, "part", "ring", max_corners=corners).collect()}
+    px, py = np.array([p[1] for p in pts]), np.array([p[2] for p in pts])
+    expected = {(k, int(i)) for k, r in rings.items() for i in np.flatnonzero(inside(px, py, np.array([*r, r[0]])))}
+    assert found == expected and len(expected) > 100

@@ -83,3 +83,18 @@ def test_pieces():
     assert np.allclose(rolling_median(v, 1), expected)
     assert list(run_lengths(np.array([1, 1, np.nan, 1, 2]))) == [3, 3, 0, 3, 1]
     assert judge_readings.__doc__
+
+
+def test_a_minute_of_a_million_readings_is_many_groups_and_judged_alike(spark):
+    from pyspark.sql import functions as F
+
+    from railweave.operators import spikes
+
+    made = spark.range(1_000_000).select(F.col("id"), F.lit("s").alias("source"), F.lit(30.0).alias("at"), F.when(F.col("id") % 50_000 == 7, 9_000.0).otherwise(300.0 + F.col("id") % 61).alias("reading"), F.lit(None).cast("double").alias("second"), F.col("id").alias("tie"))
+    few = spark.range(100).select((F.col("id") + 2_000_000).alias("id"), F.lit("s").alias("source"), (F.col("id") * 70.0).alias("at"), F.lit(320.0).alias("reading"), F.lit(None).cast("double").alias("second"), F.col("id").alias("tie"))
+    rows = made.unionByName(few)
+    stated = rows.withColumn("n", F.lit(1_000_100)).withColumn("level", F.lit(0.0)).withColumn("scatter", F.lit(0.0))
+    groups = spikes._chunked(stated, spikes.CHUNK, 30).groupBy("chunk_no").count().agg(F.max("count"), F.sum("count")).first()
+    assert groups[0] <= 2 * spikes.CHUNK and groups[1] < 1.05 * 1_000_100
+    found = {r["id"] for r in judge_readings(rows).where("spike").collect()}
+    assert found == {7 + 50_000 * k for k in range(20)}

@@ -36,3 +36,11 @@ def test_unknown_unit_is_reported_and_empty_table(rows):
     df = rows("edge_row long, maxspeed double, spd_raw string, source string", (1, None, "7 furlongs", "s"))
     assert common_units(df, "edge_row", "maxspeed", "spd_raw", "source").first()["unknown_unit"] == "furlongs"
     assert common_units(df.limit(0), "edge_row", "maxspeed", "spd_raw", "source").count() == 0
+
+
+def test_mixed_spellings_repeated_keys_and_no_shuffle_of_rows(rows):
+    df = rows(SCHEMA, (1, None, "30 mph; 40 km/h; 9", "s", "", ""), (1, None, "20 kn", "s", "", ""), (2, 50.0, None, "m", "", ""))
+    out = common_units(df, "edge_row", "maxspeed", "spd_raw", "source")
+    assert sorted((r["edge_row"], r["unit"], round(r["converted"], 2), r["n_given"]) for r in out.collect()) == [(1, "knot", 37.04, 1), (1, "mph", 48.28, 3), (2, "km/h", 50.0, 1)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
