@@ -21,7 +21,7 @@ def test_a_hot_key_is_many_tasks(spark, skewed):
     small = spark.range(60).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     plan = lookup_join(skewed, small, ["k"], "inner", max_rows=5)
     assert "_salt" in plan._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.where("k = 0").count() == 2_000
+    assert plan.where("k = 0").count() == skewed.where("k = 0").count() > 2_000
 
 
 def test_size_is_measured_in_bytes_too(spark):
