@@ -162,16 +162,17 @@ def corpus(seed=3):
     return docs + [(100, docs[5][1]), (101, None), (102, ""), (103, "z" * 500), (104, "z" * 300), (105, shared[0][:59]), (106, "x" + shared[0][:60])]
 
 
-@pytest.mark.parametrize("least,unit", [(60, 40), (60, 60), (50, 7)])
-def test_pairs_against_all_windows(spark, least, unit):
+@pytest.mark.parametrize("least,unit,most", [(60, 40, 48), (60, 60, 48), (50, 7, 48), (60, 30, 1), (50, 7, 3)])
+def test_pairs_against_all_windows(spark, least, unit, most):
     docs = corpus()
     df = spark.createDataFrame([(i, t, 0, 0) for i, t in docs], "doc_id long, text string, at int, n int")
-    found = [tuple(r) for r in spans.sharing_pairs(df, "doc_id", "text", least, unit).collect()]
+    found = [tuple(r) for r in spans.sharing_pairs(df, "doc_id", "text", least, unit, most).collect()]
     want, _ = brute_pairs(docs, least)
     assert len(found) == len(set(found)) and set(found) == want
 
 
-def test_shares_and_removal(spark):
+@pytest.mark.parametrize("most", [48, 1])
+def test_shares_and_removal(spark, most):
     docs = corpus(8)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     _, held = brute_pairs(docs, 60)
@@ -183,16 +184,27 @@ def test_shares_and_removal(spark):
                 cover[i] |= set(range(k, k + 60))
                 if min(own) < i:
                     later[i] |= set(range(k, k + 60))
-    out = {r["doc_id"]: r for r in spans.shared_share(df, "doc_id", "text", 60, 40).collect()}
+    out = {r["doc_id"]: r for r in spans.shared_share(df, "doc_id", "text", 60, 40, most).collect()}
     assert len(out) == len(docs)
     for i, t in docs:
         assert (out[i]["n_chars"], out[i]["shared_chars"], out[i]["repeated_chars"]) == (len(t or ""), len(cover[i]), len(later[i]))
     cut = defaultdict(set)
-    for r in spans.repeated_spans(df, "doc_id", "text", 60, 40).collect():
+    for r in spans.repeated_spans(df, "doc_id", "text", 60, 40, most).collect():
         cut[r["doc_id"]] |= set(range(r["start"], r["end"]))
     assert cut == {i: s for i, s in later.items() if s}
 
 
+def test_one_text_in_very_many_records_and_long_texts(spark):
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(230))
+    df = spark.range(3_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit(text)).otherwise(F.concat(F.sha2(F.col("id").cast("string"), 512), F.sha2(F.repeat(F.col("id").cast("string"), 2), 512))).alias("text"))
+    assert spans.sharing_pairs(df, "doc_id", "text").count() == 1_000 * 999 // 2
+    long = "".join(rng.choice("abcdefgh ") for _ in range(spans.PIECE + 5_000))
+    pair = spark.createDataFrame([(1, long), (2, "x" * 40 + long[spans.PIECE - 90 : spans.PIECE + 110]), (3, long[:-1])], "doc_id long, text string")
+    assert {tuple(r) for r in spans.sharing_pairs(pair, "doc_id", "text").collect()} == {(1, 2), (1, 3), (2, 3)}
+    assert {r["doc_id"]: r["shared_chars"] for r in spans.shared_share(pair, "doc_id", "text").collect()} == {1: len(long) - 1, 2: 200, 3: len(long) - 1}
+
+
 def test_empty_corpus_and_bad_sizes(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert spans.sharing_pairs(df, "doc_id", "text").count() == 0 and spans.shared_share(df, "doc_id", "text").count() == 0
