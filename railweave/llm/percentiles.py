@@ -1,9 +1,11 @@
 """Percentiles of very large numeric columns by radix selection.
 
 A double becomes an integer whose unsigned order is the number's order.  A histogram of the top digit per
-group shows which digit holds each wanted rank; only values under that digit are counted by the next
-digit, and so on.  Histograms add up, so results of separate partitions or days can be combined: the
-digests of ``day_digests`` are such histograms at a fixed precision, and the selection itself is exact.
+group, counted before the shuffle, shows which digit holds each wanted rank; the column is read again and
+only values under that digit are counted by the next digit, and so on, until a digit holds one number only.
+What is shuffled are histograms: it doesn't matter how many different numbers there are.  Histograms add
+up, so results of separate partitions or days can be combined: the digests of ``day_digests`` are such
+histograms at a fixed precision, and the selection itself is exact.
 """
 
 from __future__ import annotations
@@ -43,52 +45,77 @@ def _to_value(key: Column | str) -> Column:
     return F.pandas_udf(lambda k: pd.Series(from_ordered_bits(k.to_numpy(np.int64))), "double")(key)
 
 
-def key_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """``(groups..., key, n)``: how often each number occurs in each group.  Nulls and NaN aren't counted.
-
-    Counted before the numbers become keys, so only distinct numbers pass through Python.
-    """
+def _numbers(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """``(groups..., _v, n)``: the numbers of ``df``, each counting once; nulls and NaN are left out and -0.0 is 0.0."""
     number = F.col(value).cast("double")
-    counted = df.where(number.isNotNull() & ~F.isnan(number)).select(*groups, number.alias("_v")).groupBy(*groups, "_v").agg(F.count("*").alias("n"))
-    return counted.select(*groups, _to_key("_v").alias("key"), "n").groupBy(*groups, "key").agg(F.sum("n").alias("n"))
+    return df.where(number.isNotNull() & ~F.isnan(number)).select(*groups, (number + 0.0).alias("_v"), F.lit(1).cast("long").alias("n"))
+
 
+def _hashes(groups: Sequence[str]) -> list[Column]:
+    """One hidden number of 128 bits for a group, so that null group values are matched like others."""
+    same = [F.coalesce(F.col(g).cast("string"), F.lit("\u0000")) for g in groups]
+    return [F.xxhash64(*same, F.lit(1)).alias("_g"), F.xxhash64(F.lit(2), *same).alias("_h")]
 
-def _same(groups: Sequence[str]) -> list[Column]:
-    return [F.coalesce(F.col(g).cast("string"), F.lit("\u0000")) for g in groups]
 
+def _ends(column: Column, number: bool) -> Column:
+    """``column`` (a key) in the rows' own domain; keys beyond those of the infinities are no numbers."""
+    if not number:
+        return column
+    least, most = (F.lit(int(k)).cast("long") for k in ordered_bits(np.array([-np.inf, np.inf])))
+    return _to_value(F.least(F.greatest(column, least), most))
 
-def select_ranks(counts: DataFrame, groups: Sequence[str], percents: Sequence[float], digits: Sequence[int] = DIGITS) -> DataFrame:
+
+def select_ranks(rows: DataFrame, groups: Sequence[str], percents: Sequence[float], digits: Sequence[int] = DIGITS) -> DataFrame:
     """``(groups..., percent, key, n)``: the key at each percentile of each group, ``n`` the group's size.
 
-    ``counts`` holds ``(groups..., key, n)``, from any number of partitions or days together.  The percentile
-    p is the value at rank ceil(p * n), at least 1 (the discrete inverse of the distribution).  Null group
-    values are groups of their own.
+    ``rows`` holds ``(groups..., _v double, n)``, numbers, or ``(groups..., key long, n)``, from any number of
+    partitions or days together, ``n`` being how often each counts.  It is read once for each digit that must
+    be followed, so it should be cheap to read.  The percentile p is the value at rank ceil(p * n), at least 1
+    (the discrete inverse of the distribution).  Null group values are groups of their own.
     """
     if sum(digits) != 64:
         raise ValueError("the digits must make 64 bits")
-    groups = list(groups)
-    # a group gets one hidden number, so that null group values join like others; the counts stay distributed
-    marked = cut(counts.withColumn("_g", F.xxhash64(*_same(groups), F.lit(1))).withColumn("_h", F.xxhash64(F.lit(2), *_same(groups))))
-    sizes = marked.groupBy("_g", "_h").agg(F.sum("n").alias("size"), *[F.first(g).alias(g) for g in groups])
-    wanted = sizes.select("_g", "_h", *groups, "size", F.explode(F.array(*[F.lit(float(p)) for p in percents])).alias("percent"))
-    wanted = cut(wanted.withColumn("rank", F.greatest(F.ceil(F.round(F.col("percent") * F.col("size"), 9)), F.lit(1))).withColumn("prefix", F.lit(0).cast("long")))
+    groups, own = list(groups), "_v" if "_v" in rows.columns else "key"
+    turned = F.lit(-(1 << 63)).cast("long")
+    key = _to_key("_v") if own == "_v" else F.col("key")
+    follow: DataFrame | None = None
+    done: list[DataFrame] = []
     shift = 64
     for digit in digits:
         shift -= digit
-        # unsigned order: the sign bit is turned
-        unsigned = F.col("key").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
-        above = F.shiftrightunsigned(unsigned, shift + digit) if shift + digit < 64 else F.lit(0).cast("long")
-        live = marked.select("_g", "_h", above.alias("prefix"), F.shiftrightunsigned(unsigned, shift).bitwiseAND(F.lit((1 << digit) - 1)).alias("digit"), "n")
-        histogram = live.groupBy("_g", "_h", "prefix", "digit").agg(F.sum("n").alias("n"))
-        if shift + digit < 64:  # only the digits that hold a wanted rank are followed
-            followed = wanted.select("_g", "_h", "prefix").distinct()
-            histogram = histogram.join(followed, ["_g", "_h", "prefix"], "left_semi")
+        base = rows.select(*groups, *_hashes(groups), own, "n")
+        if follow is not None:
+            # only what lies under a followed digit is turned into keys and counted
+            under = follow.groupBy("_g", "_h").agg(F.collect_set(F.struct("lo", "hi")).alias("under"))
+            base = lookup_join(base, cut(under), ["_g", "_h"], "inner").where(F.exists("under", lambda r: (F.col(own) >= r["lo"]) & (F.col(own) <= r["hi"]))).drop("under")
+        base = base.withColumn("_k", key.bitwiseXOR(turned))
+        above = F.shiftrightunsigned("_k", shift + digit) if shift + digit < 64 else F.lit(0).cast("long")
+        held = base.groupBy(*groups, "_g", "_h", above.alias("prefix"), F.shiftrightunsigned("_k", shift).bitwiseAND(F.lit((1 << digit) - 1)).alias("digit"))
+        histogram = held.agg(F.sum("n").alias("n"), F.min(own).alias("least"), F.max(own).alias("most"))
+        if follow is None:
+            histogram = cut(histogram)
+            sizes = histogram.groupBy(*groups, "_g", "_h").agg(F.sum("n").alias("size"))
+            wanted = sizes.select("*", F.explode(F.array(*[F.lit(float(p)) for p in percents])).alias("percent"), F.lit(0).cast("long").alias("prefix"))
+            wanted = wanted.withColumn("rank", F.greatest(F.ceil(F.round(F.col("percent") * F.col("size"), 9)), F.lit(1)))
+        else:
+            wanted = follow.drop("lo", "hi")
         # a histogram's digits are at most 2**16, however many rows the group has
         upto = Window.partitionBy("_g", "_h", "prefix").orderBy("digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        histogram = histogram.withColumn("high", F.sum("n").over(upto)).withColumn("low", F.col("high") - F.col("n")).drop("n")
-        hit = wanted.join(histogram, ["_g", "_h", "prefix"]).where((F.col("rank") > F.col("low")) & (F.col("rank") <= F.col("high")))
-        wanted = cut(hit.withColumn("rank", F.col("rank") - F.col("low")).withColumn("prefix", F.shiftleft("prefix", digit).bitwiseOR(F.col("digit"))).drop("low", "high", "digit"))
-    return wanted.select(*groups, "percent", F.col("prefix").bitwiseXOR(F.lit(-(1 << 63)).cast("long")).alias("key"), F.col("size").alias("n"))
+        counted = histogram.drop(*groups).withColumn("high", F.sum("n").over(upto)).withColumn("low", F.col("high") - F.col("n")).drop("n")
+        hit = wanted.join(counted, ["_g", "_h", "prefix"]).where((F.col("rank") > F.col("low")) & (F.col("rank") <= F.col("high")))
+        hit = cut(hit.withColumn("rank", F.col("rank") - F.col("low")).withColumn("prefix", F.shiftleft("prefix", digit).bitwiseOR(F.col("digit"))).drop("low", "high", "digit"))
+        # a digit that holds one number is followed no further
+        done.append(hit.where(F.col("least") == F.col("most")).select(*groups, "percent", F.col("least").alias("_found"), F.col("size").alias("n")))
+        first = F.shiftleft("prefix", shift) if shift else F.col("prefix")
+        last = first.bitwiseOR(F.lit((1 << shift) - 1))
+        open_ = hit.where(F.col("least") != F.col("most")).drop("least", "most")
+        if not shift or open_.isEmpty():
+            break
+        follow = cut(open_.withColumn("lo", _ends(first.bitwiseXOR(turned), own == "_v")).withColumn("hi", _ends(last.bitwiseXOR(turned), own == "_v")))
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    return found.select(*groups, "percent", (_to_key("_found") if own == "_v" else F.col("_found")).alias("key"), "n")
 
 
 def percentiles(df: DataFrame, groups: Sequence[str], value: str, percents: Sequence[float]) -> DataFrame:
@@ -98,7 +125,7 @@ def percentiles(df: DataFrame, groups: Sequence[str], value: str, percents: Sequ
     order; ties and repeated rows count each; groups of any size are counted in parts.  Extra columns are
     ignored; an empty table gives no row.
     """
-    found = select_ranks(key_counts(df, groups, value), groups, percents)
+    found = select_ranks(_numbers(df, groups, value), groups, percents)
     return found.select(*groups, "percent", _to_value("key").alias("value"), "n")
 
 
@@ -108,14 +135,14 @@ def day_digests(df: DataFrame, day: str, groups: Sequence[str], value: str, bits
     Digests of separate days (or partitions) are combined by ``union`` alone; ``digest_percentiles``
     reads percentiles from any union of them with a relative error of at most ``2 ** -(bits - 12)``.
     """
-    counts = key_counts(df, [day, *groups], value)
-    return counts.withColumn("bucket", F.shiftright("key", 64 - bits)).groupBy(day, *groups, "bucket").agg(F.sum("n").alias("n"))
+    rows = _numbers(df, [day, *groups], value)
+    return rows.withColumn("bucket", F.shiftright(_to_key("_v"), 64 - bits)).groupBy(day, *groups, "bucket").agg(F.count("*").alias("n"))
 
 
 def digest_percentiles(digests: DataFrame, groups: Sequence[str], percents: Sequence[float], bits: int = DIGEST_BITS) -> DataFrame:
     """``(groups..., percent, low, value, high, n)``: percentiles from digests; the exact one lies in [low, high]."""
     groups = list(groups)
-    keys = digests.select(*groups, F.shiftleft("bucket", 64 - bits).alias("key"), "n").groupBy(*groups, "key").agg(F.sum("n").alias("n"))
+    keys = cut(digests.select(*groups, F.shiftleft("bucket", 64 - bits).alias("key"), "n").groupBy(*groups, "key").agg(F.sum("n").alias("n")))
     found = select_ranks(keys, groups, percents)
     # keys beyond those of the infinities are no numbers
     ends = [F.lit(int(k)).cast("long") for k in ordered_bits(np.array([-np.inf, np.inf]))]

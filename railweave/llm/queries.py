@@ -82,6 +82,31 @@ def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_unmatched, p5_percentiles, p5_daily, p5_combined, p8_ids, p8_sizes, p9_draws, p9_shares, p10_found, p10_shares, p10_repeats)}
 
 
+#: The bucket of a number in a digest: exponent and 13 bits of fraction; negative numbers mirror positive ones.
+_MAGNITUDE = "case when abs(v) = 0 then 0 else (floor(log2(abs(v))) + 1023) * 8192 + floor((abs(v) / pow(2, floor(log2(abs(v)))) - 1) * 8192) end"
+_BUCKETS = f"""b as (select service_date, edge_id, period, (case when v < 0 then -1 - ({_MAGNITUDE}) else {_MAGNITUDE} end)::bigint as bucket
+                     from (select service_date, edge_id, period, travel_time_seconds as v from schedule where travel_time_seconds is not null and not isnan(travel_time_seconds)))"""
+
+
+def _edge_of(m: str, part: str) -> str:
+    """A place in the bucket of magnitude ``m``: ``part`` of its width, in SQL."""
+    return f"(case when {m} < 8192 then 0 else pow(2, floor({m} / 8192) - 1023) * (1 + ({m} % 8192 + {part}) / 8192) end)"
+
+
+def _combined_sql() -> str:
+    last = "(1 - pow(2::double, -39))"
+    m = "(-1 - bucket)"
+    return f"""
+        with {_BUCKETS}, r as (select edge_id, period, bucket, row_number() over (partition by edge_id, period order by bucket) as rn, count(*) over (partition by edge_id, period) as n from b),
+             p as (select unnest([{", ".join(f"{p}::double" for p in PERCENTS)}]) as percent),
+             f as (select edge_id, period, percent, bucket, n from r, p where rn = greatest(ceil(round(percent * n, 9)), 1))
+        select edge_id, period, percent, n::bigint as n,
+               case when bucket = 0 then 0.0::double when bucket < 0 then -{_edge_of(m, last)} else {_edge_of("bucket", "0")} end as low,
+               case when bucket = 0 then pow(2::double, -1036) when bucket < 0 then -{_edge_of(m, "(0.5 - pow(2::double, -39))")} else {_edge_of("bucket", "0.5")} end as value,
+               case when bucket = 0 then (pow(2::double, 39) - 1) * pow(2::double, -1074) when bucket < 0 then -{_edge_of(m, "0")} else {_edge_of("bucket", last)} end as high
+        from f"""
+
+
 def oracle_sql() -> dict[str, str]:
     percents = ", ".join(f"{p}::double" for p in PERCENTS)
     return {
@@ -93,4 +118,6 @@ def oracle_sql() -> dict[str, str]:
                  p as (select unnest([{percents}]) as percent)
             select edge_id, period, percent, travel_time_seconds, n::bigint as n
             from v, p where rn = greatest(ceil(round(percent * n, 9)), 1)""",
+        "p5_daily": f"with {_BUCKETS} select service_date, edge_id, period, bucket, count(*)::bigint as n from b group by all",
+        "p5_combined": _combined_sql(),
     }
