@@ -12,6 +12,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,16 +23,32 @@ MAX_ENTRIES = 200_000
 #: Typed values a task remembers; beyond it starts anew.
 REMEMBERED = 200_000
 
-#: Abbreviations of name words, articles, words around a name that aren't part of it, non-names.
-ABBREVIATIONS = {
-    "sta": "santa", "sto": "santo", "st": "san", "s": "san", "sn": "san", "pto": "puerto", "pt": "puerto", "pta": "punta", "mte": "monte", "mt": "monte",
-    "mts": "montes", "fte": "fuente", "fnte": "fuente", "ftes": "fuentes", "tre": "torre", "trr": "torre", "t": "torre", "f": "fuente", "p": "puerto", "m": "monte", "vlle": "valle", "vll": "vall", "va": "villa", "vva": "villanueva", "cast": "castillo",
-}
-ARTICLES = ("el", "la", "los", "las", "lo", "o", "a", "os", "as", "l", "els", "les", "sa", "es")
-LINKS = ("de", "del", "d", "y", "i", "e", "en", "la", "el", "los", "las")
-AROUND = ("municipio", "mun", "municipality", "ayuntamiento", "ayto", "aytmo", "ajuntament", "concello", "concejo", "termino", "municipal", "villa", "ciudad", "pueblo", "localidad", "centro", "alrededores", "afueras", "cercanias", "entorno", "zona", "area", "casco", "urbano", "norte", "sur", "este", "oeste", "capital", "y", "de", "del", "en", "the", "of", "city", "town", "spain", "espana")
-PROVINCE_WORDS = ("provincia", "prov", "provincial", "province")
-OTHER_LEVELS = ("provincia", "prov", "comarca", "mancomunidad", "mancom", "territorio", "isla", "region", "comunidad", "diputacion")
+
+@dataclass(frozen=True)
+class Words:
+    """The words of a language's names: what abbreviates name words, articles, links, words around a name that
+    aren't part of it, words for a province and for other levels."""
+
+    abbreviations: dict[str, str]
+    articles: tuple[str, ...]
+    links: tuple[str, ...]
+    around: tuple[str, ...]
+    province: tuple[str, ...]
+    other_levels: tuple[str, ...]
+
+
+#: The words of Spanish names; other languages are given as another ``Words``.
+SPANISH = Words(
+    abbreviations={
+        "sta": "santa", "sto": "santo", "st": "san", "s": "san", "sn": "san", "pto": "puerto", "pt": "puerto", "pta": "punta", "mte": "monte", "mt": "monte",
+        "mts": "montes", "fte": "fuente", "fnte": "fuente", "ftes": "fuentes", "tre": "torre", "trr": "torre", "t": "torre", "f": "fuente", "p": "puerto", "m": "monte", "vlle": "valle", "vll": "vall", "va": "villa", "vva": "villanueva", "cast": "castillo",
+    },
+    articles=("el", "la", "los", "las", "lo", "o", "a", "os", "as", "l", "els", "les", "sa", "es"),
+    links=("de", "del", "d", "y", "i", "e", "en", "la", "el", "los", "las"),
+    around=("municipio", "mun", "municipality", "ayuntamiento", "ayto", "aytmo", "ajuntament", "concello", "concejo", "termino", "municipal", "villa", "ciudad", "pueblo", "localidad", "centro", "alrededores", "afueras", "cercanias", "entorno", "zona", "area", "casco", "urbano", "norte", "sur", "este", "oeste", "capital", "y", "de", "del", "en", "the", "of", "city", "town", "spain", "espana"),
+    province=("provincia", "prov", "provincial", "province"),
+    other_levels=("provincia", "prov", "comarca", "mancomunidad", "mancom", "territorio", "isla", "region", "comunidad", "diputacion"),
+)
 
 
 def repaired(text: str) -> str:
@@ -56,28 +73,69 @@ def plain(text: str) -> str:
     return " ".join("".join(out).split())
 
 
-def words(text: str) -> list[str]:
+def words(text: str, of: Words = SPANISH) -> list[str]:
     """The words of a plain text, without its marks, abbreviations written out."""
-    return [ABBREVIATIONS.get(w, w) for w in text.split() if w not in ("/", "(", ")", ",")]
+    return [of.abbreviations.get(w, w) for w in text.split() if w not in ("/", "(", ")", ",")]
+
+
+@lru_cache(maxsize=1 << 16)
+def letters(word: str) -> int:
+    """The characters of a word as a set of bits."""
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) & 63)
+    return out
 
 
 def typing_distance(a: str, b: str, most: int) -> int:
     """Insertions, deletions, substitutions and swaps of neighbours from ``a`` to ``b``; ``most + 1`` if more than ``most``."""
-    if abs(len(a) - len(b)) > most:
+    if a == b:
+        return 0
+    n, m = len(a), len(b)
+    if n > m:
+        a, b, n, m = b, a, m, n
+    if m - n > most:
         return most + 1
+    # each character that the other lacks costs an edit
+    one, two = letters(a), letters(b)
+    if (one & ~two).bit_count() > most or (two & ~one).bit_count() > most:
+        return most + 1
+    # what both begin and end with costs nothing
+    k = 0
+    while k < n and a[k] == b[k]:
+        k += 1
+    while n > k and a[n - 1] == b[m - 1]:
+        n -= 1
+        m -= 1
+    a, b, n, m = a[k:n], b[k:m], n - k, m - k
+    if not n:
+        return m
+    # only cells within ``most`` of the diagonal can count
+    big = most + 1
     older: list[int] = []
-    old = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            d = min(old[j] + 1, new[-1] + 1, old[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
-                d = min(d, older[j - 2] + 1)
-            new.append(d)
-        if min(new) > most:
-            return most + 1
+    old = [j if j <= most else big for j in range(m + 1)]
+    for i in range(1, n + 1):
+        x = a[i - 1]
+        new = [big] * (m + 1)
+        low, high = max(1, i - most), min(m, i + most)
+        left = new[low - 1] = i if low == 1 and i <= most else big
+        least = left
+        for j in range(low, high + 1):
+            y = b[j - 1]
+            d = old[j - 1] + (x != y)
+            if old[j] < d:
+                d = old[j] + 1
+            if left < d:
+                d = left + 1
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2] and older[j - 2] < d:
+                d = older[j - 2] + 1
+            new[j] = left = d
+            if d < least:
+                least = d
+        if least > most:
+            return big
         older, old = old, new
-    return old[-1]
+    return min(old[m], big)
 
 
 @dataclass
@@ -91,14 +149,14 @@ class Entry:
     forms: set[str] = field(default_factory=set)
 
 
-def forms_of(name: str) -> set[str]:
+def forms_of(name: str, of: Words = SPANISH) -> set[str]:
     """How a name may be written in full: both orders of a double name, each half, the article first, last or left out."""
-    halves = [" ".join(words(h)) for h in plain(name).split("/")]
+    halves = [" ".join(words(h, of)) for h in plain(name).split("/")]
     halves = [h for h in halves if h]
     out = set(halves) | {" ".join(halves), " ".join(reversed(halves))}
     for h in halves:
         first, _, rest = h.partition(" ")
-        if rest and first in ARTICLES:
+        if rest and first in of.articles:
             out |= {f"{rest} {first}", rest}
     return out
 
@@ -116,13 +174,15 @@ class Meant:
 class Gazetteer:
     """The list with its automaton and its index of words."""
 
-    def __init__(self, entries: Sequence[tuple[str, str, str]], target: str = "Municipio", province_level: str = "Provincia") -> None:
+    def __init__(self, entries: Sequence[tuple[str, str, str]], target: str = "Municipio", province_level: str = "Provincia", of: Words = SPANISH) -> None:
         import ahocorasick
 
-        self.target, self.province_level = target, province_level
-        self.entries = [Entry(code, name, level, code[4:6], forms_of(name)) for name, code, level in dict.fromkeys(entries)]
+        self.target, self.province_level, self.of = target, province_level, of
+        self.entries = [Entry(code, name, level, code[4:6], forms_of(name, of)) for name, code, level in dict.fromkeys(entries)]
         self.by_form: dict[str, list[Entry]] = defaultdict(list)
+        self.names_of: dict[str, set[str]] = defaultdict(set)
         for e in self.entries:
+            self.names_of[e.code].add(" ".join(words(plain(e.name), of)))
             for f in e.forms:
                 self.by_form[f].append(e)
         self.automaton = ahocorasick.Automaton()
@@ -134,11 +194,13 @@ class Gazetteer:
         heads: dict[str, set[str]] = defaultdict(set)
         for f in self.by_form:
             first, _, rest = f.partition(" ")
-            if rest and first not in ARTICLES:
+            if rest and first not in of.articles:
                 heads[first].add(rest)
-        self.heads = {h for h, rests in heads.items() if len(rests) > 2} | set(ABBREVIATIONS.values())
+        self.heads = {h for h, rests in heads.items() if len(rests) > 2} | set(of.abbreviations.values())
         # character pairs of each form, for the values the automaton can't explain
         self.forms = sorted(self.by_form)
+        self.form_words = [f.split() for f in self.forms]
+        self.form_joined = [f.replace(" ", "") for f in self.forms]
         self.pairs: dict[str, list[int]] = defaultdict(list)
         for k, f in enumerate(self.forms):
             for p in self._pairs(f):
@@ -176,24 +238,24 @@ class Gazetteer:
         for p in own:
             for k in self.pairs.get(p, ()):
                 shared[k] += 1
+        least, joined = len(own) / 3, "".join(tokens)
         out = []
         for k, n in shared.items():
-            f = self.forms[k]
-            if n * 3 >= len(own):
-                s = similarity(tokens, f.split())
+            if n >= least:
+                s = similarity(tokens, self.form_words[k], self.of, joined, self.form_joined[k])
                 if s > 0:
-                    out.append((s, f))
+                    out.append((s, self.forms[k]))
         return sorted(out, key=lambda x: (-x[0], x[1]))
 
     def _abbreviated(self, tokens: Sequence[str]) -> list[tuple[float, str]]:
         """Names whose first word is short for one of ``heads``, mistyped perhaps: the first word counts little, the rest decides."""
         if len(tokens) < 2 or len(tokens[0]) > 5 or tokens[0] in self.heads:
             return []
-        rest = [w for k, w in enumerate(tokens[1:]) if k or w not in LINKS and len(w) > 2]
+        rest = [w for k, w in enumerate(tokens[1:]) if k or w not in self.of.links and len(w) > 2]
         out = []
         for s, f in self.near_rest(rest):
             head = f.split()[0]
-            keys = [head, *(k for k, v in ABBREVIATIONS.items() if v == head)]
+            keys = [head, *(k for k, v in self.of.abbreviations.items() if v == head)]
             fit = max(1 - typing_distance(tokens[0], k, 6) / max(len(tokens[0]), len(k)) for k in keys)
             out.append((s - 0.05 * (1 - fit), f))
         return sorted(out, key=lambda x: (-x[0], x[1]))
@@ -209,9 +271,9 @@ class Gazetteer:
                 shared[k] += 1
         out = []
         for k, n in shared.items():
-            head, *tail = self.forms[k].split()
+            head, *tail = self.form_words[k]
             if head in self.heads and tail and n * 3 >= len(own):
-                s = similarity(rest, [w for w in tail if w not in LINKS] or tail)
+                s = similarity(rest, [w for w in tail if w not in self.of.links] or tail, self.of)
                 if s:
                     out.append((s, self.forms[k]))
         return out
@@ -225,13 +287,13 @@ class Gazetteer:
     def read(self, value: str) -> Meant:
         """What ``value`` means, without the row's other fields."""
         text = plain(value)
-        tokens = words(text)
+        tokens = words(text, self.of)
         if not any(any(c.isalpha() for c in w) for w in tokens):
             return Meant()
         found = self.mentions(tokens)
         covered = {k for a, b, _ in found for k in range(a, b)}
-        rest = [w for k, w in enumerate(tokens) if k not in covered and w not in AROUND]
-        if found and not [w for w in rest if w not in PROVINCE_WORDS]:
+        rest = [w for k, w in enumerate(tokens) if k not in covered and w not in self.of.around]
+        if found and not [w for w in rest if w not in self.of.province]:
             return self._of_mentions(tokens, found, "mention", 1.0)
         return self._of_similar(tokens, rest, found)
 
@@ -239,8 +301,8 @@ class Gazetteer:
         provinces: set[str] = set()
         names: list[str] = []
         for k, (a, _, f) in enumerate(found):
-            before = next((w for w in reversed(tokens[:a]) if w not in LINKS), "")
-            if before in PROVINCE_WORDS and self.provinces_named(f):
+            before = next((w for w in reversed(tokens[:a]) if w not in self.of.links), "")
+            if before in self.of.province and self.provinces_named(f):
                 provinces |= self.provinces_named(f)
             elif k and self.provinces_named(f) and names:
                 # after a municipality, a province's name is where that lies, unless both halves of a double name are typed
@@ -263,9 +325,9 @@ class Gazetteer:
     def _of_similar(self, tokens: Sequence[str], rest: Sequence[str], found: Sequence[tuple[int, int, str]]) -> Meant:
         kept = list(tokens)
         full = self.near(tokens)
-        while kept and kept[0] in AROUND and kept[0] not in ARTICLES:
+        while kept and kept[0] in self.of.around and kept[0] not in self.of.articles:
             kept.pop(0)
-        while kept and kept[-1] in AROUND and kept[-1] not in ARTICLES:
+        while kept and kept[-1] in self.of.around and kept[-1] not in self.of.articles:
             kept.pop()
         kept = kept or list(tokens)
         provinces: set[str] = set()
@@ -274,7 +336,7 @@ class Gazetteer:
         # the last name may be the province the place lies in, the first words the place
         for a, b, f in found[-1:]:
             if a and b == len(tokens) and self.provinces_named(f):
-                head = [w for w in tokens[:a] if w not in AROUND] or list(tokens[:a])
+                head = [w for w in tokens[:a] if w not in self.of.around] or list(tokens[:a])
                 other = self.near(head) or self._abbreviated(head)
                 if other and (not best or other[0][0] > best[0][0]):
                     best, provinces = other, self.provinces_named(f)
@@ -282,13 +344,12 @@ class Gazetteer:
             return Meant((), "none", 0.0, frozenset(provinces))
         top = best[0][0]
         ties = [f for s, f in best if s > top - 1e-9]
-        if kept[0] in OTHER_LEVELS:
+        if kept[0] in self.of.other_levels:
             return Meant((), "other level", top, frozenset(provinces))
         codes = {e.code for f in ties for e in self.municipal(f)}
         if not codes:
             return Meant((), "other level", top, frozenset(provinces))
-        names = {e.name for e in self.entries if e.code in codes}
-        if len({" ".join(words(plain(n))) for n in names}) > 1:
+        if len(set().union(*(self.names_of[c] for c in codes))) > 1:
             return Meant((), "ambiguous", top, frozenset(provinces))
         return Meant(tuple(sorted(codes)), "similar", top, frozenset(provinces))
 
@@ -299,35 +360,47 @@ ERRORS = ((4, 0), (7, 1), (12, 2), (10**9, 3))
 LEAST_SIMILAR = 0.74
 
 
-def allowed(word: str) -> int:
-    return next(e for n, e in ERRORS if len(word) <= n)
+_ALLOWED = [next(e for n, e in ERRORS if size <= n) for size in range(64)]
+
 
+def allowed(size: int) -> int:
+    return _ALLOWED[min(size, 63)]
 
-def similarity(a: Sequence[str], b: Sequence[str]) -> float:
+
+def similarity(a: Sequence[str], b: Sequence[str], of: Words = SPANISH, joined: str | None = None, other: str | None = None) -> float:
     """Token-set similarity in [0, 1]: characters of words that have a partner, less their typing errors; 0 if too unlike.
 
-    Words are compared in any order, link words count little, and a blank more or less costs one error.
+    Words are compared in any order and link words count little.  The words of each side put together are one
+    more token, so that a blank more or less costs one error.
     """
-    joined, other = "".join(a), "".join(b)
-    most = allowed(max(joined, other, key=len))
-    whole = typing_distance(joined, other, most)
-    best = 1 - whole / max(len(joined), len(other), 1) if whole <= most else 0.0
+    joined, other = "".join(a) if joined is None else joined, "".join(b) if other is None else other
+    best = 0.0
     if len(a) > 1 or len(b) > 1:
-        free, size, lost = list(b), 0, 0.0
+        free, size, lost, total = list(b), 0, 0.0, len(joined) + len(other)
         for w in sorted(a, key=len, reverse=True):
-            scored = [(typing_distance(w, x, allowed(max(w, x, key=len))), x) for x in free]
-            scored = [(d, x) for d, x in scored if d <= allowed(max(w, x, key=len))]
+            partner, least = None, 99
+            for x in free:
+                most = allowed(max(len(w), len(x)))
+                d = typing_distance(w, x, most)
+                if d <= most and (d < least or d == least and x < partner):
+                    partner, least = x, d
             size += len(w)
-            if scored:
-                d, x = min(scored)
-                free.remove(x)
-                lost += d
+            if partner is not None:
+                free.remove(partner)
+                lost += least
             else:
-                lost += len(w) * (0.2 if w in LINKS or w in ARTICLES else 1)
-        for x in free:
-            size += len(x)
-            lost += len(x) * (0.2 if x in LINKS or x in ARTICLES else 1)
-        best = max(best, 1 - lost / max(size, 1))
+                lost += len(w) * (0.2 if w in of.links or w in of.articles else 1)
+                if lost > (1 - LEAST_SIMILAR) * total:
+                    break
+        else:
+            for x in free:
+                size += len(x)
+                lost += len(x) * (0.2 if x in of.links or x in of.articles else 1)
+            best = 1 - lost / max(size, 1)
+    most = allowed(max(len(joined), len(other)))
+    whole = typing_distance(joined, other, most)
+    if whole <= most:
+        best = max(best, 1 - whole / max(len(joined), len(other), 1))
     return best if best >= LEAST_SIMILAR else 0.0
 
 
@@ -343,6 +416,7 @@ def match_names(
     target: str = "Municipio",
     province_codes: str | None = None,
     area_code: str | None = None,
+    of: Words = SPANISH,
     max_entries: int = MAX_ENTRIES,
 ) -> DataFrame:
     """``(key, code, step, score)`` for each row whose ``name`` is neither null nor blank.
@@ -350,7 +424,8 @@ def match_names(
     ``code`` is that of the entry of level ``target`` meant, ``''`` if none is: then ``step`` says why
     (``none``, ``other level``, ``ambiguous``).  Of several entries of a name, the row's ``province_codes``,
     the province typed with the name and the row's ``area_code`` decide, in this order; if they don't,
-    the row is ambiguous.  Rows sent again have their own rows, other columns are ignored, an empty list
+    the row is ambiguous.  ``of``: the words of the names' language.  The list is sent to every task, so
+    ``max_entries`` bounds it; a longer one raises ``ValueError``.  Rows sent again have their own rows, other columns are ignored, an empty list
     matches nothing, texts of any length are read whole.  Narrow: no shuffle, so no value can be too frequent.
     """
     wanted = reference.select(F.col(reference_name).cast("string"), F.col(reference_code).cast("string"), F.col(reference_level).cast("string")).dropna().distinct()
@@ -360,7 +435,7 @@ def match_names(
     entries = sorted(tuple(r) for r in listed)
 
     def matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places = Gazetteer(entries, target)
+        places = Gazetteer(entries, target, of=of)
         known: dict[str, Meant] = {}
         for batch in batches:
             out = []
