@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -109,17 +110,31 @@ class BytePairEncoder:
         # latin-1 gives each byte its own character, which translate() then maps
         return text.encode("utf-8", "replace").decode("latin-1").translate(self.to_characters)
 
-    def encode_batch(self, texts: Iterable[str]) -> list[list[int]]:
+    def _pieces(self, texts: Iterable[str]) -> tuple[list[list[str]], dict[str, list[int]]]:
+        """The pre-tokens of each text, and the ids of those too long to be remembered."""
         cut = [self.split(t) for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known = self.known = {}
-        new = list({p for pieces in cut for p in pieces if p not in known})
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        new = list(set().union(*cut).difference(self.known))
         passing: dict[str, list[int]] = {}
         for piece, ids in zip(new, self.model.encode([self.characters(p) for p in new], num_threads=1) if new else ()):
-            (known if len(piece) <= LONGEST else passing)[piece] = ids
-        at = lambda p: known[p] if p in known else passing[p]
-        return [[i for p in pieces for i in at(p)] for pieces in cut]
+            (self.known if len(piece) <= LONGEST else passing)[piece] = ids
+        return cut, passing
+
+    def encode_batch(self, texts: Iterable[str]) -> list[list[int]]:
+        cut, passing = self._pieces(texts)
+        known = self.known.__getitem__
+        if passing:
+            known = lambda p: self.known[p] if p in self.known else passing[p]
+        return [list(chain.from_iterable(map(known, pieces))) for pieces in cut]
+
+    def count_batch(self, texts: Iterable[str]) -> list[int]:
+        """How many ids each text has."""
+        cut, passing = self._pieces(texts)
+        known = self.known.__getitem__
+        if passing:
+            known = lambda p: self.known[p] if p in self.known else passing[p]
+        return [sum(map(len, map(known, pieces))) for pieces in cut]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_batch([text])[0]
@@ -159,6 +174,6 @@ def count_tokens(df: DataFrame, text: str, *, as_column: str = "n_tokens", vocab
     @F.pandas_udf("long")
     def counted(texts: pd.Series) -> pd.Series:
         own = encoder(vocabulary)
-        return pd.Series([len(ids) for ids in own.encode_batch(texts.fillna(""))], dtype="int64")
+        return pd.Series(own.count_batch(texts.fillna("")), dtype="int64")
 
     return df.withColumn(as_column, counted(F.col(text)))
