@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,33 +32,74 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longer)
 
 
+@lru_cache(maxsize=1 << 16)
+def letters(word: str) -> int:
+    """The characters of a word as a set of bits."""
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
 def swap_distance(a: str, b: str, most: int) -> int:
     """Edits from ``a`` to ``b``, a swap of neighbours being one and nothing edited twice; ``most + 1`` if more than ``most``."""
-    if abs(len(a) - len(b)) > most:
+    if a == b:
+        return 0
+    n, m = len(a), len(b)
+    if n > m:
+        a, b, n, m = b, a, m, n
+    if m - n > most:
+        return most + 1
+    # each character that the other lacks costs an edit
+    one, two = letters(a), letters(b)
+    if (one & ~two).bit_count() > most or (two & ~one).bit_count() > most:
         return most + 1
+    # what both begin and end with costs nothing
+    k = 0
+    while k < n and a[k] == b[k]:
+        k += 1
+    while n > k and a[n - 1] == b[m - 1]:
+        n -= 1
+        m -= 1
+    a, b, n, m = a[k:n], b[k:m], n - k, m - k
+    if not n:
+        return m
+    # only cells within ``most`` of the diagonal can count
+    big = most + 1
     older: list[int] = []
-    old = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            d = min(old[j] + 1, new[-1] + 1, old[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
-                d = min(d, older[j - 2] + 1)
-            new.append(d)
-        if min(new) > most and (not old or min(old) > most):
-            return most + 1
+    old = [j if j <= most else big for j in range(m + 1)]
+    for i in range(1, n + 1):
+        x = a[i - 1]
+        new = [big] * (m + 1)
+        low, high = max(1, i - most), min(m, i + most)
+        left = new[low - 1] = i if low == 1 and i <= most else big
+        least = left
+        for j in range(low, high + 1):
+            y = b[j - 1]
+            d = old[j - 1] + (x != y)
+            if old[j] < d:
+                d = old[j] + 1
+            if left < d:
+                d = left + 1
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2] and older[j - 2] < d:
+                d = older[j - 2] + 1
+            new[j] = left = d
+            if d < least:
+                least = d
+        if least > most:
+            return big
         older, old = old, new
-    return old[-1]
+    return min(old[m], big)
 
 
-def typo_distance(a: Column, b: Column) -> Column:
-    """``swap_distance`` of two columns, in Arrow batches: meant for pairs that cheaper tests have left."""
+def typo_distance(a: Column, b: Column, most: Column | None = None) -> Column:
+    """``swap_distance`` of two columns (``most + 1`` beyond ``most``), in Arrow batches: meant for pairs that cheaper tests have left."""
 
     @F.pandas_udf("int")
-    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else swap_distance(p, q, max(len(p), len(q))) for p, q in zip(x, y)], dtype="Int32")
+    def distance(x: pd.Series, y: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else swap_distance(p, q, int(k)) for p, q, k in zip(x, y, m)], dtype="Int32")
 
-    return distance(a, b)
+    return distance(a, b, F.coalesce(F.greatest(F.length(a), F.length(b)), F.lit(0)) if most is None else most)
 
 
 def typo_similarity(a: Column, b: Column) -> Column:

@@ -8,12 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from railweave.functions.text import edit_similarity, municipality_code, name_parts, normal_name, province_of, typo_distance
+from railweave.scale import cut
 
-#: Least similarity of a fuzzy match, least share of a province and of a municipality, entries of a list that may be sent to all tasks.
-FUZZY, LEAST_SHARE, MAX_ENTRIES = 0.8, 0.05, 200_000
+#: Least similarity of a fuzzy match, least share of a province and of a municipality.
+FUZZY, LEAST_SHARE = 0.8, 0.05
 STEPS = ("exact", "part", "words", "substring", "fuzzy")
 
 
@@ -39,33 +39,67 @@ def step_of(typed: Column, whole: Column, parts: Column) -> Column:
     )
 
 
-def match_cascade(names: DataFrame, reference: DataFrame, *, name: str = "area_name", reference_name: str = "nameunit", code: str = "natcode", fuzzy: float = FUZZY, max_entries: int = MAX_ENTRIES) -> DataFrame:
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of ``size`` characters of ``text``."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(size))))
+
+
+def _pairs(text: Column) -> Column:
+    """The pairs of characters of ``text``, its ends included, each with its how-manieth occurrence."""
+    padded = F.concat(F.lit("^"), text, F.lit("$"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substring(padded, i, F.lit(2)))
+    return F.transform(pairs, lambda p, i: F.concat(p, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda q: q == p)).cast("string")))
+
+
+def match_cascade(names: DataFrame, reference: DataFrame, *, name: str = "area_name", reference_name: str = "nameunit", code: str = "natcode", fuzzy: float = FUZZY) -> DataFrame:
     """``(name, step, n_codes, code)`` for each distinct name: the first step of the cascade that finds entries.
 
     Steps: equal, equal to a part, whole words within, substring, best swap-aware similarity of at least
     ``fuzzy`` with at most max(2, 30 % of the longer length) edits.  ``code`` is null if the step's entries
-    have several codes.  ``fuzzy`` above 1 leaves the last step out.  The list is counted first: it is sent to the tasks up to ``max_entries``.
+    have several codes.  ``fuzzy`` above 1 leaves the last step out.
+
+    No step compares all names with all entries: the first three are equalities with what an entry or runs
+    of its words say, a substring is looked for where its first three characters stand, and two texts within
+    d edits share all but 3 d of their pairs of characters (a swap touches three), so only those are compared.
     """
-    typed = names.where(F.col(name).isNotNull()).select(name).distinct().withColumn("_t", normal_name(F.col(name))).where("_t <> ''")
-    listed = reference.where(F.col(reference_name).isNotNull()).select(F.col(code).alias("code"), normal_name(F.col(reference_name)).alias("_w"), name_parts(F.col(reference_name)).alias("_p"), F.col(reference_name).alias("_raw")).distinct()
-    if listed.limit(max_entries + 1).count() > max_entries:
-        raise ValueError(f"the list has more than {max_entries} entries")
-    step = step_of(F.col("_t"), F.col("_w"), F.col("_p"))
-    hits = typed.join(F.broadcast(listed), step.isNotNull()).withColumn("step", step)
-    found = _first_step(hits, name)
+    if fuzzy < 0.7:
+        raise ValueError("fuzzy must be at least 0.7: below, texts may share no pair of characters")
+    typed = cut(names.where(F.col(name).isNotNull()).select(name).distinct().withColumn("_t", normal_name(F.col(name))).where("_t <> ''"))
+    listed = cut(reference.where(F.col(reference_name).isNotNull()).select(F.col(code).alias("code"), normal_name(F.col(reference_name)).alias("_w"), name_parts(F.col(reference_name)).alias("_p")).distinct())
+    first = F.try_element_at(F.filter("_p", lambda p: p != F.col("_w")), F.lit(1))
+    parts = F.split("_w", " ")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.transform(F.sequence(F.lit(1), F.size(parts) - i + 1), lambda n: F.array_join(F.slice(parts, i, n), " "))))
+    said = [
+        listed.select("code", F.lit(1).alias("step"), F.explode(F.array_distinct(F.array_compact(F.array(F.col("_w"), first)))).alias("_t")),
+        listed.select("code", F.lit(2).alias("step"), F.explode("_p").alias("_t")),
+        listed.select("code", F.lit(3).alias("step"), F.explode(F.array_distinct(runs)).alias("_t")),
+    ]
+    hits = typed.join(said[0].unionByName(said[1]).unionByName(said[2]), "_t")
+    found = cut(_first_step(hits, name))
+    rest = typed.join(found.select(name), name, "left_anti")
+    entries = listed.select("code", "_w")
+    within = []
+    for size, own in ((1, F.length("_t") == 1), (2, F.length("_t") == 2), (3, F.length("_t") >= 3)):
+        grams = entries.select("code", "_w", F.explode(_grams(F.col("_w"), size)).alias("_g"))
+        within.append(rest.where(own).withColumn("_g", F.substring("_t", 1, size)).join(grams, "_g").where(F.instr(F.col("_w"), F.col("_t")) > 0).select(name, "code", F.lit(4).alias("step")))
+    found = cut(found.unionByName(_first_step(within[0].unionByName(within[1]).unionByName(within[2]), name)))
     if fuzzy > 1:
         return found
     rest = typed.join(found.select(name), name, "left_anti")
     longer = F.greatest(F.length("_t"), F.length("part"))
-    most = F.greatest(F.lit(2), F.bround(0.3 * longer).cast("int"))
-    each = listed.select("code", F.explode("_p").alias("part"))
-    # a swap is two plain edits at most, so pairs with more than twice the edits never reach the kernel
-    plain = F.levenshtein("_t", "part") <= 2 * most
-    near = rest.join(F.broadcast(each), (F.abs(F.length("_t") - F.length("part")) <= most) & plain).withColumn("d", typo_distance(F.col("_t"), F.col("part")))
+    # the similarity asked for bounds the edits too
+    most = F.least(F.greatest(F.lit(2), F.bround(0.3 * longer).cast("int")), F.floor((1 - fuzzy) * longer + 1e-9).cast("int"))
+    each = listed.select(F.explode("_p").alias("part")).distinct()
+    one = rest.select("_t").distinct().select("_t", F.explode(_pairs(F.col("_t"))).alias("_g"))
+    two = each.select("part", F.explode(_pairs(F.col("part"))).alias("_g"))
+    close = F.abs(F.length("_t") - F.length("part")) <= most
+    shared = one.join(two, "_g").where(close).groupBy("_t", "part").agg(F.count("*").alias("_n"))
+    near = shared.where(F.col("_n") >= longer + 1 - 3 * most)
+    near = near.where(F.levenshtein("_t", "part") <= 2 * most).withColumn("d", typo_distance(F.col("_t"), F.col("part"), most))
     near = near.where(F.col("d") <= most).withColumn("s", 1 - F.col("d") / longer).where(F.col("s") >= fuzzy)
-    top = F.max("s").over(Window.partitionBy(name))
-    best = near.withColumn("_top", top).where(F.col("s") > F.col("_top") - 1e-9).withColumn("step", F.lit(5))
-    return found.unionByName(_first_step(best, name))
+    top = near.groupBy("_t").agg(F.max("s").alias("_top"))
+    best = near.join(top, "_t").where(F.col("s") > F.col("_top") - 1e-9).join(listed.select("code", F.explode("_p").alias("part")), "part")
+    return found.unionByName(_first_step(rest.join(best, "_t").select(name, "code", F.lit(5).alias("step")), name))
 
 
 def _first_step(hits: DataFrame, name: str) -> DataFrame:

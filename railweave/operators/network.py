@@ -22,7 +22,7 @@ from railweave.operators.timetable import with_ordinal
 from railweave.scale import cut, lookup_join, numbered
 
 INF = float("inf")
-#: Edges of a network that may be sent to the tasks (24 bytes each); larger ones are relaxed with joins.
+#: What ``kernel_edges`` may be set to where a network is known to fit the tasks' memory (24 bytes an edge).
 KERNEL_EDGES = 2_000_000
 
 
@@ -115,21 +115,22 @@ def csr(network: Network, weight: str | None = None) -> tuple:
     return np.r_[0, np.cumsum(counts)], table["col"].to_numpy(int), table[weight].to_numpy(float)
 
 
-def travel_costs(edges: DataFrame, origins: DataFrame, weight: str, limit: float | None = None, *, merged: bool = False, extra: Sequence[str] = (), every: int = 4, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+def travel_costs(edges: DataFrame, origins: DataFrame, weight: str, limit: float | None = None, *, merged: bool = False, extra: Sequence[str] = (), every: int = 4, kernel_edges: int = 0) -> DataFrame:
     """``(origin, node, cost, before, n_edges, extra...)``: least costs from each origin, up to ``limit`` (included).
 
     ``edges(src, dst, weight, extra...)``; ``origins(origin)`` are nodes.  ``before`` is the node before on
     the path, ``extra`` columns are summed along it.  Ties are decided by fewer edges, then the smaller
     node before.  ``merged``: the least over all origins, ``origin`` being the one it comes from.
 
-    A network of at most ``kernel_edges`` edges is sent to the tasks, which search from their own origins
-    with a heap; a larger one is relaxed round by round with joins.
+    Networks are relaxed round by round with joins, whatever their size.  A caller may state by ``kernel_edges``
+    that a network of as many edges fits each task: one that small is sent to the tasks, which search from
+    their own origins with a heap and give the same.  Merged origins are always relaxed, all seeded at once.
     """
     usable = edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col(weight).cast("double").alias("_w"), *[F.col(c).cast("double").alias(f"_x_{c}") for c in extra])
     usable = cut(usable.where(F.col("_w").isNotNull() & (F.col("_w") < INF) & (F.col("_w") >= 0)))
     kind = edges.schema["src"].dataType.simpleString()
-    if usable.limit(kernel_edges + 1).count() <= kernel_edges:
-        return _searched(usable, origins, kind, limit, merged, list(extra))
+    if kernel_edges and not merged and usable.limit(kernel_edges + 1).count() <= kernel_edges:
+        return _searched(usable, origins, kind, limit, list(extra))
     key = ["node"] if merged else ["origin", "node"]
     rest = ["n_edges", "before", *extra, *(["origin"] if merged else [])]
     best = F.struct("cost", *rest)
@@ -156,7 +157,7 @@ def travel_costs(edges: DataFrame, origins: DataFrame, weight: str, limit: float
     return state
 
 
-def _searched(usable: DataFrame, origins: DataFrame, kind: str, limit: float | None, merged: bool, extra: list[str]) -> DataFrame:
+def _searched(usable: DataFrame, origins: DataFrame, kind: str, limit: float | None, extra: list[str]) -> DataFrame:
     """``travel_costs`` by a heap in each task, over a compressed sparse row copy of a bounded network."""
     table = usable.toPandas()
     ids = np.unique(np.concatenate([table["_s"].to_numpy(), table["_d"].to_numpy()])) if len(table) else np.array([])
@@ -193,19 +194,14 @@ def _searched(usable: DataFrame, origins: DataFrame, kind: str, limit: float | N
 
     def searched(batches):
         for batch in batches:
-            rows = search(list(batch["origin"])) if merged else [r for o in batch["origin"] for r in search([o])]
+            rows = [r for o in batch["origin"] for r in search([o])]
             if rows:
                 yield pd.DataFrame(rows, columns=columns).astype({"before": object})
 
     schema = f"origin {kind}, node {kind}, cost double, before {kind}, n_edges long" + "".join(f", `{c}` double" for c in extra)
     wanted = origins.select(F.col("origin").cast(kind)).where("origin is not null").distinct()
-    if merged:  # one search from all origins: they are one batch of one task
-        spark = usable.sparkSession
-        wanted = spark.createDataFrame([(r[0],) for r in wanted.orderBy("origin").collect()], f"origin {kind}").coalesce(1)
-        rows = wanted.groupBy(F.lit(1).alias("_one")).applyInPandas(lambda g: next(searched(iter([g])), pd.DataFrame(columns=columns)), schema)
-    else:
-        # the few rows of origins are dealt to all cores, one search being much work
-        rows = wanted.repartition(usable.sparkSession.sparkContext.defaultParallelism * 2).mapInPandas(searched, schema)
+    # the few rows of origins are dealt to all cores, one search being much work
+    rows = wanted.repartition(usable.sparkSession.sparkContext.defaultParallelism * 2).mapInPandas(searched, schema)
     found = cut(rows.select("origin", "node", "cost", "n_edges", "before", *extra))
     return found
 
@@ -241,7 +237,7 @@ def in_units(value: float, weight: str) -> float:
     return value * 60.0 if weight.startswith("tts") else float(value)
 
 
-def shortest_paths(network: Network, origins: Sequence | DataFrame, destinations: Sequence | DataFrame, threshold: float | None = None, weight: str | None = None) -> DataFrame:
+def shortest_paths(network: Network, origins: Sequence | DataFrame, destinations: Sequence | DataFrame, threshold: float | None = None, weight: str | None = None, kernel_edges: int = 0) -> DataFrame:
     """``(origin_pos, destination_pos, origin, destination, time_min, length_m, n_edges)`` of all pairs within the threshold.
 
     Pairs come in the order given and repeats are kept; an origin that is its destination has zeros.  Time
@@ -257,7 +253,7 @@ def shortest_paths(network: Network, origins: Sequence | DataFrame, destinations
     sums = [w for w in ("tts", "length") if w in network.weights]
     edges = matrix_edges(network)
     limit = None if threshold is None else in_units(threshold, weight)
-    costs = travel_costs(edges, o.select("origin"), weight, limit, extra=sums)
+    costs = travel_costs(edges, o.select("origin"), weight, limit, extra=sums, kernel_edges=kernel_edges)
     reached = costs.join(t, costs["node"] == t["destination"]).join(o, "origin")
     value = lambda c, by: (F.col(c) / by if c in sums else F.lit(None)).cast("double")
     return reached.select("origin_pos", "destination_pos", "origin", "destination", value("tts", 60.0).alias("time_min"), value("length", 1.0).alias("length_m"), F.col("n_edges").cast("long").alias("n_edges"))

@@ -396,12 +396,12 @@ def matrix_missing_nodes(spark, d):
     return made.nodes.join(known, "node_id", "left_anti").select("node_id", "row")
 
 
-def _origins(spark, d) -> list[int]:
-    """A fixed handful of origins, for the recursive SQL: the least ids that edges start from.  The whole set: ``_query_set``."""
-    return [r[0] for r in _lines(spark, d).select("from_node").distinct().orderBy("from_node").limit(5).collect()]
+def _query_set(spark, d, name: str = "origin") -> DataFrame:
+    """The query set of the searches: all nodes divisible by 100 that edges start from."""
+    return _lines(spark, d).where(F.col("from_node") % 100 == 0).select(F.col("from_node").alias(name)).distinct()
 
 
-_FROM = "o as (select distinct from_node as origin from ln order by 1 limit 5)"
+_FROM = "o as (select distinct from_node as origin from ln where from_node % 100 = 0)"
 
 
 def _costs_sql(merged: bool, weight: str, limit: float) -> str:
@@ -415,70 +415,34 @@ def _costs_sql(merged: bool, weight: str, limit: float) -> str:
         where f.cost + e.{weight} <= {limit} group by {group} having min(f.cost + e.{weight}) < coalesce(min(r.cost), 1e300))"""
 
 
-@query(f"with recursive {_LINES}, {_MATRIX}, {_FROM}, {_costs_sql(False, 'tts', LIMIT_S)} select origin, node, round(cost, 6) as cost from co")
-def costs_limited(spark, d):
-    made = _network(spark, d)
-    start = spark.createDataFrame([(o,) for o in _origins(spark, d)], "origin long")
-    return network.travel_costs(network.matrix_edges(made), start, "tts", LIMIT_S).select("origin", "node", F.round("cost", 6).alias("cost"))
-
-
-@query(f"with recursive {_LINES}, {_MATRIX}, {_FROM}, {_costs_sql(True, 'length', LIMIT_M)} select node, round(cost, 6) as cost from co")
-def costs_merged_origins(spark, d):
-    made = _network(spark, d)
-    start = spark.createDataFrame([(o,) for o in _origins(spark, d)], "origin long")
-    return network.travel_costs(network.matrix_edges(made), start, "length", LIMIT_M, merged=True).select("node", F.round("cost", 6).alias("cost"))
-
-
-@query(f"with recursive {_LINES}, {_MATRIX}, {_FROM}, {_costs_sql(False, 'tts', LIMIT_S)} select a.origin, a.node as destination, round(a.cost / 60, 6) as time_min from co a join o on a.node = o.origin union all select origin, node, round(cost / 60, 6) from co where node in (select dst from mx where src in (select origin from o)) and node not in (select origin from o)")
-def shortest_pairs(spark, d):
-    """Paths from the origins to the origins and to their neighbours."""
-    made = _network(spark, d)
-    start = _origins(spark, d)
-    near = [r[0] for r in network.matrix_edges(made).where(F.col("src").isin(start)).select("dst").distinct().orderBy("dst").collect()]
-    found = network.shortest_paths(made, start, [*start, *[v for v in near if v not in start]], LIMIT_S / 60, "tts")
-    return found.select("origin", "destination", F.round("time_min", 6).alias("time_min"))
-
-
-@query(f"with recursive {_LINES}, {_MATRIX}, {_FROM}, {_costs_sql(False, 'tts', LIMIT_S)} select origin, c as cutoff, count(*)::bigint as n_nodes from co, (select unnest([2.0::double, 5.0, 10.0]) as c) where cost <= c * 60 group by 1, 2")
-def reach_counts(spark, d):
-    made = _network(spark, d)
-    start = spark.createDataFrame([(o,) for o in _origins(spark, d)], "origin long")
-    costs = network.travel_costs(network.matrix_edges(made), start, "tts", LIMIT_S)
-    return network.reach(costs, network.cutoffs_of([10.0, 2.0, 5.0], "tts"))
-
-
-@query(f"""with recursive {_LINES}, {_MATRIX}, {_FROM}, {_costs_sql(False, 'tts', LIMIT_S)}
-    select origin, src, dst, round(case when tts > 0 then least(({LIMIT_S} - cost) / tts, 1.0) else 1.0 end, 6) as fraction from co join mx on co.node = mx.src where isfinite(tts) and (tts = 0 or {LIMIT_S} - cost > 0)""")
-def reach_segments(spark, d):
-    made = _network(spark, d)
-    edges = network.matrix_edges(made)
-    start = spark.createDataFrame([(o,) for o in _origins(spark, d)], "origin long")
-    costs = network.travel_costs(edges, start, "tts", LIMIT_S)
-    return network.reach_segments(costs, edges, made.nodes, "tts", LIMIT_S).select("origin", "src", "dst", F.round("fraction", 6).alias("fraction"))
+_COSTS = f"with recursive {_LINES}, {_MATRIX}, {_FROM}, {_costs_sql(False, 'tts', LIMIT_S)}"
 
 
-# The five searches above run from the handful of origins of their SQL; these run the whole query set, and ``tests/`` compares them.
+def _costs(spark, d, kernel_edges: int = network.KERNEL_EDGES) -> DataFrame:
+    return network.travel_costs(network.matrix_edges(_network(spark, d)), _query_set(spark, d), "tts", LIMIT_S, kernel_edges=kernel_edges)
 
 
-def _query_set(spark, d, name: str = "origin") -> DataFrame:
-    """The whole query set: all nodes divisible by 100 that edges start from."""
-    return _lines(spark, d).where(F.col("from_node") % 100 == 0).select(F.col("from_node").alias(name)).distinct()
+@query(f"{_COSTS} select origin, node, round(cost, 6) as cost from co")
+def costs_limited(spark, d):
+    """Costs from the query set, searched in the tasks: the network is stated to fit them."""
+    return _costs(spark, d).select("origin", "node", F.round("cost", 6).alias("cost"))
 
 
-@query()
-def costs_limited_all(spark, d):
-    found = network.travel_costs(network.matrix_edges(_network(spark, d)), _query_set(spark, d), "tts", LIMIT_S)
-    return found.select("origin", "node", F.round("cost", 6).alias("cost"))
+@query(f"{_COSTS} select origin, node, round(cost, 6) as cost from co")
+def costs_relaxed(spark, d):
+    """The same by relaxation, for networks of any size."""
+    return _costs(spark, d, 0).select("origin", "node", F.round("cost", 6).alias("cost"))
 
 
-@query()
-def costs_merged_origins_all(spark, d):
+@query(f"with recursive {_LINES}, {_MATRIX}, {_FROM}, {_costs_sql(True, 'length', LIMIT_M)} select node, round(cost, 6) as cost from co")
+def costs_merged_origins(spark, d):
     found = network.travel_costs(network.matrix_edges(_network(spark, d)), _query_set(spark, d), "length", LIMIT_M, merged=True)
     return found.select("node", F.round("cost", 6).alias("cost"))
 
 
-@query()
-def shortest_pairs_all(spark, d):
+@query(f"""{_COSTS}, e as (select origin as destination from o union select dst from mx where src in (select origin from o))
+    select co.origin, co.node as destination, round(co.cost / 60, 6) as time_min from co join e on co.node = e.destination""")
+def shortest_pairs(spark, d):
     """Paths from the query set to the query set and to its neighbours."""
     made = _network(spark, d)
     start = cut(_query_set(spark, d))
@@ -487,21 +451,21 @@ def shortest_pairs_all(spark, d):
     at = made.nodes.select("row", "node_id")
     origins = at.join(start, F.col("node_id") == F.col("origin")).select(F.col("row").alias("origin_pos"), "origin")
     destinations = at.join(ends, "node_id").select(F.col("row").alias("destination_pos"), F.col("node_id").alias("destination"))
-    found = network.shortest_paths(made, origins, destinations, LIMIT_S / 60, "tts")
+    found = network.shortest_paths(made, origins, destinations, LIMIT_S / 60, "tts", kernel_edges=network.KERNEL_EDGES)
     return found.select("origin", "destination", F.round("time_min", 6).alias("time_min"))
 
 
-@query()
-def reach_counts_all(spark, d):
-    costs = network.travel_costs(network.matrix_edges(_network(spark, d)), _query_set(spark, d), "tts", LIMIT_S)
-    return network.reach(costs, network.cutoffs_of([10.0, 2.0, 5.0], "tts"))
+@query(f"{_COSTS} select origin, c as cutoff, count(*)::bigint as n_nodes from co, (select unnest([2.0::double, 5.0, 10.0]) as c) where cost <= c * 60 group by 1, 2")
+def reach_counts(spark, d):
+    return network.reach(_costs(spark, d), network.cutoffs_of([10.0, 2.0, 5.0], "tts"))
 
 
-@query()
-def reach_segments_all(spark, d):
+@query(f"""{_COSTS}
+    select origin, src, dst, round(case when tts > 0 then least(({LIMIT_S} - cost) / tts, 1.0) else 1.0 end, 6) as fraction from co join mx on co.node = mx.src where isfinite(tts) and (tts = 0 or {LIMIT_S} - cost > 0)""")
+def reach_segments(spark, d):
     made = _network(spark, d)
     edges = network.matrix_edges(made)
-    costs = network.travel_costs(edges, _query_set(spark, d), "tts", LIMIT_S)
+    costs = network.travel_costs(edges, _query_set(spark, d), "tts", LIMIT_S, kernel_edges=network.KERNEL_EDGES)
     return network.reach_segments(costs, edges, made.nodes, "tts", LIMIT_S).select("origin", "src", "dst", F.round("fraction", 6).alias("fraction"))
 
 
@@ -515,7 +479,9 @@ def snap_nearest(spark, d):
     return network.snap(points, n.where("layer = 'driving'"), 250.0, strict=False).select("point_id", "node_id", F.round("distance", 6).alias("distance"))
 
 
-@query()
+@query(f"""with recursive {_LINES}, nb as (select from_node as u, to_node as v from ln union select to_node, from_node from ln),
+    lb(node, component) using key (node) as (select u, u from nb union select nb.v, min(lb.component) from lb join nb on nb.u = lb.node left join recurring.lb r on r.node = nb.v group by nb.v having min(lb.component) < min(r.component))
+    select node, component from lb""")
 def network_components(spark, d):
     """Weakly connected components of the street edges."""
     e = _lines(spark, d).select(F.col("from_node").alias("src"), F.col("to_node").alias("dst"))
@@ -633,12 +599,13 @@ def name_normalize(spark, d):
     return table(spark, d, "boundaries").select("nameunit", text.normal_name(F.col("nameunit")).alias("normal"), text.slug(F.col("nameunit")).alias("slug")).distinct()
 
 
-@query(f"""with b as (select distinct {_NORMAL.format('nameunit')} as n from boundaries where natlevname = 'Provincia')
-    select x.n as a, y.n as b, levenshtein(x.n, y.n)::int as distance, round(1 - levenshtein(x.n, y.n) / greatest(length(x.n), length(y.n)), 6) as similarity from b x, b y where x.n < y.n""")
+@query(f"""with b as (select distinct {_NORMAL.format('nameunit')} as n from boundaries), q as (select distinct {_NORMAL.format('nameunit')} as n from boundaries where right(natcode, 2) = '00')
+    select x.n as a, y.n as b, levenshtein(x.n, y.n)::int as distance, round(1 - levenshtein(x.n, y.n) / greatest(length(x.n), length(y.n)), 6) as similarity from q x, b y where x.n <> y.n""")
 def edit_similarity(spark, d):
-    """Edit similarity of the (24) provinces' names, pairwise."""
-    n = table(spark, d, "boundaries").where("natlevname = 'Provincia'").select(text.normal_name(F.col("nameunit")).alias("a")).distinct()
-    pairs = n.join(F.broadcast(n.withColumnRenamed("a", "b")), F.col("a") < F.col("b"))
+    """Edit similarity of the query set's names (codes divisible by 100) with all names of the list."""
+    listed = table(spark, d, "boundaries").select(text.normal_name(F.col("nameunit")).alias("b"), "natcode")
+    asked = listed.where(F.right("natcode", F.lit(2)) == "00").select(F.col("b").alias("a")).distinct()
+    pairs = listed.select("b").distinct().join(F.broadcast(asked), F.col("a") != F.col("b"))
     return pairs.select("a", "b", F.levenshtein("a", "b").alias("distance"), F.round(text.edit_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
@@ -657,22 +624,32 @@ def _municipalities(spark, d) -> DataFrame:
     return table(spark, d, "boundaries").where("natlevname = 'Municipio'")
 
 
-@query(f"""with q as (select distinct area_name, {_NORMAL.format('area_name')} as t from study_area_boundary where area_name is not null and regexp_full_match(area_name, '[A-Za-z /().,-]*')),
-    r as (select distinct natcode, {_NORMAL.format('nameunit')} as w, list_filter(list_transform(string_split(nameunit, '/'), lambda s: {_NORMAL.format('s')}), lambda s: s <> {_NORMAL.format('nameunit')} and s <> '') as p from boundaries where natlevname = 'Municipio'),
-    m as (select area_name, natcode, {_STEP} as step from q, r where t <> ''),
-    g as (select area_name, step, count(distinct natcode) as n, min(natcode) as c from m where step is not null group by 1, 2)
-    select area_name, min(step)::int as step, arg_min(n, step)::bigint as n_codes, arg_min(case when n = 1 then c else '' end, step) as code from g group by 1""")
+_PLAIN_SQL = f"""translate(translate(%s, '{text.MARKED}', '{text.PLAIN}'), 'ªº', 'ao')"""
+_NAME_SQL = "lower(trim(regexp_replace(regexp_replace({0}, '[^\\x00-\\x7F]', '', 'g'), '[^A-Za-z0-9]+', ' ', 'g')))".replace("{0}", _PLAIN_SQL)
+_CASCADE = f"""q as (select distinct area_name, {_NAME_SQL % 'area_name'} as t from study_area_boundary where area_name is not null),
+    r as (select distinct natcode, {_NAME_SQL % 'nameunit'} as w, list_filter(list_transform(string_split(nameunit, '/'), lambda s: {_NAME_SQL % 's'}), lambda s: s <> {_NAME_SQL % 'nameunit'} and s <> '') as p from boundaries where natlevname = 'Municipio'),
+    m as (select area_name, t, natcode, {_STEP} as step from q, r where t <> ''),
+    h as (select area_name, step, count(distinct natcode) as n, min(natcode) as c from m where step is not null group by 1, 2),
+    g as (select area_name, min(step)::int as step, arg_min(n, step)::bigint as n_codes, arg_min(case when n = 1 then c else '' end, step) as code from h group by 1)"""
+
+
+@query(f"with {_CASCADE} select * from g")
 def match_cascade(spark, d):
-    """The cascade's first four steps, for names of plain letters."""
-    names = table(spark, d, "study_area_boundary").where(F.col("area_name").rlike(r"^[A-Za-z /().,-]*\z"))
-    found = areas.match_cascade(names, _municipalities(spark, d), fuzzy=2.0)
+    """The cascade's first four steps, for all names."""
+    found = areas.match_cascade(table(spark, d, "study_area_boundary"), _municipalities(spark, d), fuzzy=2.0)
     return found.select("area_name", "step", "n_codes", F.coalesce("code", F.lit("")).alias("code"))
 
 
-@query()
+@query(f"""with {_CASCADE}, e as (select natcode, unnest(list_prepend(w, p)) as part from r),
+    f as (select area_name, natcode, damerau_levenshtein(t, part) as d, greatest(length(t), length(part)) as l from q, e where t <> '' and area_name not in (select area_name from g)),
+    s as (select area_name, natcode, 1 - d / l as s from f where d <= greatest(2, round_even(0.3 * l, 0)) and 1 - d / l >= 0.8),
+    b as (select *, max(s) over (partition by area_name) as top from s),
+    k as (select area_name, 5 as step, count(distinct natcode)::bigint as n_codes, case when count(distinct natcode) = 1 then min(natcode) else '' end as code from b where s > top - 1e-9 group by 1)
+    select * from g union all select * from k""")
 def match_fuzzy(spark, d):
     """The whole cascade, with swap-aware similarity, for all names."""
-    return areas.match_cascade(table(spark, d, "study_area_boundary"), _municipalities(spark, d))
+    found = areas.match_cascade(table(spark, d, "study_area_boundary"), _municipalities(spark, d))
+    return found.select("area_name", "step", "n_codes", F.coalesce("code", F.lit("")).alias("code"))
 
 
 def _rectangles(spark, d, side: float, modulo: int) -> DataFrame:
@@ -682,18 +659,11 @@ def _rectangles(spark, d, side: float, modulo: int) -> DataFrame:
     return n.select(F.col("node_id").alias("id"), F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1))).alias("rings"))
 
 
-@query(f"""with {_NODES}, a as (select * from nd where node_id % 11 = 0 and x is not null), b as (select * from nd where node_id % 7 = 0 and x is not null),
+@query(f"""with {_NODES}, a as (select * from nd where node_id % 100 = 0 and x is not null), b as (select * from nd where x is not null),
     o as (select a.node_id as area_id, b.node_id as region_id, least(a.x + 9000, b.x + 5000) - greatest(a.x, b.x) as w, least(a.y + 4500, b.y + 2500) - greatest(a.y, b.y) as h from a, b)
     select area_id, region_id, round(w * h / (9000 * 4500), 6) as of_area, round(w * h / (5000 * 2500), 6) as of_region from o where w > 0 and h > 0""")
 def area_shares(spark, d):
-    """Shares that rectangles around nodes have in each other."""
-    found = areas.overlaps(_rectangles(spark, d, 9000.0, 11), _rectangles(spark, d, 5000.0, 7), 10000.0)
-    return found.select("area_id", "region_id", F.round(F.col("shared") / F.col("area_size"), 6).alias("of_area"), F.round(F.col("shared") / F.col("region_size"), 6).alias("of_region"))
-
-
-@query()
-def area_shares_all(spark, d):
-    """Shares that the rectangles of the query set (nodes divisible by 100) have in those of all nodes, and the reverse; ``area_shares`` takes every 11th and 7th id."""
+    """Shares that the rectangles of the query set (nodes divisible by 100) have in those of all nodes, and the reverse."""
     found = areas.overlaps(_rectangles(spark, d, 9000.0, 100), _rectangles(spark, d, 5000.0, 1), 10000.0)
     return found.select("area_id", "region_id", F.round(F.col("shared") / F.col("area_size"), 6).alias("of_area"), F.round(F.col("shared") / F.col("region_size"), 6).alias("of_region"))
 
