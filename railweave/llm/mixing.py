@@ -11,8 +11,8 @@ documents gain a copy, makes the drawn tokens meet the shares by label too.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,7 +32,8 @@ ROUNDS, STEPS, FACTORS = 3, 256, (1.0 / 1024, 1024.0)
 #: Words a task remembers, and documents whose words are weighed at once.
 REMEMBERED, TOGETHER = 500_000, 512
 
-_WORD = re.compile(r"\w+")
+#: Marks around a word that aren't part of it.
+_MARKS = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "¡¿«»“”‘’…–—"
 
 
 class WordBuckets:
@@ -45,14 +46,14 @@ class WordBuckets:
         """The buckets of all words of ``texts`` in order, and how many words each text has."""
         import xxhash
 
-        words = [_WORD.findall(t.lower()) for t in texts]
+        words = [t.lower().split() for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {}
+        # marks are taken off a word when it is first seen, and its hash is looked up from then on
         for w in set().union(*words).difference(self.known):
-            self.known[w] = xxhash.xxh32_intdigest(w) % self.buckets
+            self.known[w] = xxhash.xxh32_intdigest(w.strip(_MARKS) or w) % self.buckets
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        found = np.fromiter((b for ws in words for b in map(self.known.__getitem__, ws)), np.int64, int(sizes.sum()))
-        return found, sizes
+        return np.array(list(map(self.known.__getitem__, chain.from_iterable(words))), np.int64), sizes
 
 
 def learn_words(labelled: DataFrame, n_labels: int, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:

@@ -12,12 +12,13 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from railweave.functions.text import swap_distance
+
 #: The most entries the list may have; it is sent to every task.
 MAX_ENTRIES = 200_000
 #: Typed values a task remembers; beyond it starts anew.
@@ -78,66 +79,6 @@ def words(text: str, of: Words = SPANISH) -> list[str]:
     return [of.abbreviations.get(w, w) for w in text.split() if w not in ("/", "(", ")", ",")]
 
 
-@lru_cache(maxsize=1 << 16)
-def letters(word: str) -> int:
-    """The characters of a word as a set of bits."""
-    out = 0
-    for c in word:
-        out |= 1 << (ord(c) & 63)
-    return out
-
-
-def typing_distance(a: str, b: str, most: int) -> int:
-    """Insertions, deletions, substitutions and swaps of neighbours from ``a`` to ``b``; ``most + 1`` if more than ``most``."""
-    if a == b:
-        return 0
-    n, m = len(a), len(b)
-    if n > m:
-        a, b, n, m = b, a, m, n
-    if m - n > most:
-        return most + 1
-    # each character that the other lacks costs an edit
-    one, two = letters(a), letters(b)
-    if (one & ~two).bit_count() > most or (two & ~one).bit_count() > most:
-        return most + 1
-    # what both begin and end with costs nothing
-    k = 0
-    while k < n and a[k] == b[k]:
-        k += 1
-    while n > k and a[n - 1] == b[m - 1]:
-        n -= 1
-        m -= 1
-    a, b, n, m = a[k:n], b[k:m], n - k, m - k
-    if not n:
-        return m
-    # only cells within ``most`` of the diagonal can count
-    big = most + 1
-    older: list[int] = []
-    old = [j if j <= most else big for j in range(m + 1)]
-    for i in range(1, n + 1):
-        x = a[i - 1]
-        new = [big] * (m + 1)
-        low, high = max(1, i - most), min(m, i + most)
-        left = new[low - 1] = i if low == 1 and i <= most else big
-        least = left
-        for j in range(low, high + 1):
-            y = b[j - 1]
-            d = old[j - 1] + (x != y)
-            if old[j] < d:
-                d = old[j] + 1
-            if left < d:
-                d = left + 1
-            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2] and older[j - 2] < d:
-                d = older[j - 2] + 1
-            new[j] = left = d
-            if d < least:
-                least = d
-        if least > most:
-            return big
-        older, old = old, new
-    return min(old[m], big)
-
-
 @dataclass
 class Entry:
     """An entry of the list: its code, level and province, and its name's forms."""
@@ -256,7 +197,7 @@ class Gazetteer:
         for s, f in self.near_rest(rest):
             head = f.split()[0]
             keys = [head, *(k for k, v in self.of.abbreviations.items() if v == head)]
-            fit = max(1 - typing_distance(tokens[0], k, 6) / max(len(tokens[0]), len(k)) for k in keys)
+            fit = max(1 - swap_distance(tokens[0], k, 6) / max(len(tokens[0]), len(k)) for k in keys)
             out.append((s - 0.05 * (1 - fit), f))
         return sorted(out, key=lambda x: (-x[0], x[1]))
 
@@ -381,7 +322,7 @@ def similarity(a: Sequence[str], b: Sequence[str], of: Words = SPANISH, joined:
             partner, least = None, 99
             for x in free:
                 most = allowed(max(len(w), len(x)))
-                d = typing_distance(w, x, most)
+                d = swap_distance(w, x, most)
                 if d <= most and (d < least or d == least and x < partner):
                     partner, least = x, d
             size += len(w)
@@ -398,7 +339,7 @@ def similarity(a: Sequence[str], b: Sequence[str], of: Words = SPANISH, joined:
                 lost += len(x) * (0.2 if x in of.links or x in of.articles else 1)
             best = 1 - lost / max(size, 1)
     most = allowed(max(len(joined), len(other)))
-    whole = typing_distance(joined, other, most)
+    whole = swap_distance(joined, other, most)
     if whole <= most:
         best = max(best, 1 - whole / max(len(joined), len(other), 1))
     return best if best >= LEAST_SIMILAR else 0.0
