@@ -28,6 +28,8 @@ TRUTH_WORDS = ("true", "false", "yes", "no", "si", "sí", "verdadero", "falso")
 #: Share of equal cells (of those filled in both files) from which a field goes on under another name; up to
 #: ``SURELY`` the cells must also agree by ``BEYOND_CHANCE`` (Cohen's kappa): few values are often equal by chance.
 SAME_CONTENT, SURELY, BEYOND_CHANCE = 0.6, 0.75, 0.5
+#: Share of lines on which the fields in both files say the same, from which their lines count as aligned.
+ALIGNED = 0.2
 #: Most distinct field names that the canonical naming may handle on the driver.
 MAX_NAMES = 20_000
 
@@ -136,41 +138,52 @@ def versions(lines: DataFrame, report: DataFrame) -> tuple[DataFrame, DataFrame]
     return cut(files), rows
 
 
-def _aligned(rows: DataFrame, own: DataFrame, wanted: str, field: str, value: str, by_line: bool) -> DataFrame:
-    """``(pair, line, field, value)``: the filled cells of the ``wanted`` fields of ``own(own, pair, wanted, kept)``.
+def _met(rows: DataFrame, pairs: DataFrame, by_line: bool) -> DataFrame:
+    """``(pair, old_field, new_field, old_cell, new_cell)``: what gone and come fields say on the same line of both files.
 
-    ``line`` is the line's number, or what its ``kept`` cells say, for lines that are alone with that in their file.
+    Lines are the same by number, or by what their ``kept`` cells say if they are alone with that in their file.
+    By number there is also a pair of fields ``''``, whose cells are what the kept cells say together.
+    All files are parsed once, and each line meets its partner in one shuffle.
     """
-    joined = lookup_join(rows.select(F.col("file_id").alias("own"), "line_no", "names", "values"), own, ["own"], "inner")
-    cell = lambda n: content(F.try_element_at("values", F.array_position("names", n).cast("int")))
-    line = F.col("line_no").cast("long") if by_line else F.xxhash64(F.transform("kept", lambda n: F.coalesce(cell(n), F.lit(""))))
-    each = joined.select("pair", line.alias("line"), F.explode(F.transform(wanted, lambda n: F.struct(n.alias("n"), cell(n).alias("c")))).alias("x"))
-    each = each.select("pair", "line", F.col("x.n").alias(field), F.col("x.c").alias(value)).where(F.col(value) != "")
+    side = lambda own, k, wanted: pairs.select(F.col(own).alias("own"), F.struct(F.lit(k).alias("side"), F.col("file_id").alias("pair"), F.col(wanted).alias("wanted"), "kept").alias("s"))
+    # a file is the new one of at most one pair and the old one of at most one
+    sides = side("before", 0, "gone").unionByName(side("file_id", 1, "come")).groupBy("own").agg(F.collect_list("s").alias("sides"))
+    joined = lookup_join(rows.select(F.col("file_id").alias("own"), "line_no", "names", "values"), cut(sides), ["own"], "inner")
+    each = joined.select("line_no", F.explode("sides").alias("s"), F.transform("values", content).alias("values"), "names").select("line_no", "s.*", "names", "values")
+    cell = lambda n: F.try_element_at("values", F.array_position("names", n).cast("int"))
+    kept = F.xxhash64(F.transform("kept", lambda n: F.coalesce(cell(n), F.lit(""))))
+    told = F.filter(F.transform("wanted", lambda n: F.struct(n.alias("f"), cell(n).alias("c"))), lambda x: x["c"] != "")
     if by_line:
-        return each
-    alone = each.groupBy("pair", "line", field).agg(F.count("*").alias("n"), F.min(value).alias(value))
-    return alone.where("n = 1").drop("n")
-
-
-def _same_fields(rows: DataFrame, pairs: DataFrame, same_content: float, by_line: bool) -> DataFrame:
-    """``(file_id, old_field, new_field)``: each gone field with the come field that goes on with its content."""
-    # a file is the one before of at most one other, so each side is a lookup by its own file
-    old = _aligned(rows, pairs.select(F.col("before").alias("own"), F.col("file_id").alias("pair"), "gone", "kept"), "gone", "old_field", "old_cell", by_line)
-    new = _aligned(rows, pairs.select(F.col("file_id").alias("own"), F.col("file_id").alias("pair"), "come", "kept"), "come", "new_field", "new_cell", by_line)
+        line = F.col("line_no").cast("long")
+        told = F.when(F.size("kept") > 0, F.concat(told, F.array(F.struct(F.lit("").alias("f"), kept.cast("string").alias("c"))))).otherwise(told)
+    else:
+        line = kept
+    of = lambda k: F.max(F.when(F.col("side") == k, F.col("told")))
+    met = each.select("pair", "side", line.alias("line"), told.alias("told")).groupBy("pair", "line").agg(of(0).alias("old"), of(1).alias("new"), F.count_if(F.col("side") == 0).alias("n_old"), F.count_if(F.col("side") == 1).alias("n_new"))
+    met = met.where("old is not null and new is not null" + ("" if by_line else " and n_old = 1 and n_new = 1"))
+    met = met.select("pair", F.explode("old").alias("o"), "new").select("pair", "o", F.explode("new").alias("n")).where((F.col("o.f") == "") == (F.col("n.f") == ""))
+    return met.select("pair", F.col("o.f").alias("old_field"), F.col("n.f").alias("new_field"), F.col("o.c").alias("old_cell"), F.col("n.c").alias("new_cell"))
+
+
+def _same_fields(rows: DataFrame, pairs: DataFrame, same_content: float, by_line: bool) -> tuple[DataFrame, DataFrame]:
+    """``(renamed(file_id, old_field, new_field), agreed(file_id, agreed))``: fields that go on under another name, and
+    the share of lines on which the kept fields say the same."""
     key = ["pair", "old_field", "new_field"]
-    met = old.join(new, ["pair", "line"])
-    alike = met.groupBy(*key).agg(F.count("*").alias("both"), F.count_if(F.col("old_cell") == F.col("new_cell")).alias("equal"))
-    alike = cut(alike.withColumn("share", F.col("equal") / F.col("both")).where(F.col("share") >= same_content))
+    met = _met(rows, pairs, by_line)
+    counted = cut(met.groupBy(*key).agg(F.count("*").alias("both"), F.count_if(F.col("old_cell") == F.col("new_cell")).alias("equal")).withColumn("share", F.col("equal") / F.col("both")))
+    agreed = counted.where("old_field = ''").select(F.col("pair").alias("file_id"), F.col("share").alias("agreed"))
+    alike = counted.where((F.col("old_field") != "") & (F.col("share") >= same_content))
     # the few that might be equal by chance: how often two fields with these values would be
-    doubted = alike.where(F.col("share") < SURELY).select(*key, "both")
-    told = met.join(F.broadcast(doubted) if doubted.limit(10_000).count() < 10_000 else doubted, key)
-    often = lambda c, n: told.groupBy(*key, F.col(c).alias("v"), "both").agg(F.count("*").alias(n))
-    chance = often("old_cell", "p").join(often("new_cell", "q").drop("both"), [*key, "v"]).groupBy(*key).agg(F.sum(F.col("p") * F.col("q") / F.col("both") / F.col("both")).alias("chance"))
-    alike = alike.join(chance, key, "left").withColumn("chance", F.coalesce("chance", F.lit(0.0)))
-    alike = alike.where((F.col("share") >= SURELY) | (F.col("share") - F.col("chance") >= BEYOND_CHANCE * (1 - F.col("chance"))))
+    doubted = cut(alike.where(F.col("share") < SURELY).select(*key, "both"))
+    if not doubted.isEmpty():
+        told = lookup_join(met, doubted, key, "inner")
+        often = lambda c, n: told.groupBy(*key, F.col(c).alias("v"), "both").agg(F.count("*").alias(n))
+        chance = often("old_cell", "p").join(often("new_cell", "q").drop("both"), [*key, "v"]).groupBy(*key).agg(F.sum(F.col("p") * F.col("q") / F.col("both") / F.col("both")).alias("chance"))
+        alike = alike.join(chance, key, "left").withColumn("chance", F.coalesce("chance", F.lit(0.0)))
+        alike = alike.where((F.col("share") >= SURELY) | (F.col("share") - F.col("chance") >= BEYOND_CHANCE * (1 - F.col("chance"))))
     rank = [F.desc("share"), F.desc("equal"), F.desc("near"), "old_field", "new_field"]
     alike = alike.withColumn("near", -F.levenshtein("old_field", "new_field")).withColumn("a", F.row_number().over(Window.partitionBy("pair", "old_field").orderBy(*rank))).withColumn("b", F.row_number().over(Window.partitionBy("pair", "new_field").orderBy(*rank)))
-    return alike.where("a = 1 and b = 1").select(F.col("pair").alias("file_id"), "old_field", "new_field")
+    return cut(alike.where("a = 1 and b = 1").select(F.col("pair").alias("file_id"), "old_field", "new_field")), agreed
 
 
 def migration_steps(files: DataFrame, rows: DataFrame, same_content: float = SAME_CONTENT) -> DataFrame:
@@ -178,8 +191,8 @@ def migration_steps(files: DataFrame, rows: DataFrame, same_content: float = SAM
 
     A field that went and one that came are one *renamed* field if at least ``same_content`` of their cells,
     where both are filled, say the same - more than their values would by chance - and neither fits another
-    better.  Lines are compared by number; where fields stay unexplained, which lines put in or taken out
-    cause, lines are matched by what the fields in both files say.  The rest are *added* and *removed*.
+    better.  Lines are compared by number; where fields stay unexplained and the fields in both files don't
+    agree line by line either, as after lines put in or taken out, lines are matched by what these say.  The rest are *added* and *removed*.
     *retyped*: the same name, another kind of filled cells.
     """
     earlier = files.select(F.col("file_id").alias("before"), F.col("names").alias("old_names"), F.col("kinds").alias("old_kinds"))
@@ -194,10 +207,11 @@ def migration_steps(files: DataFrame, rows: DataFrame, same_content: float = SAM
         return rest.withColumn("gone", F.array_except("gone", F.coalesce("r_old", none))).withColumn("come", F.array_except("come", F.coalesce("r_new", none))).drop("r_old", "r_new")
 
     unclear = lambda df: df.where((F.size("gone") > 0) & (F.size("come") > 0))
-    renamed = cut(_same_fields(rows, unclear(pairs), same_content, True))
-    again = cut(unclear(left(renamed)).where(F.size("kept") > 0))
+    renamed, agreed = _same_fields(rows, unclear(pairs), same_content, True)
+    again = unclear(left(renamed)).where(F.size("kept") > 0).join(agreed, "file_id", "left")
+    again = cut(again.where(F.coalesce("agreed", F.lit(0.0)) < ALIGNED).drop("agreed"))
     if not again.isEmpty():
-        renamed = cut(renamed.unionByName(_same_fields(rows, again, same_content, False)))
+        renamed = cut(renamed.unionByName(_same_fields(rows, again, same_content, False)[0]))
     other_kind = F.filter("kept", lambda n: F.element_at("old_kinds", n) != F.element_at("kinds", n))
     change = lambda kind, fields, old_, new_: F.transform(fields, lambda n: F.struct(F.lit(kind).alias("change_kind"), (n if old_ else F.lit("")).alias("old_field"), (n if new_ else F.lit("")).alias("new_field")))
     listed = F.concat(change("removed", "gone", True, False), change("added", "come", False, True), change("retyped", other_kind, True, True))
