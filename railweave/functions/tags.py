@@ -77,6 +77,13 @@ def travel_seconds(mode: str, length: Column, highway: Column, maxspeed: Column,
     return length / (speed / 3.6) + lost
 
 
+def travel_minutes(length: Column, kmh: float) -> Column:
+    """Minutes along an edge at one constant speed, the simple measure; null lengths stay null."""
+    if not kmh > 0:
+        raise ValueError("the speed must be above 0")
+    return length.cast("double") / (kmh * 1000 / 60)
+
+
 _FILTER = re.compile(r'\["([^"]+)"(?:(=|!=|~|!~)"([^"]*)")?\]')
 
 

@@ -13,6 +13,43 @@ MARKED = "ÀÁÂÃÄÅĀĂĄÇĆĈĊČĎÈÉÊËĒĔĖĘĚĜĞĠĢĤÌÍÎÏĨĪ
 PLAIN = "AAAAAAAAACCCCCDEEEEEEEEEGGGGHIIIIIIIIIJKLLLNNNNOOOOOOOORRRSSSSTTUUUUUUUUUUWYYYZZZaaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
 
 
+#: The provinces' names by their codes 1 to 52, in all official languages.
+PROVINCES = (
+    ("Álava", "Araba"), ("Albacete",), ("Alicante", "Alacant"), ("Almería",), ("Ávila",), ("Badajoz",), ("Illes Balears", "Islas Baleares", "Baleares", "Balears"), ("Barcelona",), ("Burgos",), ("Cáceres",),
+    ("Cádiz",), ("Castellón", "Castelló"), ("Ciudad Real",), ("Córdoba",), ("A Coruña", "La Coruña", "Coruña"), ("Cuenca",), ("Girona", "Gerona"), ("Granada",), ("Guadalajara",), ("Gipuzkoa", "Guipúzcoa"),
+    ("Huelva",), ("Huesca",), ("Jaén",), ("León",), ("Lleida", "Lérida"), ("La Rioja", "Rioja"), ("Lugo",), ("Madrid",), ("Málaga",), ("Murcia",),
+    ("Navarra", "Nafarroa"), ("Ourense", "Orense"), ("Asturias", "Asturies"), ("Palencia",), ("Las Palmas",), ("Pontevedra",), ("Salamanca",), ("Santa Cruz de Tenerife", "Tenerife"), ("Cantabria",), ("Segovia",),
+    ("Sevilla",), ("Soria",), ("Tarragona",), ("Teruel",), ("Toledo",), ("Valencia", "València"), ("Valladolid",), ("Bizkaia", "Vizcaya"), ("Zamora",), ("Zaragoza",), ("Ceuta",), ("Melilla",),
+)
+
+
+def plain_name(text: str) -> str:
+    """``normal_name`` of one text, on the driver."""
+    ascii_only = text.translate(str.maketrans(MARKED + "ªº", PLAIN + "ao")).encode("ascii", "ignore").decode()
+    return " ".join("".join(c if c.isalnum() else " " for c in ascii_only).split()).lower()
+
+
+def province_code(province: int | str) -> int:
+    """The code 1 to 52 of a province given by code or name; raises ``ValueError`` for others."""
+    text = str(province).strip()
+    if text.isdigit():
+        if 1 <= int(text) <= len(PROVINCES):
+            return int(text)
+        raise ValueError(f"province codes are 1 to {len(PROVINCES)}, not {text}")
+    codes = {plain_name(n): k for k, names in enumerate(PROVINCES, 1) for n in names}
+    if plain_name(text) not in codes:
+        raise ValueError(f"no province is called {province!r}")
+    return codes[plain_name(text)]
+
+
+def province_named(text: Column) -> Column:
+    """``province_code`` as an expression: the code of a province's code or name; null for others."""
+    plain = {plain_name(n): k for k, names in enumerate(PROVINCES, 1) for n in names}
+    codes = F.create_map(*[F.lit(x) for pair in plain.items() for x in pair])
+    number = F.trim(text).try_cast("int")
+    return F.coalesce(F.when(number.between(1, len(PROVINCES)), number), F.try_element_at(codes, normal_name(text)))
+
+
 def normal_name(text: Column) -> Column:
     """Lower case, marks taken off Latin letters, other characters beyond ASCII dropped, the rest single blanks."""
     plain = F.translate(F.translate(text, MARKED, PLAIN), "ªº", "ao")

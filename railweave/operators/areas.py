@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from railweave.functions.text import edit_similarity, municipality_code, name_parts, normal_name, province_of, typo_distance
+from railweave.functions.polygons import clip_convex, shape_area, union
+from railweave.functions.text import edit_similarity, municipality_code, name_parts, normal_name, province_code, province_of, typo_distance
 from railweave.scale import cut
 
 #: Least similarity of a fuzzy match, least share of a province and of a municipality.
@@ -108,11 +109,12 @@ def _first_step(hits: DataFrame, name: str) -> DataFrame:
     return first.select(name, "step", "n_codes", F.when(F.col("n_codes") == 1, F.col("code")).alias("code"))
 
 
-def find_area(reference: DataFrame, name: str | None = None, *, area_code: str | None = None, province: int | None = None, reference_name: str = "nameunit", code: str = "natcode", level: str = "natlevname"):
+def find_area(reference: DataFrame, name: str | None = None, *, area_code: str | None = None, province: int | str | None = None, reference_name: str = "nameunit", code: str = "natcode", level: str = "natlevname"):
     """``(row, step)`` of the one municipality meant; raises ``ValueError`` if none is, ``AmbiguousAreaError`` for several.
 
-    ``area_code`` (whole, or the last five digits) bypasses names; ``province`` filters first.
+    ``area_code`` (whole, or the last five digits) bypasses names; ``province`` (code or name) filters first.
     """
+    province = None if province is None else province_code(province)
     rows = reference
     if level in reference.columns:
         rows = rows.where(F.col(level) == "Municipio")
@@ -264,6 +266,43 @@ def municipalities_in(shared: DataFrame, least: float = LEAST_SHARE) -> DataFram
     return shared.where(enough).select("area_id", "region_id").orderBy("area_id", "region_id")
 
 
+def dissolved(shapes: DataFrame, key: str) -> DataFrame:
+    """``(key, rings array<array<struct<x, y>>>, area)``: the union of the shapes ``(key, rings)`` of each key.
+
+    Outer rings run counter-clockwise, holes clockwise.  What makes up one key is united in one task, so a
+    key should be a bounded place; ``tiled_union`` does it for any number of street stretches.
+    """
+    kind = shapes.schema[key].dataType.simpleString()
+
+    def united(g: pd.DataFrame) -> pd.DataFrame:
+        rings = union([[[(p["x"], p["y"]) for p in r] for r in rings] for rings in g["rings"]])
+        made = [[{"x": x, "y": y} for x, y in r] for r in rings]
+        return pd.DataFrame({key: g[key].iloc[:1], "rings": [made], "area": [shape_area(rings)]})
+
+    return shapes.select(key, "rings").groupBy(key).applyInPandas(united, f"`{key}` {kind}, rings array<array<struct<x:double,y:double>>>, area double")
+
+
+def tiled_union(segments: DataFrame, keys: Sequence[str], radius: float, tile: float) -> DataFrame:
+    """``(keys..., tx, ty, rings, area)``: the places within ``radius`` of the segments ``(keys..., x1, y1, x2, y2)``, tile by tile.
+
+    A segment goes to each tile that its box meets and is cut to it there; pieces of neighbouring tiles don't
+    overlap, so their areas add up, and however far a key reaches no task holds more than a tile of it.
+    """
+    cell = lambda a, b: F.sequence(F.floor((F.least(a, b) - radius) / tile), F.floor((F.greatest(a, b) + radius) / tile))
+    placed = segments.select(*keys, "x1", "y1", "x2", "y2").distinct().withColumn("tx", F.explode(cell("x1", "x2"))).withColumn("ty", F.explode(cell("y1", "y2")))
+    kinds = ", ".join(f"`{k}` {segments.schema[k].dataType.simpleString()}" for k in keys)
+
+    def united(g: pd.DataFrame) -> pd.DataFrame:
+        left, low = g["tx"].iloc[0] * tile, g["ty"].iloc[0] * tile
+        cuts = [clip_convex(capsule(*row, radius), left, low, left + tile, low + tile) for row in g[["x1", "y1", "x2", "y2"]].itertuples(index=False)]
+        rings = union([[c] for c in cuts if len(c) > 2])
+        if not rings:
+            return pd.DataFrame({c: [] for c in [*keys, "tx", "ty", "rings", "area"]})
+        return g[[*keys, "tx", "ty"]].iloc[:1].assign(rings=[[[{"x": x, "y": y} for x, y in r] for r in rings]], area=[shape_area(rings)])
+
+    return placed.groupBy(*keys, "tx", "ty").applyInPandas(united, f"{kinds}, tx long, ty long, rings array<array<struct<x:double,y:double>>>, area double")
+
+
 def convex_hull(points: np.ndarray) -> np.ndarray:
     """The corners of the convex hull, counter-clockwise, by Andrew's monotone chain."""
     pts = np.unique(np.asarray(points, float), axis=0)

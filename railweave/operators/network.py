@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from railweave.operators.timetable import with_ordinal
+from railweave.operators.timetable import period_codes, transit_weights, with_ordinal
 from railweave.scale import cut, lookup_join, numbered
 
 INF = float("inf")
@@ -95,6 +95,19 @@ def build_matrix(nodes: DataFrame, edges: DataFrame, weights: Sequence[str], *,
     return Network(rows, cut(entries), weights, dict(meta or {}))
 
 
+def transit_network(stops: DataFrame, edges: DataFrame, *, mode: str, dataset: str, periods=None, meta: dict | None = None) -> Network:
+    """The network of a timetable's final layers, ``edges`` under their short names; ids are text.
+
+    Weights are the travel times that the edges have, the overall mean being the default.  Stops keep their
+    ``in_area``; ends of edges that no stop has are appended outside the area.  ``periods`` (name: hours) and
+    their codes are told in the metadata.
+    """
+    text = {c: F.col(c).cast("string") for c in ("from_node", "to_node")}
+    nodes = stops.withColumn("node_id", F.col("node_id").cast("string"))
+    told = {"mode": mode, "dataset": dataset, "layer": f"{mode}/{dataset}", "default_weight": "tts_m", "units": "s", "periods": {k: list(v) for k, v in periods.items()} if periods else None, "period_codes": period_codes(None if periods is None else list(periods))}
+    return build_matrix(nodes, edges.withColumns(text), transit_weights(None if periods is None else list(periods)), meta=told | (meta or {}))
+
+
 def row_offsets(network: Network) -> DataFrame:
     """``(row, start, size)``: where each node's entries begin in the sorted matrix; one row per node."""
     sizes = network.nodes.select("row").join(network.edges.groupBy("row").agg(F.count("*").alias("size")), "row", "left").fillna({"size": 0})

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from railweave.functions.geo import distance_to, point_inside, segment_meets
+from railweave.functions.polygons import ring_area
 from railweave.functions.tags import flat_list, road_class, speed_kmh, travel_seconds
+from railweave.operators.areas import convex_hull
+from railweave.operators.network import connect_parts
+from railweave.scale import cut
 
 #: The columns of the edge layer, in order.
 EDGE_LAYER = ("edge_id", "from_node", "to_node", "highway", "hwy_raw", "lanes", "maxspeed", "spd_raw", "name", "oneway", "reversed", "length", "tts", "connector", "geometry")
@@ -112,9 +118,7 @@ def street_layers(edges: DataFrame, vertices: DataFrame, mode: str, *, layer: st
     """
     listed = lambda c: (F.col(c) if dict(edges.dtypes)[c].startswith("array") else F.array(F.col(c))).cast("array<string>") if c in edges.columns else F.lit(None).cast("array<string>")
     keyed = edges.withColumn("edge", F.concat_ws("_", F.col("u").cast("string"), F.col("v").cast("string"), F.col("key").cast("string")))
-    straight = F.col("geometry").isNull() | (F.size("geometry") < 2)
-    ends = lambda k: vertices.select(F.col("node_id").alias(k), F.struct("x", "y").alias(f"_{k}"))
-    keyed = keyed.join(ends("u"), "u", "left").join(ends("v"), "v", "left").withColumn("geometry", F.when(straight, F.array("_u", "_v")).otherwise(F.col("geometry")))
+    keyed = ends_geometry(keyed, vertices)
     nodes = name_nodes(topology_nodes(keyed, undirected=undirected), layer or mode, vertices)
     parts = split_edges(keyed, nodes)
     flat = lambda c: flat_list(listed(c))
@@ -125,6 +129,104 @@ def street_layers(edges: DataFrame, vertices: DataFrame, mode: str, *, layer: st
     return nodes.select("node_id", "node_role", "x", "y"), done.select(*EDGE_LAYER)
 
 
+def parts_by_size(area) -> list:
+    """The polygons of an area, the largest first: part 1 is the main one."""
+    return sorted(area, key=lambda polygon: -(abs(ring_area(polygon[0])) - sum(abs(ring_area(h)) for h in polygon[1:])))
+
+
+def clip_lines(lines: DataFrame, area) -> DataFrame:
+    """The rows whose ``geometry array<struct<x, y>>`` meets ``area``; lines without a geometry go."""
+    pairs = F.arrays_zip(F.slice("geometry", 1, F.size("geometry") - 1).alias("p"), F.slice("geometry", 2, F.size("geometry") - 1).alias("q"))
+    meets = F.exists(pairs, lambda s: segment_meets(s["p"]["x"], s["p"]["y"], s["q"]["x"], s["q"]["y"], area))
+    return lines.where(F.coalesce((F.size("geometry") > 1) & meets, F.lit(False)))
+
+
+def area_streets(vertices: DataFrame, edges: DataFrame, area, *, connect: bool = True, margin: float = 1000.0) -> tuple[DataFrame, DataFrame, list[int]]:
+    """``(vertices, edges, unconnected)`` of a street graph cut to an area.
+
+    An edge stays if one of its ends lies in the area.  If the area has several parts with streets, the
+    shortest ways from the main part to each other and back are added from the streets within ``margin`` of
+    the hull of all parts, marked ``connector``; ``unconnected`` lists the parts (1 is the largest) that can't
+    be reached both ways.
+    """
+    parts = parts_by_size(area)
+    part = F.coalesce(*[F.when(point_inside(F.col("x"), F.col("y"), [p]), k) for k, p in enumerate(parts, 1)])
+    placed = cut(vertices.withColumn("_part", part))
+    inside = placed.where(F.col("_part").isNotNull()).select("node_id", "_part")
+    ids = inside.select("node_id")
+    marked = edges.join(ids.select(F.col("node_id").alias("u"), F.lit(True).alias("_u")), "u", "left").join(ids.select(F.col("node_id").alias("v"), F.lit(True).alias("_v")), "v", "left")
+    kept = marked.where("_u or _v").drop("_u", "_v").select(*edges.columns).withColumn("connector", F.lit(False))
+    own = kept.select(F.explode(F.array("u", "v")).alias("node_id")).distinct()
+    if not connect or len(parts) < 2:
+        return vertices.join(own, "node_id", "left_semi"), kept, []
+    hull = convex_hull(np.array([p for polygon in parts for p in polygon[0]], float))
+    near = placed.where(distance_to(F.col("x"), F.col("y"), [[[tuple(map(float, p)) for p in hull]]]) <= margin).select("node_id")
+    around = edges.join(near.select(F.col("node_id").alias("u")), "u", "left_semi").join(near.select(F.col("node_id").alias("v")), "v", "left_semi")
+    main = inside.agg(F.min("_part")).first()[0]
+    # the first part that has streets is the main one
+    numbered = inside.select(F.col("node_id").alias("node"), F.when(F.col("_part") == main, 1).otherwise(F.col("_part") + 1).alias("part"))
+    links, missing = connect_parts(around.select(F.col("u").alias("src"), F.col("v").alias("dst"), F.col("length").cast("double").alias("length")), numbered)
+    # of parallel edges the shortest one leads on
+    ways = links.select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct()
+    shortest = around.join(ways, ["u", "v"], "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("u", "v").orderBy(F.col("length").cast("double"), "key"))).where("_n = 1").select(*edges.columns)
+    added = shortest.join(kept.select("u", "v", "key"), ["u", "v", "key"], "left_anti").select(*edges.columns).withColumn("connector", F.lit(True))
+    done = kept.unionByName(added)
+    used = done.select(F.explode(F.array("u", "v")).alias("node_id")).distinct()
+    return vertices.join(used, "node_id", "left_semi"), done, sorted(r["part"] - 1 for r in missing.collect())
+
+
+def simplified(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(vertices, edges)`` where a chain of edges through vertices that only lead on is one edge.
+
+    A vertex stays if a loop begins there, nothing leads to it or from it, or it hasn't just two neighbours,
+    each with one edge or an edge each way.  An edge's ``geometry`` and ``osmid`` are those of its chain in
+    order, ``length`` the sum, other tags the distinct values in order.  Rings without a vertex that stays
+    are left as they are.  Chains double their known length each round.
+    """
+    listed = lambda c: (F.col(c) if dict(edges.dtypes)[c].startswith("array") else F.array_compact(F.array(F.col(c)))).cast("array<string>")
+    tags = [c for c in edges.columns if c not in ("u", "v", "key", "length", "geometry")]
+    ends = edges.select(F.col("u").alias("n"), F.col("v").alias("m"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("v").alias("n"), F.col("u").alias("m"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    seen = ends.groupBy("n").agg(F.approx_count_distinct("m").alias("_"), F.sum("o").alias("out"), F.sum("i").alias("in"), F.min("m").alias("a"), F.max("m").alias("b"), F.max((F.col("m") == F.col("n")).cast("int")).alias("loop"), F.count_if(F.lit(True)).alias("d")).drop("_")
+    other = ends.join(seen.select("n", "a", "b"), "n").groupBy("n").agg(F.max(((F.col("m") != F.col("a")) & (F.col("m") != F.col("b"))).cast("int")).alias("third"))
+    through = cut(seen.join(other, "n").where("loop = 0 and out > 0 and `in` > 0 and a <> b and third = 0 and d in (2, 4)").select("n"))
+    straight = ends_geometry(edges, vertices)
+    base = straight.withColumn("_id", F.concat_ws("_", F.col("u").cast("string"), F.col("v").cast("string"), F.col("key").cast("string")))
+    chain = cut(base.select("_id", "u", "v", F.array("_id").alias("ids")))
+    inner = through.select(F.col("n").alias("v"))
+    # an edge leads on to the one that leaves its end for another place than its start
+    follow = base.select(F.col("u").alias("v"), F.col("v").alias("w"), F.col("_id").alias("next"))
+    leads = base.select("_id", "u", "v").join(inner, "v").join(follow, "v").where("w <> u").groupBy("_id").agg(F.min("next").alias("next"))
+    starts = cut(base.join(through.select(F.col("n").alias("u")), "u", "left_anti").select("_id"))
+    state = cut(chain.select("_id", "ids").join(leads, "_id", "left"))
+    rounds = 0
+    while rounds < 40 and not state.join(starts, "_id", "left_semi").where("next is not null").isEmpty():
+        rounds += 1
+        onward = state.select(F.col("_id").alias("next"), F.col("ids").alias("more"), F.col("next").alias("then"))
+        state = cut(state.join(onward, "next", "left").select("_id", F.when(F.col("more").isNull(), F.col("ids")).otherwise(F.concat("ids", "more")).alias("ids"), F.col("then").alias("next")))
+    made = state.join(starts, "_id", "left_semi").select(F.col("_id").alias("_first"), F.posexplode("ids").alias("_k", "_id"))
+    made = cut(made)
+    rings = base.join(made.select("_id"), "_id", "left_anti").select(F.col("_id").alias("_first"), F.lit(0).alias("_k"), "_id")
+    parts = made.unionByName(rings).join(base, "_id")
+    first, last = (lambda c: F.min_by(c, "_k")), (lambda c: F.max_by(c, "_k"))
+    merged = parts.groupBy("_first").agg(
+        first("u").alias("u"), last("v").alias("v"), first("key").alias("key"), F.sum(F.col("length").cast("double")).alias("length"),
+        F.array_sort(F.collect_list(F.struct("_k", "geometry"))).alias("_g"), *[F.array_sort(F.collect_list(F.struct("_k", listed(c).alias("t")))).alias(f"_{c}") for c in tags],
+    )
+    line = F.aggregate("_g", F.array().cast(straight.schema["geometry"].dataType), lambda a, p: F.concat(a, F.when(F.size(a) == 0, p["geometry"]).otherwise(F.slice(p["geometry"], F.lit(2), F.size(p["geometry"])))))
+    values = lambda c: F.array_distinct(F.flatten(F.transform(f"_{c}", lambda p: F.coalesce(p["t"], F.array().cast("array<string>")))))
+    done = merged.select("u", "v", "key", *[values(c).alias(c) for c in tags], "length", line.alias("geometry"))
+    left = done.select(F.explode(F.array("u", "v")).alias("node_id")).distinct()
+    return vertices.join(left, "node_id", "left_semi"), done
+
+
+def ends_geometry(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """``edges`` where each has a geometry: the straight line between its ends if it has none."""
+    place = lambda k: vertices.select(F.col("node_id").alias(k), F.struct("x", "y").alias(f"_{k}"))
+    own = F.col("geometry") if "geometry" in edges.columns else F.lit(None).cast("array<struct<x:double,y:double>>")
+    joined = edges.withColumn("geometry", own).join(place("u"), "u", "left").join(place("v"), "v", "left")
+    return joined.withColumn("geometry", F.when(F.col("geometry").isNull() | (F.size("geometry") < 2), F.array("_u", "_v")).otherwise(F.col("geometry"))).drop("_u", "_v")
+
+
 def largest_component(edges: DataFrame, members: DataFrame) -> DataFrame:
     """The edges whose ends lie in the component with most nodes (the smaller name among equals)."""
     top = members.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from railweave.functions import geo
 from railweave.functions.calendar import WEEK, day_type, feed_date, ordered_days
 from railweave.functions.clock import PERIODS, REST, clock_seconds, clock_text, hour_band, period
+from railweave.scale import cut
 
 #: The longest believable segment in seconds; just as long is kept.
 LONGEST_SEGMENT = 3 * 3600
@@ -27,6 +28,17 @@ RAIL_EXTENDED = ((100, 199), (300, 699), (900, 999), (1400, 1499))
 #: The columns that make an edge, in order.
 EDGE_KEYS = ("from_node", "to_node", "route_id", "route_short_name", "route_long_name", "route_type", "from_stop_name", "to_stop_name", "from_stop_lon", "from_stop_lat", "to_stop_lon", "to_stop_lat")
 SCHEDULE_COLUMNS = ("edge_id", "trip_id", "route_id", "route_short_name", "trip_headsign", "from_node", "to_node", "departure_time", "arrival_time", "travel_time_seconds", "hour_band", "period", "service_id", "days_active", "active_days_of_week", "runs_weekday", "runs_weekend", "day_type")
+#: The output layer's columns in order, long and short; ``{p}`` is a period (short: its code), ``{d}`` a day type.
+EDGE_OUTPUT = (
+    ("edge_id", "edge_id"), ("from_node", "from_node"), ("to_node", "to_node"), ("route_id", "route_id"), ("route_short_name", "route_sh"), ("route_long_name", "route_ln"), ("trip_count", "trips"),
+    ("travel_time_seconds_mean", "tts_m"), ("travel_time_seconds_median", "tts_md"), ("travel_time_seconds_min", "tts_mn"), ("travel_time_seconds_max", "tts_mx"),
+    ("travel_time_seconds_mean_{p}", "tts_m_{p}"), ("travel_time_seconds_median_{p}", "tts_md_{p}"), ("trip_count_{p}", "trips_{p}"),
+    (("travel_time_seconds_mean_{d}", "tts_m_{d}"), ("trip_count_{d}", "trips_{d}")),
+    ("days_of_week_summary", "days_week"), ("hourly_travel_times", "h_tts"), ("hourly_trip_counts", "h_trips"), ("geometry", "geometry"),
+    (("travel_time_seconds_mean_{p}_{d}", "tm_{p}_{d}"), ("trip_count_{p}_{d}", "trp_{p}_{d}")),
+)
+#: The day types' codes.
+DAY_CODES = {"weekday": "wd", "weekend": "we"}
 DAY_TYPES = {"weekday": "runs_weekday", "weekend": "runs_weekend"}
 
 
@@ -194,14 +206,14 @@ def expand_frequencies(trips: DataFrame, stop_times: DataFrame, frequencies: Dat
     departures = rows.join(base, "trip_id").select("trip_id", "_base", F.explode(at).alias("_at")).distinct()
     departures = departures.withColumn("_new", F.concat("trip_id", F.lit("@"), clock_text(F.col("_at"))))
     shift = F.col("_at") - F.col("_base")
-    replaced = departures.select("trip_id").distinct()
-    moved = stop_times.join(departures, "trip_id")
+    # rows of templates come out once per departure, the others as they are: one join each
+    moved = stop_times.join(departures, "trip_id", "left")
     for c in ("arrival_time", "departure_time"):
         if c in stop_times.columns:
-            moved = moved.withColumn(c, clock_text(clock_seconds(F.col(c)) + shift))
-    moved = moved.withColumn("trip_id", F.col("_new")).select(*stop_times.columns)
-    copies = trips.join(departures.select("trip_id", "_new"), "trip_id").withColumn("trip_id", F.col("_new")).select(*trips.columns)
-    return (trips.join(replaced, "trip_id", "left_anti").select(*trips.columns).unionByName(copies), stop_times.join(replaced, "trip_id", "left_anti").select(*stop_times.columns).unionByName(moved))
+            moved = moved.withColumn(c, F.when(F.col("_new").isNull(), F.col(c)).otherwise(clock_text(clock_seconds(F.col(c)) + shift)))
+    own = F.coalesce("_new", "trip_id")
+    copies = trips.join(departures.select("trip_id", "_new"), "trip_id", "left").withColumn("trip_id", own).select(*trips.columns)
+    return copies, moved.withColumn("trip_id", own).select(*stop_times.columns)
 
 
 def edge_id(dataset: str | Column, route: Column, from_node: Column, to_node: Column) -> Column:
@@ -354,12 +366,53 @@ def used_stops(stops: DataFrame, edges: DataFrame | None, area=None, *, dataset:
 
 
 def normalize_feed(feed: Mapping[str, DataFrame | None], *, dataset: str = "ds", area=None, date: dt.date | None = None, hours: tuple[int, int] | None = None, band: int = 1, periods: Mapping[str, tuple[int, int]] | None = None) -> dict[str, DataFrame]:
-    """``nodes``, ``edges`` and ``schedule`` of a feed; the records are made once and clipped before they are aggregated."""
-    rows = clip_records(trip_records(feed, dataset=dataset, date=date, hours=hours, band=band, periods=periods), area).persist()
+    """``nodes``, ``edges`` and ``schedule`` of a feed; the records are made once and clipped before they are aggregated.
+
+    The records lie in the checkpoint folder, so nothing is left to be released.
+    """
+    rows = cut(clip_records(trip_records(feed, dataset=dataset, date=date, hours=hours, band=band, periods=periods), area))
     edges = stop_edges(rows, dataset=dataset, periods=None if periods is None else list(periods), date=date)
     return {"nodes": used_stops(feed["stops"], edges, area, dataset=dataset), "edges": edges, "schedule": schedule_table(rows), "records": rows}
 
 
+def output_names(periods: Sequence[str] | None = None) -> dict[str, str]:
+    """The edge layer's long names with their short ones, in the order of the output."""
+    codes, out = period_codes(periods), {}
+    for item in EDGE_OUTPUT:
+        pairs = (item,) if isinstance(item[0], str) else item  # what stands together is written side by side
+        over_p = codes if "{p}" in pairs[0][0] else {"": ""}
+        over_d = DAY_CODES if "{d}" in pairs[0][0] else {"": ""}
+        out |= {long.format(p=p, d=d): short.format(p=over_p[p], d=over_d[d]) for p in over_p for d in over_d for long, short in pairs}
+    return out
+
+
+def output_edges(edges: DataFrame, periods: Sequence[str] | None = None) -> DataFrame:
+    """The edge layer as it is written: the columns there are, in order, under their short names."""
+    return edges.select(*[F.col(long).alias(short) for long, short in output_names(periods).items() if long in edges.columns])
+
+
+def output_stops(stops: DataFrame) -> DataFrame:
+    """The stop layer as it is written."""
+    return stops.select(*[c for c in ("node_id", "stop_name", "in_area", "x", "y") if c in stops.columns])
+
+
+def transit_weights(periods: Sequence[str] | None = None) -> list[str]:
+    """The travel times of the output layer, all in seconds; the overall mean is the first."""
+    return [short for long, short in output_names(periods).items() if long.startswith("travel_time")]
+
+
+def no_service(feed: Mapping[str, DataFrame | None], date: dt.date) -> str:
+    """Why a feed has no trip on ``date``, or ``''`` if it has one."""
+    trips = feed["trips"]
+    if "service_id" not in trips.columns:
+        return ""
+    calendar, exceptions = feed.get("calendar"), feed.get("calendar_dates")
+    if not trips.join(active_services(calendar, exceptions, date), "service_id", "left_semi").isEmpty():
+        return ""
+    span = service_period(calendar, exceptions).first()
+    return f"no trips on {date.isoformat()}" + (f"; its calendar runs from {span['first_day']} to {span['last_day']}" if span["first_day"] else "")
+
+
 def period_codes(periods: Sequence[str] | None = None) -> dict[str, str]:
     """Short codes of period names: three letters each, or ``p1, p2...`` if these clash or equal a day type's."""
     names = [*(PERIODS if periods is None else periods)]

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
+import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +15,8 @@ from railweave.functions.calendar import WEEK
 from railweave.functions.clock import PERIODS, REST, clock_seconds, clock_text, hour_band, period
 from railweave.operators import areas, network, report, streets, timetable
 from railweave.operators.near import regions_holding
-from railweave.scale import cut
+from railweave.scale import checkpoint_dir, cut
+from railweave.sources.streets import read_matrix, write_matrix
 from railweave.tables import table
 
 QUERIES: dict = {}
@@ -283,14 +287,6 @@ def period_labels(spark, d):
     return s.select("sched_row", period(F.col("s")).alias("period"))
 
 
-@query("""select dataset, case when 2 * count(*) filter (where mode = 'train') > count(*) then 'train' else 'bus' end as mode
-    from (select distinct dataset, route_id, mode from transit_edges) group by 1""")
-def feed_mode_majority(spark, d):
-    routes = table(spark, d, "transit_edges").select("dataset", "route_id", F.when(F.col("mode") == "train", "101").otherwise("3").alias("route_type")).distinct()
-    rail = F.count_if(timetable.is_rail(F.col("route_type")))
-    return routes.groupBy("dataset").agg(F.when(2 * rail > F.count("*"), "train").otherwise("bus").alias("mode"))
-
-
 @query("select from_node as node_id from transit_edges union select to_node from transit_edges")
 def endpoint_union(spark, d):
     t = table(spark, d, "transit_edges")
@@ -328,14 +324,15 @@ def _lines(spark, d) -> DataFrame:
 _LINES = f"{_NODES}, ln as (select e.*, a.x as x1, a.y as y1, b.x as x2, b.y as y2 from edges e join nd a on e.from_node = a.node_id join nd b on e.to_node = b.node_id where a.x is not null and b.x is not null)"
 
 
-def _clip_sql() -> str:
-    a, b, c, e = BOX
+def _meets(x1: str, y1: str, x2: str, y2: str, area) -> str:
+    """Whether a line meets a box, in SQL."""
+    a, b, c, e = area
     lo = lambda p, q, u, v: f"case when {q} <> {p} then least(({u} - {p}) / ({q} - {p}), ({v} - {p}) / ({q} - {p})) when {p} between {u} and {v} then -1e300 else 1e300 end"
     hi = lambda p, q, u, v: f"case when {q} <> {p} then greatest(({u} - {p}) / ({q} - {p}), ({v} - {p}) / ({q} - {p})) when {p} between {u} and {v} then 1e300 else -1e300 end"
-    return f"with {_LINES} select edge_row from ln where greatest(0, {lo('x1', 'x2', a, c)}, {lo('y1', 'y2', b, e)}) <= least(1, {hi('x1', 'x2', a, c)}, {hi('y1', 'y2', b, e)})"
+    return f"greatest(0, {lo(x1, x2, a, c)}, {lo(y1, y2, b, e)}) <= least(1, {hi(x1, x2, a, c)}, {hi(y1, y2, b, e)})"
 
 
-@query(_clip_sql())
+@query(f"with {_LINES} select edge_row from ln where {_meets('x1', 'y1', 'x2', 'y2', BOX)}")
 def clip_segments(spark, d):
     """Edges whose straight line meets a box; the test is made once per distinct line."""
     rows = _lines(spark, d).withColumnsRenamed({"from_x": "from_stop_lon", "from_y": "from_stop_lat", "to_x": "to_stop_lon", "to_y": "to_stop_lat"})
@@ -686,3 +683,202 @@ def report_files(spark, d):
 @query("select distinct file_name, lower(regexp_replace(trim(regexp_replace(regexp_replace(file_name, '^\\d{8}_\\d{6}_', ''), '(?i)\\.zip$', '')), '[^0-9A-Za-z]+', '_', 'g')) as dataset from gtfs_report where file_name is not null")
 def dataset_names(spark, d):
     return table(spark, d, "gtfs_report").where("file_name is not null").select("file_name", report.dataset_name(F.col("file_name")).alias("dataset")).distinct()
+
+
+# ---- a timetable feed made of the transit edges -----------------------------------------------------
+
+FEED_DAY = dt.date(2018, 1, 3)
+FEED_BOX = (10.0, 10.0, 90.0, 80.0)
+
+
+def _feed(spark, d) -> dict[str, DataFrame]:
+    """Tables of a feed: four trips a route over the stops of its edges, one of them a template of frequencies."""
+    t = table(spark, d, "transit_edges").where("from_node is not null and to_node is not null")
+    number = lambda c: F.substring(c, 2, 9).cast("bigint")
+    chain = t.select("route_id", F.explode(F.array("from_node", "to_node")).alias("stop_id")).where("route_id is not null").distinct().withColumn("n", number("stop_id"))
+    place = lambda k: F.when(F.col("n") % 50 != 49, (F.col("n") * k % 1000 / 10.0).cast("string"))
+    stops = t.select(F.explode(F.array("from_node", "to_node")).alias("stop_id")).distinct().withColumn("n", number("stop_id")).select("stop_id", F.concat(F.lit("Stop "), F.col("n")).alias("stop_name"), place(37).alias("stop_lon"), place(91).alias("stop_lat"), F.col("n").alias("_ordinal"))
+    routes = t.where("route_id is not null").groupBy("route_id").agg(F.min("route_short_name").alias("route_short_name"), F.min("mode").alias("mode")).select("route_id", "route_short_name", F.concat(F.lit("Line "), F.col("route_id")).alias("route_long_name"), F.when(F.col("mode") == "train", "2").otherwise("3").alias("route_type"))
+    trips = routes.select("route_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select("route_id", F.concat("route_id", F.lit("#"), "k").alias("trip_id"), F.concat(F.lit("S"), F.col("k") % 2).alias("service_id"), F.concat(F.lit("to "), F.col("k")).alias("trip_headsign"), "k", F.col("k").alias("_ordinal"))
+    n, k = F.col("n"), F.col("k")
+    seconds = 21600 + k * 5400 + n % 100 * 95 + n * n % 7 * 10 + F.when((k == 3) & (n % 5 == 0), 14400).otherwise(0)
+    times = trips.select("route_id", "trip_id", "k").join(chain, "route_id").select("trip_id", "stop_id", n.cast("string").alias("stop_sequence"), clock_text(seconds.cast("double")).alias("departure_time"), clock_text(seconds.cast("double")).alias("arrival_time"), n.alias("_ordinal"))
+    calendar = spark.createDataFrame([("S0", *"1111100", "20180101", "20181231"), ("S1", *"0000011", "20180101", "20181231")], ["service_id", *WEEK, "start_date", "end_date"])
+    exceptions = spark.createDataFrame([("S1", "20180103", "1"), ("S0", "20180103", "2")], ["service_id", "date", "exception_type"])
+    frequencies = trips.where("k = 2").select("trip_id", F.lit("10:00:00").alias("start_time"), F.lit("11:00:00").alias("end_time"), F.lit("1500").alias("headway_secs"))
+    return {"stops": stops, "routes": routes, "trips": trips.drop("k"), "stop_times": times, "calendar": calendar, "calendar_dates": exceptions, "frequencies": frequencies}
+
+
+_CLOCK_OF = "lpad((({0}) // 3600)::varchar, 2, '0') || ':' || lpad((({0}) // 60 % 60)::varchar, 2, '0') || ':' || lpad((({0}) % 60)::varchar, 2, '0')"
+_FEED_SQL = f"""te as (select * from transit_edges where from_node is not null and to_node is not null),
+    ch as (select distinct route_id, unnest([from_node, to_node]) as stop_id from te where route_id is not null),
+    st as (select stop_id, substr(stop_id, 2)::bigint as n, 'Stop ' || substr(stop_id, 2)::bigint as stop_name, case when substr(stop_id, 2)::bigint % 50 <> 49 then substr(stop_id, 2)::bigint * 37 % 1000 / 10.0 end::double as x, case when substr(stop_id, 2)::bigint % 50 <> 49 then substr(stop_id, 2)::bigint * 91 % 1000 / 10.0 end::double as y from (select distinct unnest([from_node, to_node]) as stop_id from te)),
+    ro as (select route_id, min(route_short_name) as route_short_name, 'Line ' || route_id as route_long_name, case when min(mode) = 'train' then '2' else '3' end as route_type from te where route_id is not null group by 1),
+    s0 as (select ch.route_id, k, ch.stop_id, st.n, 21600 + k * 5400 + n % 100 * 95 + n * n % 7 * 10 + case when k = 3 and n % 5 = 0 then 14400 else 0 end as sec from ch join st using (stop_id), (select unnest([0, 1, 2, 3]) as k)),
+    s1 as (select *, first_value(sec) over (partition by route_id, k order by n) as base from s0),
+    s2 as (select route_id, k, stop_id, n, sec, route_id || '#' || k as trip_id from s1 where k <> 2
+           union all select route_id, k, stop_id, n, sec + t0 - base, route_id || '#2@' || {_CLOCK_OF.format('t0')} from s1, (select unnest([36000, 37500, 39000]) as t0) where k = 2),
+    s3 as (select *, lead(stop_id) over w as to_node, lead(sec) over w as nxt from s2 window w as (partition by trip_id order by n)),
+    sv as (select 'S0' as service_id, 'monday|tuesday|wednesday|thursday|friday' as active_days_of_week, true as runs_weekday, false as runs_weekend, 4::bigint as days_active, 'weekday' as day_type
+           union all select 'S1', 'saturday|sunday', false, true, 3, 'weekend'),
+    rec as (select trip_id, s3.stop_id as from_node, s3.to_node, s3.route_id, 'S' || k % 2 as service_id, 'to ' || k as trip_headsign, route_short_name, route_long_name, route_type, active_days_of_week, runs_weekday, runs_weekend, days_active, day_type,
+                   sec::double as departure_seconds, {_CLOCK_OF.format('sec')} as departure_time, {_CLOCK_OF.format('nxt')} as arrival_time, case when nxt - sec between 0 and 10800 then (nxt - sec)::double end as travel_time_seconds, nxt - sec > 10800 as implausible_time,
+                   lpad((sec // 3600 % 24)::varchar, 2, '0') || '-' || lpad((sec // 3600 % 24 + 1)::varchar, 2, '0') as hour_band,
+                   case when sec // 3600 % 24 in (7, 8) then 'peak_am' when sec // 3600 % 24 in (17, 18, 19) then 'peak_pm' else 'rest_of_day' end as period,
+                   a.stop_name as from_stop_name, b.stop_name as to_stop_name, a.x as from_stop_lon, a.y as from_stop_lat, b.x as to_stop_lon, b.y as to_stop_lat, 'feed_' || s3.route_id || '_' || s3.stop_id || '_' || s3.to_node as edge_id
+            from s3 join ro using (route_id) join sv on sv.service_id = 'S' || k % 2 join st a on a.stop_id = s3.stop_id join st b on b.stop_id = s3.to_node where s3.to_node is not null and a.x is not null and b.x is not null)"""
+_RECORD = ["trip_id", "from_node", "to_node", "route_id", "service_id", "trip_headsign", "route_short_name", "route_long_name", "route_type", "active_days_of_week", "runs_weekday", "runs_weekend", "days_active", "day_type", "departure_seconds", "departure_time", "arrival_time", "travel_time_seconds", "implausible_time", "hour_band", "period", "from_stop_name", "to_stop_name", "from_stop_lon", "from_stop_lat", "to_stop_lon", "to_stop_lat", "edge_id"]
+
+
+@query(f"with {_FEED_SQL} select * from rec")
+def feed_records(spark, d):
+    """The segments of all trips, frequencies written out, with trip, service days, route and both stops."""
+    return timetable.trip_records(_feed(spark, d), dataset="feed").select(*_RECORD)
+
+
+@query(f"with {_FEED_SQL} select trip_id, from_node, to_node, departure_time, arrival_time, day_type from rec where service_id = 'S1'")
+def feed_records_on_date(spark, d):
+    """Those of the trips that run on a date on which one service is added and the other removed."""
+    return timetable.trip_records(_feed(spark, d), dataset="feed", date=FEED_DAY).select("trip_id", "from_node", "to_node", "departure_time", "arrival_time", "day_type")
+
+
+@query(f"with {_FEED_SQL} select distinct trip_id, route_id, 'S' || k % 2 as service_id, 'to ' || k as trip_headsign from s2")
+def feed_expanded_trips(spark, d):
+    """The trips of a feed with each template replaced by its departures."""
+    feed = _feed(spark, d)
+    trips, _ = timetable.expand_frequencies(feed["trips"], feed["stop_times"], feed["frequencies"])
+    return trips.select("trip_id", "route_id", "service_id", "trip_headsign")
+
+
+_IN_BOX = f"select * from rec where {_meets('from_stop_lon', 'from_stop_lat', 'to_stop_lon', 'to_stop_lat', FEED_BOX)}"
+_FEED_KEYS = ", ".join(timetable.EDGE_KEYS)
+_FEED_COND = {"": "true"} | {f"_{c}": f"period = '{p}'" for p, c in (("peak_am", "pam"), ("peak_pm", "ppm"), ("rest_of_day", "rod"))}
+_DAY_COND = {"wd": "runs_weekday", "we": "runs_weekend"}
+
+
+def _output_sql() -> str:
+    cols = ["edge_id", "from_node", "to_node", "route_id", "any_value(route_short_name) as route_sh", "any_value(route_long_name) as route_ln", "min(travel_time_seconds) as tts_mn", "max(travel_time_seconds) as tts_mx"]
+    for s, c in _FEED_COND.items():
+        trips = f"count(distinct trip_id) filter (where {c})"
+        cols += [f"round(avg(travel_time_seconds) filter (where {c}), 6) as tts_m{s}", f"median(travel_time_seconds) filter (where {c}) as tts_md{s}", f"{trips if not s else f'nullif({trips}, 0)'}::bigint as trips{s}"]
+        cols += [f"round(avg(travel_time_seconds) filter (where {c} and {dc}), 6) as {'tm' if s else 'tts_m'}{s}_{n}" for n, dc in _DAY_COND.items()] + [f"nullif(count(distinct trip_id) filter (where {c} and {dc}), 0)::bigint as {'trp' if s else 'trips'}{s}_{n}" for n, dc in _DAY_COND.items()]
+    days = "case when bool_or(runs_weekday) and bool_or(runs_weekend) then 'monday|tuesday|wednesday|thursday|friday|saturday|sunday' when bool_or(runs_weekday) then 'monday|tuesday|wednesday|thursday|friday' else 'saturday|sunday' end as days_week"
+    bands = "bd as (select edge_id, hour_band, avg(travel_time_seconds) as m, count(distinct trip_id) as c from bx group by 1, 2), pk as (select edge_id, string_agg(hour_band || ':' || round_even(m, 0)::bigint, '|' order by hour_band) filter (where m is not null) as h_tts, string_agg(hour_band || ':' || c, '|' order by hour_band) as h_trips from bd group by 1)"
+    return f"with {_FEED_SQL}, bx as ({_IN_BOX}), {bands}, ag as (select {', '.join(cols)}, {days} from bx group by edge_id, from_node, to_node, route_id) select ag.*, h_tts, h_trips from ag join pk using (edge_id)"
+
+
+def _normal_feed(spark, d) -> dict[str, DataFrame]:
+    return timetable.normalize_feed(_feed(spark, d), dataset="feed", area=geo.box(*FEED_BOX))
+
+
+@query(_output_sql())
+def feed_edges(spark, d):
+    """The edge layer of a feed clipped to an area, grouped by all twelve keys, under the names of the output."""
+    made = timetable.output_edges(_normal_feed(spark, d)["edges"])
+    means = [c for c in made.columns if c.startswith("tts_m") and not c.startswith(("tts_md", "tts_mn", "tts_mx")) or c.startswith("tm_")]
+    return made.withColumns({c: F.round(c, 6) for c in means})
+
+
+@query(f"""with {_FEED_SQL}, bx as ({_IN_BOX}) select stop_id as node_id, stop_name, x between {FEED_BOX[0]} and {FEED_BOX[2]} and y between {FEED_BOX[1]} and {FEED_BOX[3]} as in_area, x, y
+    from st where x is not null and stop_id in (select from_node from bx union select to_node from bx)""")
+def feed_stops(spark, d):
+    """The stop layer: the stops that edges use, with those just outside the area."""
+    return timetable.output_stops(_normal_feed(spark, d)["nodes"])
+
+
+@query(f"with {_FEED_SQL}, bx as ({_IN_BOX}) select edge_id, trip_id, from_node, to_node, departure_time, arrival_time, travel_time_seconds, hour_band, service_id, days_active from bx")
+def feed_schedule(spark, d):
+    return _normal_feed(spark, d)["schedule"].select("edge_id", "trip_id", "from_node", "to_node", "departure_time", "arrival_time", "travel_time_seconds", "hour_band", "service_id", "days_active")
+
+
+@query(f"""with {_FEED_SQL}, bx as ({_IN_BOX}), e as (select edge_id, from_node as src, to_node as dst, avg(travel_time_seconds) as m, median(travel_time_seconds) as md from bx group by 1, 2, 3)
+    select src, dst, round(min(coalesce(m, 'infinity'::double)), 6) as tts_m, min(coalesce(md, 'infinity'::double)) as tts_md from e where src <> dst group by 1, 2""")
+def feed_matrix(spark, d):
+    """The network matrix of a feed's final layers: of the routes between two stops the least travel times."""
+    done = _normal_feed(spark, d)
+    made = network.transit_network(done["nodes"], timetable.output_edges(done["edges"]), mode="bus", dataset="feed")
+    return network.matrix_edges(made).select("src", "dst", F.round("tts_m", 6).alias("tts_m"), "tts_md")
+
+
+@query("select dataset, case when 2 * count(*) filter (where mode = 'train') > count(*) then 'train' else 'bus' end as mode from (select distinct dataset, route_id, mode from transit_edges) group by 1")
+def feed_modes(spark, d):
+    """The mode of each dataset's routes; the datasets are the feeds that one run takes in."""
+    t = table(spark, d, "transit_edges")
+    routes = t.select("dataset", "route_id", F.when(F.col("mode") == "train", "101").otherwise("3").alias("route_type")).distinct()
+    names = [r[0] for r in routes.select("dataset").distinct().collect()]
+    made = [timetable.feed_mode(routes.where(F.col("dataset") == n)).select(F.lit(n).alias("dataset"), "mode") for n in names]
+    return functools.reduce(DataFrame.unionByName, made)
+
+
+# ---- street layers and files --------------------------------------------------------------------------
+
+
+@query(f"""with {_LINES}, v as (select edge_row, unnest([0, 1]) as pos, round_even(unnest([x1, x2]), 3) as kx, round_even(unnest([y1, y2]), 3) as ky, x1 = x2 and y1 = y2 as point from ln),
+    o as (select edge_row, round_even(x1, 3) <> round_even(x2, 3) or round_even(y1, 3) <> round_even(y2, 3) as long from ln),
+    tp as (select kx, ky, sum(case when o.long then 1 else 0 end) as deg, count(*) as ends from v join o using (edge_row) group by 1, 2),
+    rl as (select *, case when deg = 0 then 'isolated_vertex' when deg = 1 then 'endpoint' when deg = 2 then 'through_endpoint' else 'intersection' end as node_role from tp),
+    id as (select round_even(x, 3) as kx, round_even(y, 3) as ky, min(node_id::varchar) as node_id from nd where x is not null group by 1, 2),
+    nm as (select rl.*, id.node_id from rl join id using (kx, ky)),
+    w as (select ln.* replace (case when x1 = x2 and y1 = y2 then 0 else length end as length), {_CLASS} as rc from ln)
+    select w.edge_row, w.edge_id, f.node_id as from_node, t.node_id as to_node, t.node_role as to_role, w.rc as highway, round(w.length, 6) as length,
+           round(w.length / ({_FREE} / 3.6) + case when t.node_role = 'intersection' then {tags.CROSSROADS['driving']} else 0 end, 6) as tts
+    from w join nm f on f.kx = round_even(w.x1, 3) and f.ky = round_even(w.y1, 3) join nm t on t.kx = round_even(w.x2, 3) and t.ky = round_even(w.y2, 3)""")
+def street_edge_layer(spark, d):
+    """The layers of a street graph: nodes named, tags made flat, road classes and travel times; a row per way."""
+    e = _lines(spark, d)
+    graph = e.select(F.col("from_node").alias("u"), F.col("to_node").alias("v"), F.col("edge_row").alias("key"), F.array("edge_id").alias("osmid"), F.col("hwy_raw").alias("highway"), F.lit(None).cast("string").alias("maxspeed"), "lanes", F.col("edge_row").cast("string").alias("name"), "oneway", "reversed", "length", F.lit(None).cast("array<struct<x:double,y:double>>").alias("geometry"))
+    vertices = _nodes(spark, d).where("x is not null").select("node_id", "x", "y", F.lit(None).cast("string").alias("highway"))
+    nodes, edges = streets.street_layers(graph, vertices, "driving")
+    roles = nodes.select(F.col("node_id").alias("to_node"), F.col("node_role").alias("to_role"))
+    return edges.join(roles, "to_node").select(F.col("name").cast("bigint").alias("edge_row"), "edge_id", "from_node", "to_node", "to_role", "highway", F.round("length", 6).alias("length"), F.round("tts", 6).alias("tts"))
+
+
+@query(f"with {_LINES}, {_MATRIX} select * from mx")
+def matrix_file(spark, d):
+    """A matrix written to a file in compressed sparse row form and read again: the same entries."""
+    path = Path(checkpoint_dir(spark).removeprefix("file://")) / f"matrix-{uuid.uuid4().hex}.npz"
+    return network.matrix_edges(read_matrix(spark, write_matrix(_network(spark, d), path)))
+
+
+@query(f"""with {_NODES}, a as (select * from nd where node_id % 100 = 0 and x is not null), b as (select * from nd where x is not null),
+    o as (select a.node_id as area_id, b.node_id % 7 as province, least(a.x + 9000, b.x + 5000) - greatest(a.x, b.x) as w, least(a.y + 4500, b.y + 2500) - greatest(a.y, b.y) as h from a, b)
+    select area_id, province, round(sum(w * h) / (9000 * 4500), 6) as share from o where w > 0 and h > 0 group by 1, 2 having sum(w * h) / (9000 * 4500) >= 0.05""")
+def province_roll_up(spark, d):
+    """Shares of areas (the query set) by the province of the regions in them (all nodes' rectangles)."""
+    found = areas.overlaps(_rectangles(spark, d, 9000.0, 100), _rectangles(spark, d, 5000.0, 1), 10000.0)
+    return areas.province_shares(found, F.col("region_id") % 7).select("area_id", "province", F.round("share", 6).alias("share"))
+
+
+@query("select edge_row, round(length / (4.5 * 1000 / 60), 9) as minutes from edges")
+def plain_minutes(spark, d):
+    return table(spark, d, "edges").select("edge_row", F.round(tags.travel_minutes(F.col("length"), 4.5), 9).alias("minutes"))
+
+
+_BY_NAME = ", ".join(f"({k}, '{n}')" for k, n in sorted({(k, text.plain_name(n)) for k, names in enumerate(text.PROVINCES, 1) for n in names}))
+
+
+@query(f"""with p(code, name) as (values {_BY_NAME}), q as (select distinct nameunit from boundaries union select unnest(['08', 'Gerona', 'VALÈNCIA', 'las palmas', '53', 'Nowhere', ' 7 ']))
+    select nameunit as name, coalesce(case when try_cast(trim(nameunit) as int) between 1 and 52 then try_cast(trim(nameunit) as int) end, p.code)::int as code from q left join p on p.name = {_NORMAL.format('nameunit')}""")
+def province_by_name(spark, d):
+    """The province code of a code or name, for all names of the list and some of provinces."""
+    more = spark.createDataFrame([(n,) for n in ("08", "Gerona", "VALÈNCIA", "las palmas", "53", "Nowhere", " 7 ")], "name string")
+    names = table(spark, d, "boundaries").select(F.col("nameunit").alias("name")).unionByName(more).distinct()
+    return names.select("name", text.province_named(F.col("name")).alias("code"))
+
+
+@query("""with s as (select part_no, unnest(list_transform(range(1, len(ring)), lambda i: ring[i].x * ring[i + 1].y - ring[i + 1].x * ring[i].y)) as c from area_parts)
+    select 0 as piece, round(abs(sum(a)) / 1e6, 6) as km2 from (select abs(sum(c)) / 2 as a from s group by part_no)""")
+def dissolved_area(spark, d):
+    """The area of the union of all parts, which don't overlap."""
+    shapes = table(spark, d, "area_parts").select(F.lit(0).alias("piece"), F.array(F.transform("ring", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))).alias("rings"))
+    return areas.dissolved(shapes, "piece").select("piece", F.round(F.col("area") / 1e6, 6).alias("km2"))
+
+
+@query()
+def isochrone_pieces(spark, d):
+    """The places within 25 m of what the query set reaches in ten minutes, in pieces that don't overlap; compared with a raster in ``tests``."""
+    made = _network(spark, d)
+    edges = network.matrix_edges(made)
+    costs = network.travel_costs(edges, _query_set(spark, d), "tts", LIMIT_S, kernel_edges=network.KERNEL_EDGES)
+    drawn = network.distinct_segments(network.reach_segments(costs, edges, made.nodes, "tts", LIMIT_S))
+    return areas.tiled_union(drawn, ["origin"], 25.0, 2000.0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import os
 import re
 import shutil
@@ -12,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from railweave.functions.text import plain_name
 from railweave.operators.report import REPORT_COLUMNS
 from railweave.scale import checkpoint_dir
 
@@ -148,6 +150,26 @@ def catalogue_files(catalogue: DataFrame, provinces: Iterable[int], types: Itera
     return first.select("r.province_code", "r.dataset_id", "r.dataset_name", "r.transport_types", "file_id", "r.file_name"), out
 
 
+def province_like(name: str, regions: Iterable[Mapping]) -> int:
+    """The id of the province (``tipo`` 0) whose name is most like ``name``: a guess where no code is known."""
+    provinces = [r for r in regions if str(r.get("tipo")) == "0"]
+    if not provinces:
+        raise ValueError("the catalogue lists no province")
+    like = lambda r: difflib.SequenceMatcher(None, plain_name(name), plain_name(r.get("nombre") or "")).ratio()
+    return int(max(provinces, key=like)["id"])
+
+
+def listed_datasets(spark: SparkSession, provinces: Iterable[int], datasets: Callable[[int], Iterable[Mapping] | None]) -> DataFrame:
+    """A catalogue for ``catalogue_files`` from ``datasets(province)``, which the caller provides; None: it publishes nothing."""
+    rows = []
+    for p in dict.fromkeys(int(p) for p in provinces):
+        for d in datasets(p) or ():
+            types = [(int(t["id"]), t.get("name")) for t in d.get("types") or ()]
+            files = [(int(f["id"]), f.get("name")) for f in d.get("files") or ()]
+            rows.append((p, int(d["id"]), d.get("name"), types, files))
+    return spark.createDataFrame(rows, "province_code int, dataset_id bigint, dataset_name string, types array<struct<id: int, name: string>>, files array<struct<id: bigint, name: string>>")
+
+
 def fetch_files(files: Iterable[Mapping], folder: str | Path, fetch: Callable[[Mapping], bytes], *, fail_fast: bool = False, fatal: type[BaseException] | tuple = ()) -> list[dict]:
     """Report rows of the files fetched into ``folder`` by ``fetch``, which the caller provides; a failure is a row, not an end.
 
