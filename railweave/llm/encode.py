@@ -24,7 +24,7 @@ TOKENIZERS = "/opt/tokenizers"
 #: The pattern that cuts texts into pre-tokens, as published with the vocabulary (a fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens a worker remembers between batches; beyond it starts anew, so memory stays bounded.
-REMEMBERED = 150_000
+REMEMBERED, REMEMBERED_SIZES = 150_000, 600_000
 #: Longest pre-token, in characters, that is remembered.
 LONGEST = 64
 
@@ -105,6 +105,7 @@ class BytePairEncoder:
         self.to_characters = {b: c for b, c in enumerate(mapped)}
         self.to_byte = {c: b for b, c in enumerate(mapped)}
         self.known: dict[str, list[int]] = {}
+        self.sizes: dict[str, int] = {}
 
     def characters(self, text: str) -> str:
         # latin-1 gives each byte its own character, which translate() then maps
@@ -129,12 +130,17 @@ class BytePairEncoder:
         return [list(chain.from_iterable(map(known, pieces))) for pieces in cut]
 
     def count_batch(self, texts: Iterable[str]) -> list[int]:
-        """How many ids each text has."""
-        cut, passing = self._pieces(texts)
-        known = self.known.__getitem__
-        if passing:
-            known = lambda p: self.known[p] if p in self.known else passing[p]
-        return [sum(map(len, map(known, pieces))) for pieces in cut]
+        """How many ids each text has.  Only numbers are remembered, so more pre-tokens than for their ids."""
+        cut = [self.split(t) for t in texts]
+        if len(self.sizes) > REMEMBERED_SIZES:
+            self.sizes = {}
+        new = list(set().union(*cut).difference(self.sizes))
+        counted = dict(zip(new, map(len, self.model.encode([self.characters(p) for p in new], num_threads=1)))) if new else {}
+        self.sizes.update((p, n) for p, n in counted.items() if len(p) <= LONGEST)
+        size = self.sizes.__getitem__
+        if any(len(p) > LONGEST for p in counted):
+            size = lambda p: self.sizes[p] if p in self.sizes else counted[p]
+        return [sum(map(size, pieces)) for pieces in cut]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_batch([text])[0]
