@@ -119,7 +119,7 @@ def isochrones(network, origins, cutoffs, *, mode: str | None = None, weight: st
             def outer(g: pd.DataFrame) -> pd.DataFrame:
                 hull = convex_hull(g[["x", "y"]].to_numpy(float))
                 made = [[{"x": float(x), "y": float(y)} for x, y in hull]]
-                return g[["origin", "cutoff"]].iloc[: int(len(hull) > 2)].assign(area=ring_area(hull) if len(hull) > 2 else 0.0, rings=[made] * int(len(hull) > 2))
+                return g[["origin", "cutoff"]].iloc[: int(len(hull) > 2)].assign(area=ring_area(hull) if len(hull) > 2 else 0.0, rings=pd.Series([made] * int(len(hull) > 2), dtype=object, index=g.index[: int(len(hull) > 2)]))
 
             part = first.groupBy("origin", "cutoff").applyInPandas(outer, "origin string, cutoff double, area double, rings array<array<struct<x:double,y:double>>>")
         rings = part if rings is None else rings.unionByName(part)

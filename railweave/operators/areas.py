@@ -296,9 +296,9 @@ def tiled_union(segments: DataFrame, keys: Sequence[str], radius: float, tile: f
         left, low = g["tx"].iloc[0] * tile, g["ty"].iloc[0] * tile
         cuts = [clip_convex(capsule(*row, radius), left, low, left + tile, low + tile) for row in g[["x1", "y1", "x2", "y2"]].itertuples(index=False)]
         rings = union([[c] for c in cuts if len(c) > 2])
-        if not rings:
-            return pd.DataFrame({c: [] for c in [*keys, "tx", "ty", "rings", "area"]})
-        return g[[*keys, "tx", "ty"]].iloc[:1].assign(rings=[[[{"x": x, "y": y} for x, y in r] for r in rings]], area=[shape_area(rings)])
+        out = g[[*keys, "tx", "ty"]].iloc[: int(bool(rings))]
+        made = pd.Series([[[{"x": x, "y": y} for x, y in r] for r in rings]] * len(out), index=out.index, dtype=object)
+        return out.assign(rings=made, area=shape_area(rings))
 
     return placed.groupBy(*keys, "tx", "ty").applyInPandas(united, f"{kinds}, tx long, ty long, rings array<array<struct<x:double,y:double>>>, area double")
 

@@ -118,8 +118,8 @@ def street_layers(edges: DataFrame, vertices: DataFrame, mode: str, *, layer: st
     """
     listed = lambda c: (F.col(c) if dict(edges.dtypes)[c].startswith("array") else F.array(F.col(c))).cast("array<string>") if c in edges.columns else F.lit(None).cast("array<string>")
     keyed = edges.withColumn("edge", F.concat_ws("_", F.col("u").cast("string"), F.col("v").cast("string"), F.col("key").cast("string")))
-    keyed = ends_geometry(keyed, vertices)
-    nodes = name_nodes(topology_nodes(keyed, undirected=undirected), layer or mode, vertices)
+    keyed = cut(ends_geometry(keyed, vertices))
+    nodes = cut(name_nodes(topology_nodes(keyed, undirected=undirected), layer or mode, vertices))
     parts = split_edges(keyed, nodes)
     flat = lambda c: flat_list(listed(c))
     about = keyed.select("edge", F.explode_outer(listed("osmid")).alias("edge_id"), flat("highway").alias("hwy_raw"), flat("lanes").alias("lanes"), flat("maxspeed").alias("spd_raw"), flat("name").alias("name"), *[(F.col(c) if c in edges.columns else F.lit(None)).cast("boolean").alias(c) for c in ("oneway", "reversed")], (F.coalesce("connector", F.lit(False)) if "connector" in edges.columns else F.lit(False)).alias("connector"))
@@ -155,10 +155,11 @@ def area_streets(vertices: DataFrame, edges: DataFrame, area, *, connect: bool =
     inside = placed.where(F.col("_part").isNotNull()).select("node_id", "_part")
     ids = inside.select("node_id")
     marked = edges.join(ids.select(F.col("node_id").alias("u"), F.lit(True).alias("_u")), "u", "left").join(ids.select(F.col("node_id").alias("v"), F.lit(True).alias("_v")), "v", "left")
-    kept = marked.where("_u or _v").drop("_u", "_v").select(*edges.columns).withColumn("connector", F.lit(False))
+    # what later steps read several times is written once, so that plans don't grow with each use
+    kept = cut(marked.where("_u or _v").drop("_u", "_v").select(*edges.columns).withColumn("connector", F.lit(False)))
     own = kept.select(F.explode(F.array("u", "v")).alias("node_id")).distinct()
     if not connect or len(parts) < 2:
-        return vertices.join(own, "node_id", "left_semi"), kept, []
+        return cut(vertices.join(own, "node_id", "left_semi")), kept, []
     hull = convex_hull(np.array([p for polygon in parts for p in polygon[0]], float))
     near = placed.where(distance_to(F.col("x"), F.col("y"), [[[tuple(map(float, p)) for p in hull]]]) <= margin).select("node_id")
     around = edges.join(near.select(F.col("node_id").alias("u")), "u", "left_semi").join(near.select(F.col("node_id").alias("v")), "v", "left_semi")
@@ -170,9 +171,9 @@ def area_streets(vertices: DataFrame, edges: DataFrame, area, *, connect: bool =
     ways = links.select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct()
     shortest = around.join(ways, ["u", "v"], "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("u", "v").orderBy(F.col("length").cast("double"), "key"))).where("_n = 1").select(*edges.columns)
     added = shortest.join(kept.select("u", "v", "key"), ["u", "v", "key"], "left_anti").select(*edges.columns).withColumn("connector", F.lit(True))
-    done = kept.unionByName(added)
+    done = cut(kept.unionByName(added))
     used = done.select(F.explode(F.array("u", "v")).alias("node_id")).distinct()
-    return vertices.join(used, "node_id", "left_semi"), done, sorted(r["part"] - 1 for r in missing.collect())
+    return cut(vertices.join(used, "node_id", "left_semi")), done, sorted(r["part"] - 1 for r in missing.collect())
 
 
 def simplified(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -190,7 +191,7 @@ def simplified(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
     other = ends.join(seen.select("n", "a", "b"), "n").groupBy("n").agg(F.max(((F.col("m") != F.col("a")) & (F.col("m") != F.col("b"))).cast("int")).alias("third"))
     through = cut(seen.join(other, "n").where("loop = 0 and out > 0 and `in` > 0 and a <> b and third = 0 and d in (2, 4)").select("n"))
     straight = ends_geometry(edges, vertices)
-    base = straight.withColumn("_id", F.concat_ws("_", F.col("u").cast("string"), F.col("v").cast("string"), F.col("key").cast("string")))
+    base = cut(straight.withColumn("_id", F.concat_ws("_", F.col("u").cast("string"), F.col("v").cast("string"), F.col("key").cast("string"))))
     chain = cut(base.select("_id", "u", "v", F.array("_id").alias("ids")))
     inner = through.select(F.col("n").alias("v"))
     # an edge leads on to the one that leaves its end for another place than its start
@@ -214,9 +215,9 @@ def simplified(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
     )
     line = F.aggregate("_g", F.array().cast(straight.schema["geometry"].dataType), lambda a, p: F.concat(a, F.when(F.size(a) == 0, p["geometry"]).otherwise(F.slice(p["geometry"], F.lit(2), F.size(p["geometry"])))))
     values = lambda c: F.array_distinct(F.flatten(F.transform(f"_{c}", lambda p: F.coalesce(p["t"], F.array().cast("array<string>")))))
-    done = merged.select("u", "v", "key", *[values(c).alias(c) for c in tags], "length", line.alias("geometry"))
+    done = cut(merged.select("u", "v", "key", *[values(c).alias(c) for c in tags], "length", line.alias("geometry")))
     left = done.select(F.explode(F.array("u", "v")).alias("node_id")).distinct()
-    return vertices.join(left, "node_id", "left_semi"), done
+    return cut(vertices.join(left, "node_id", "left_semi")), done
 
 
 def ends_geometry(edges: DataFrame, vertices: DataFrame) -> DataFrame:

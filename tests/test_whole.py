@@ -49,23 +49,23 @@ def test_searches_from_the_whole_query_set(spark, small):
     starts = sorted({e[1] for e in edges if e[1] % 100 == 0})
     assert len(starts) > 10
     costs = {o: searched(edges, [o], 4, 600.0) for o in starts}
-    found = transport.costs_limited_all(spark, d).collect()
+    found = transport.costs_limited(spark, d).collect()
     assert {(r["origin"], r["node"]): r["cost"] for r in found} == {(o, n): c for o in starts for n, c in costs[o].items()}
     assert len(found) == sum(map(len, costs.values()))
-    merged = transport.costs_merged_origins_all(spark, d).collect()
+    merged = transport.costs_merged_origins(spark, d).collect()
     assert {r["node"]: r["cost"] for r in merged} == searched(edges, starts, 3, 2500.0) and len({r["node"] for r in merged}) == len(merged)
     ends = set(starts) | {e[2] for e in edges if e[1] in starts and e[1] != e[2]}
-    pairs = transport.shortest_pairs_all(spark, d).collect()
+    pairs = transport.shortest_pairs(spark, d).collect()
     assert {(r["origin"], r["destination"]): r["time_min"] for r in pairs} == {(o, n): round(c / 60, 6) for o in starts for n, c in costs[o].items() if n in ends}
     assert len(pairs) == len({(r["origin"], r["destination"]) for r in pairs})
-    counts = {(r["origin"], r["cutoff"]): r["n_nodes"] for r in transport.reach_counts_all(spark, d).collect()}
+    counts = {(r["origin"], r["cutoff"]): r["n_nodes"] for r in transport.reach_counts(spark, d).collect()}
     assert counts == {(o, m): sum(c <= m * 60 for c in costs[o].values()) for o in starts for m in (2.0, 5.0, 10.0)}
     least = {}
     for _, a, b, _, w in edges:
         if a != b and w is not None:
             least[a, b] = min(w, least.get((a, b), w))
     parts = {(o, a, b): min((600.0 - costs[o][a]) / w, 1.0) for o in starts for (a, b), w in least.items() if a in costs[o] and costs[o][a] < 600.0}
-    assert {(r["origin"], r["src"], r["dst"]): r["fraction"] for r in transport.reach_segments_all(spark, d).collect()} == pytest.approx(parts, abs=1e-6)
+    assert {(r["origin"], r["src"], r["dst"]): r["fraction"] for r in transport.reach_segments(spark, d).collect()} == pytest.approx(parts, abs=1e-6)
 
 
 def test_shares_of_the_query_set_in_all_rectangles(spark, small):
@@ -76,7 +76,7 @@ def test_shares_of_the_query_set_in_all_rectangles(spark, small):
             w, h = min(ax + 9000, bx + 5000) - max(ax, bx), min(ay + 4500, by + 2500) - max(ay, by)
             if a % 100 == 0 and w > 0 and h > 0:
                 want[a, b] = (w * h / (9000 * 4500), w * h / (5000 * 2500))
-    found = transport.area_shares_all(spark, d).collect()
+    found = transport.area_shares(spark, d).collect()
     assert len(found) == len(want) and {a for a, _ in want} == {v for v in nodes if v % 100 == 0} and len({b for _, b in want}) == len(nodes)
     for r in found:
         assert (r["of_area"], r["of_region"]) == pytest.approx(want[r["area_id"], r["region_id"]], abs=1e-6)
