@@ -77,3 +77,39 @@ def p7_speeds(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (p2_found, p2_values, p3_found, p3_reasons, p4_found, p6_found, p6_table, p6_rules, p6_versions, p7_found, p7_speeds)}
+
+
+_MARKS = r"[\s\x{FEFF}\x{200B}\x{00A0}\x22\x27]"
+
+
+def _bare_sql(text: str) -> str:
+    return f"regexp_replace({text}, '^{_MARKS}+|{_MARKS}+$', '', 'g')"
+
+
+def _cells_sql(line: str) -> str:
+    """The bare cells of a line, in SQL, by the separator ``sep``."""
+    quoted = " ".join(f"when sep = {s} then regexp_extract_all(sep || {line}, '{e}([ ]*\"(?:[^\"]|\"\")*\"[ ]*|[^{e}]*)', 1)" for s, e in (("','", ","), ("';'", ";"), ("chr(9)", "\\t"), ("'|'", "\\|")))
+    return f"list_transform(case when contains({line}, '\"') then case {quoted} end else string_split({line}, sep) end, lambda c: {_bare_sql('c')})"
+
+
+_COUNT = "length(line) - length(replace(line, {0}, ''))"
+_VERSIONS_SQL = rf"""
+    with l as (select * from feed_lines where file_id is not null and line_no is not null and line is not null and {_bare_sql('line')} <> ''),
+    h0 as (select file_id, min(line) as line from l where line_no = 1 group by 1),
+    h1 as (select file_id, line, greatest({_COUNT.format("','")}, {_COUNT.format("';'")}, {_COUNT.format("chr(9)")}, {_COUNT.format("'|'")}) as most from h0),
+    h2 as (select file_id, lower(line) as line, case most when {_COUNT.format("','")} then ',' when {_COUNT.format("';'")} then ';' when {_COUNT.format("chr(9)")} then chr(9) else '|' end as sep from h1),
+    h as (select file_id, sep, {_cells_sql('line')} as names from h2),
+    f0 as (select file_id, arg_min(dataset_id, {{'p': published_at, 'd': dataset_id}}) as dataset_id, min({{'p': published_at, 'd': dataset_id}}).p as published_at from gtfs_report where file_id is not null and dataset_id is not null group by 1),
+    f as (select h.*, dataset_id, published_at from h join f0 using (file_id)),
+    c as (select file_id, unnest(names) as name, unnest(list_slice({_cells_sql('line')}, 1, len(names))) as cell from l join h using (file_id) where line_no > 1),
+    k as (select file_id, name, case when cell = '' or cell is null then null when regexp_full_match(cell, '[+-]?\d+') then 1 when regexp_full_match(cell, '[+-]?\d*\.\d+(?:[eE][+-]?\d+)?') then 2 when regexp_full_match(cell, '\d{{1,3}}:\d{{2}}(?::\d{{2}})?') then 4 when lower(cell) in ('true', 'false', 'yes', 'no', 'si', 'sí', 'verdadero', 'falso') then 8 else 16 end as bit from c where name is not null),
+    b as (select file_id, name, bit_or(bit) as bits from k where bit is not null group by 1, 2),
+    d as (select file_id, string_agg(x, ',' order by x) as described, count(*) as n from (select f.file_id, u.name || ':' || coalesce(case bits when 1 then 'whole' when 2 then 'decimal' when 3 then 'decimal' when 4 then 'clock' when 8 then 'truth' else case when bits is not null then 'text' end end, '?') as x
+          from f join (select file_id, unnest(names) as name from h) u using (file_id) left join b on b.file_id = f.file_id and b.name = u.name) group by 1),
+    p as (select f.file_id, dataset_id, published_at, sha256(described) as fingerprint, n::int as n_fields from f join d using (file_id)),
+    o as (select *, lag(file_id) over w as file_before, coalesce((lag(fingerprint) over w <> fingerprint)::int, 1) as changed from p window w as (partition by dataset_id order by published_at, file_id))
+    select file_id, dataset_id, file_before, sum(changed) over (partition by dataset_id order by published_at, file_id rows unbounded preceding)::int as version, fingerprint, n_fields from o"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"p6_versions": _VERSIONS_SQL}
