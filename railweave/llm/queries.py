@@ -78,6 +78,18 @@ def p10_repeats(spark: SparkSession, d: str) -> DataFrame:
     return repeated_spans(table(spark, d, "documents"), "doc_id", "text")
 
 
+#: Every window of 200 characters of every text, the records that hold it, and which of its places are shared.
+_WINDOWS = """w as (select doc_id, text, unnest(range(1, length(text) - 198)) as k from documents where length(text) >= 200),
+    h as (select doc_id, k - 1 as pos, md5(substr(text, k, 200)) as h from w),
+    g as (select h, min(doc_id) as first from h group by 1 having count(distinct doc_id) > 1),
+    held as (select doc_id, pos, bool_or(first < doc_id) as later from h join g using (h) group by 1, 2)"""
+
+
+def _stretches(name: str, where: str) -> str:
+    return f"""{name}_s as (select doc_id, pos, lag(pos) over (partition by doc_id order by pos) as b from held where {where}),
+        {name} as (select doc_id, sum(least(coalesce(pos - b, 200), 200)) as c, count(*) filter (where b is null or pos - b > 200) as s from {name}_s group by 1)"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_unmatched, p5_percentiles, p5_daily, p5_combined, p8_ids, p8_sizes, p9_draws, p9_shares, p10_found, p10_shares, p10_repeats)}
 
@@ -118,6 +130,13 @@ def oracle_sql() -> dict[str, str]:
                  p as (select unnest([{percents}]) as percent)
             select edge_id, period, percent, travel_time_seconds, n::bigint as n
             from v, p where rn = greatest(ceil(round(percent * n, 9)), 1)""",
+        "p10_found": f"with {_WINDOWS} select distinct a.doc_id as doc_a, b.doc_id as doc_b from h a join h b on a.h = b.h and a.doc_id < b.doc_id",
+        "p10_shares": f"""with {_WINDOWS}, {_stretches("a", "true")}, {_stretches("r", "later")}
+            select doc_id, coalesce(length(text), 0)::bigint as n_chars, coalesce(a.c, 0)::bigint as shared_chars, coalesce(a.s, 0)::bigint as n_spans, coalesce(r.c, 0)::bigint as repeated_chars
+            from documents left join a using (doc_id) left join r using (doc_id)""",
+        "p10_repeats": f"""with {_WINDOWS}, l as (select doc_id, pos, coalesce(pos - lag(pos) over (partition by doc_id order by pos) > 200, true) as n from held where later),
+            i as (select doc_id, pos, sum(n::int) over (partition by doc_id order by pos) as i from l)
+            select doc_id, min(pos)::bigint as start, (max(pos) + 200)::bigint as "end" from i group by doc_id, i""",
         "p5_daily": f"with {_BUCKETS} select service_date, edge_id, period, bucket, count(*)::bigint as n from b group by all",
         "p5_combined": _combined_sql(),
     }
