@@ -17,11 +17,12 @@ from railweave.operators.areas import convex_hull, find_area, tiled_union
 from railweave.operators.streets import area_streets, simplified, street_layers
 from railweave.operators.timetable import feed_mode, no_service, normalize_feed, output_edges, output_stops
 from railweave.scale import cut
+from railweave.sources.shapes import read_boundaries
 from railweave.sources.sinks import node_link, write_layers, write_report
 from railweave.sources.streets import load_network, read_graph, read_matrix, write_matrix
 from railweave.sources.timetables import catalogue_files, feed_name, fetch_files, named_feeds, read_feed, unique_name
 
-__all__ = ["build_network", "find_area", "isochrones", "load_network", "read_graph", "read_matrix", "shortest_path"]
+__all__ = ["build_network", "find_area", "isochrones", "load_network", "read_boundaries", "read_graph", "read_matrix", "shortest_path"]
 
 STREET_MODES, TRANSIT_MODES = ("walking", "bike", "driving"), ("bus", "train")
 #: The catalogue's types of transport by mode (1 urban bus, 2 coach, 3 rail).

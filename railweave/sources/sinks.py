@@ -50,7 +50,12 @@ def geojson_lines(df: DataFrame) -> DataFrame:
 
 
 def write_layers(layers: Mapping[str, DataFrame], folder: str | Path, form: str = "parquet") -> list[str]:
-    """Each layer that isn't empty, as ``folder/name.parquet`` (partitioned) or ``.geojsonl`` (a folder of text parts)."""
+    """Each layer that isn't empty, as ``folder/name.parquet`` (partitioned) or ``.geojsonl`` (a folder of text parts);
+    ``shp`` writes a shapefile a layer, ``gpkg`` one GeoPackage of all layers, both on the driver."""
+    from railweave.sources.shapes import write_geopackage, write_shapefile
+
+    if form == "gpkg":
+        return [str(write_geopackage(layers, f"{folder}/layers.gpkg"))]
     written = []
     for name, df in layers.items():
         if df.isEmpty():
@@ -62,8 +67,10 @@ def write_layers(layers: Mapping[str, DataFrame], folder: str | Path, form: str
             geojson_lines(df).write.mode("overwrite").text(target)
         elif form == "csv":
             flat(df).write.mode("overwrite").option("header", True).csv(target)
+        elif form == "shp":
+            write_shapefile(df, target)
         else:
-            raise ValueError(f"layers can be written as parquet, geojson or csv, not {form!r}")
+            raise ValueError(f"layers can be written as parquet, geojson, csv, shp or gpkg, not {form!r}")
         written.append(target)
     return written
 
