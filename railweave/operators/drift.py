@@ -62,9 +62,10 @@ def cells(line: Column, sep: Column) -> Column:
         # a separator is put before the line, so that each cell, empty ones too, begins with one
         one = F.regexp_extract_all(F.concat(F.lit(s), line), F.lit(rf'{mark}({blank}"(?:[^"]++|"")*+"(?={blank}(?:{mark}|$))|[^{mark}]*+)'), F.lit(1))
         quoted = F.when(sep == s, one) if quoted is None else quoted.when(sep == s, one)
-    unescaped = F.transform(quoted, lambda c: F.replace(bare(c), F.lit('""'), F.lit('"')))
-    # only lines with a quote take the longer way
-    return F.when(F.contains(line, F.lit('"')), unescaped).otherwise(F.transform(plain, bare))
+    cell = lambda c: F.replace(bare(c), F.lit('""'), F.lit('"'))
+    # only lines with a separator between two quotes take the longer way; every second piece between quotes is inside
+    inside = F.exists(F.transform(F.split(line, '"'), lambda p, i: (i % 2 == 1) & F.contains(p, sep)), lambda x: x)
+    return F.when(F.contains(line, F.lit('"')) & inside, F.transform(quoted, cell)).otherwise(F.transform(plain, cell))
 
 
 def cell_kind(cell: Column) -> Column:
