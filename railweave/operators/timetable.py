@@ -276,6 +276,23 @@ def _where(condition: Column | None, value: Column) -> Column:
     return value if condition is None else F.when(condition, value)
 
 
+def _medians(rows: DataFrame, keys: Sequence[str], conditions: Mapping[str, Column | None]) -> DataFrame:
+    """``(keys..., travel_time_seconds_median...)`` under each condition.
+
+    Equal times are counted before the shuffle, and ranks are running sums of these counts in the order of the
+    times: a window that spills, where an exact aggregate would hold all different times of an edge in memory.
+    """
+    flags = {f"f{i}": F.lit(True) if c is None else c for i, c in enumerate(conditions.values())}
+    counted = rows.where(F.col("travel_time_seconds").isNotNull()).groupBy(*keys, F.col("travel_time_seconds").alias("_v"), *[c.alias(n) for n, c in flags.items()]).agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(*keys).orderBy("_v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*keys)
+    own = {n: F.when(F.col(n), F.col("_c")).otherwise(0) for n in flags}
+    ranked = counted.select(*keys, "_v", *[F.sum(own[n]).over(upto).alias(f"u_{n}") for n in flags], *[F.sum(own[n]).over(whole).alias(f"n_{n}") for n in flags])
+    at = lambda n, rank: F.min(F.when((F.col(f"n_{n}") > 0) & (F.col(f"u_{n}") >= rank), F.col("_v")))
+    middle = lambda n: (at(n, F.floor((F.col(f"n_{n}") + 1) / 2)) + at(n, F.floor(F.col(f"n_{n}") / 2) + 1)) / 2
+    return ranked.groupBy(*keys).agg(*[middle(n).alias(f"travel_time_seconds_median{s}") for n, s in zip(flags, conditions)])
+
+
 def stop_edges(
     rows: DataFrame,
     *,
@@ -303,7 +320,6 @@ def stop_edges(
     conditions |= {f"_{p}_{t}": c & d for p, c in in_period.items() for t, d in of_day.items()}
     value = F.col("travel_time_seconds")
     times = [F.avg(_where(c, value)).alias(f"travel_time_seconds_mean{s}") for s, c in conditions.items()]
-    times += [F.median(_where(conditions[s], value)).alias(f"travel_time_seconds_median{s}") for s in ["", *(f"_{p}" for p in names)]]
     times += [F.min(value).alias("travel_time_seconds_min"), F.max(value).alias("travel_time_seconds_max")]
     if "active_days_of_week" in rows.columns:
         days = F.split(F.coalesce("active_days_of_week", F.lit("")), r"\|")
@@ -312,6 +328,7 @@ def stop_edges(
     else:
         times.append(F.lit(None).cast("string").alias("days_of_week_summary"))
     overall = rows.groupBy(*keys).agg(*times)
+    medians = _medians(rows, keys, {s: conditions[s] for s in ["", *(f"_{p}" for p in names)]})
     # distinct trips without expanding the rows once per condition: first each trip, then its flags
     flags = {f"t{i}": c for i, (_, c) in enumerate(conditions.items())}
     per_trip = rows.groupBy(*keys, "trip_id").agg(*[F.max(true if c is None else c).alias(n) for n, c in flags.items()])
@@ -322,7 +339,7 @@ def stop_edges(
         on = [F.col(k).eqNullSafe(F.col(o)) for k, o in other.items()]
         return left.join(right.withColumnsRenamed(other), on, "left").drop(*other.values())
 
-    edges = with_(overall, counts).fillna({"trip_count": 0})
+    edges = with_(with_(overall, medians), counts).fillna({"trip_count": 0})
     if hourly:
         edges = with_(edges, hourly_packs(rows, keys))
     else:

@@ -36,6 +36,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def put_shared(spark: SparkSession, local: str, *place: str) -> str:
+    """The address of a copy of the driver's file ``local`` in the shared folder, whatever file system that is on."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target = hadoop.Path("/".join([checkpoint_dir(spark).rstrip("/"), *place]))
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(target):
+        partial = hadoop.Path(f"{target.toString()}.{os.getpid()}")
+        files.copyFromLocalFile(False, True, hadoop.Path(f"file://{os.path.abspath(local)}"), partial)
+        files.rename(partial, target)
+    return target.toString()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read from there: its lineage ends here.
 

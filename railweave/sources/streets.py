@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from railweave.functions.tags import keep_ways, parse_filter
 from railweave.operators.network import Network, build_matrix, csr
+from railweave.scale import cut
 
 #: The version of the matrix file, its keys, and node columns by key.
 MATRIX_VERSION = 1
@@ -53,7 +54,7 @@ def street_networks(elements: DataFrame, filters: dict[str, str]) -> dict[str, t
     bad = [m for m, p in parsed.items() if p is None]
     if bad:
         raise ValueError(f"filters that can't be read: {', '.join(bad)}")
-    shared = elements.persist()
+    shared = cut(elements)
     return {mode: keep_ways(shared, clauses) for mode, clauses in parsed.items()}
 
 

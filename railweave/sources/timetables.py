@@ -6,6 +6,7 @@ import difflib
 import os
 import re
 import shutil
+import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Mapping
 from pathlib import Path
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from railweave.functions.text import plain_name
 from railweave.operators.report import REPORT_COLUMNS
-from railweave.scale import checkpoint_dir
+from railweave.scale import put_shared
 
 #: The tables of a feed, those that must be there and those that may be.
 REQUIRED = ("stops", "routes", "trips", "stop_times")
@@ -36,16 +37,12 @@ def _unpacked(spark: SparkSession, path: Path, table: str) -> str | None:
     member = _member(path, table)
     if member is None:
         return None
-    shared = checkpoint_dir(spark).removeprefix("file://")
     stamp = path.stat()
-    place = Path(shared) / "feeds" / f"{path.stem}-{stamp.st_size}-{stamp.st_mtime_ns}" / f"{table}.txt"
-    if not place.exists():
-        place.parent.mkdir(parents=True, exist_ok=True)
-        partial = place.with_suffix(f".{os.getpid()}")
-        with zipfile.ZipFile(path) as archive, archive.open(member) as source, partial.open("wb") as target:
+    with tempfile.TemporaryDirectory() as own, zipfile.ZipFile(path) as archive:  # on the driver; executors read the shared copy
+        place = Path(own) / f"{table}.txt"
+        with archive.open(member) as source, place.open("wb") as target:
             shutil.copyfileobj(source, target)
-        partial.rename(place)
-    return str(place)
+        return put_shared(spark, str(place), "feeds", f"{path.stem}-{stamp.st_size}-{stamp.st_mtime_ns}", f"{table}.txt")
 
 
 def read_table(spark: SparkSession, feed: str | Path, table: str) -> DataFrame:
@@ -60,7 +57,10 @@ def read_table(spark: SparkSession, feed: str | Path, table: str) -> DataFrame:
     place = _unpacked(spark, path, table)
     if place is None:
         raise FileNotFoundError(f"{feed} has no {table}.txt")
-    raw = spark.read.csv(place if "://" in place else f"file://{place}", header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8", nullValue="", mode="PERMISSIVE")
+    address = place if ":/" in place else f"file://{place}"
+    # a cell with a line break in it has an odd number of quotes on its first line; without one the file is read in parts
+    broken = not spark.read.text(address).where((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).isEmpty()
+    raw = spark.read.csv(address, header=True, multiLine=broken, quote='"', escape='"', encoding="UTF-8", nullValue="", mode="PERMISSIVE")
     names: list[str] = []
     for c in raw.columns:
         bare = c.strip().strip("﻿").strip('"').strip()
