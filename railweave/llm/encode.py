@@ -9,12 +9,14 @@ Texts are cut into pre-tokens by the vocabulary's pattern; distinct pre-tokens a
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import SparkContext, SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from railweave.scale import spread
@@ -150,10 +152,24 @@ class BytePairEncoder:
         return b"".join(bytes(self.to_byte[c] for c in self.model.id_to_piece(int(i))) for i in ids).decode("utf-8", "replace")
 
 
+def shipped(spark: SparkSession, vocabulary: str) -> str:
+    """``vocabulary``, sent to all executors, which needn't have the folder it lies in."""
+    if os.path.exists(vocabulary) and vocabulary not in _SENT.setdefault(spark.sparkContext.applicationId, set()):
+        spark.sparkContext.addFile(vocabulary)
+        _SENT[spark.sparkContext.applicationId].add(vocabulary)
+    return vocabulary
+
+
+#: The vocabularies sent, by application.
+_SENT: dict[str, set[str]] = {}
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> BytePairEncoder:
-    """The encoder of the rank file at ``path``, kept by the worker."""
-    return BytePairEncoder(read_ranks(path))
+    """The encoder of the rank file at ``path``, or of its copy that was sent here; kept by the worker."""
+    own = SparkFiles._is_running_on_worker or SparkContext._active_spark_context is not None
+    sent = SparkFiles.get(os.path.basename(path)) if own else path
+    return BytePairEncoder(read_ranks(sent if os.path.exists(sent) else path))
 
 
 def encode_texts(df: DataFrame, key: str, text: str, *, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
@@ -169,6 +185,7 @@ def encode_texts(df: DataFrame, key: str, text: str, *, vocabulary: str = f"{TOK
         for batch in batches:
             yield pd.DataFrame({key: batch[key], "ids": own.encode_batch(batch["_t"])})
 
+    shipped(df.sparkSession, vocabulary)
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     return spread(rows).mapInPandas(encoded, f"`{key}` {kind}, ids array<int>")
@@ -176,6 +193,7 @@ def encode_texts(df: DataFrame, key: str, text: str, *, vocabulary: str = f"{TOK
 
 def count_tokens(df: DataFrame, text: str, *, as_column: str = "n_tokens", vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
     """``df`` with each text's number of tokens (0 for empty and null texts)."""
+    shipped(df.sparkSession, vocabulary)
 
     @F.pandas_udf("long")
     def counted(texts: pd.Series) -> pd.Series:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from railweave.llm.encode import TOKENIZERS, encoder
+from railweave.llm.encode import TOKENIZERS, encoder, shipped
 from railweave.scale import cut, lookup_join, spread
 
 #: Buckets of hashed words; the most sources; how far posteriors are softened; trust in a label.
@@ -101,6 +101,7 @@ def members(df: DataFrame, key: str, text: str, source: str, names: Sequence[str
     """``(key, label int, tokens long, p array<double>)``: label -1 for a source that isn't wanted, the likeliest for none given."""
     index = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
     label = F.when(F.col(source).isNull(), F.lit(-2)).otherwise(F.coalesce(F.try_element_at(index, F.col(source)), F.lit(-1)))
+    shipped(df.sparkSession, vocabulary)
     rows = spread(df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"), label.cast("int").alias("label")))
     prior, likelihood = learn_words(rows.where("label >= 0"), len(names))
 
