@@ -129,25 +129,21 @@ def sampled_tree(pts: DataFrame, n: int, least_side: float, sample: int = SAMPLE
     return QuadTree(picked["x"].to_numpy(float), picked["y"].to_numpy(float), max(IN_LEAF, int(leaf * share)), least_side)
 
 
-def near_pairs(df: DataFrame, key: str, x: str, y: str, distance: float, *, sample: int = SAMPLE, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
-    """``(id_a, id_b)``, smaller first: all pairs of different ids at most ``distance`` apart, each once.
+def _placed(pts: DataFrame, tree: QuadTree, reach: float) -> DataFrame:
+    """``pts(id, x, y)`` with ``leaf`` and ``own``: each in its leaf, and a copy in each other leaf within ``reach`` of it.
 
-    Rows lacking an id or a finite coordinate are in no pair; repeated rows count once; an id at several
-    positions is near whatever any of them is near; an empty table gives no pair.  Other columns are ignored.
+    No leaf may be narrower than twice ``reach``.
     """
-    if not distance >= 0:
-        raise ValueError("distance must not be negative")
-    pts = cut(points(df, key, x, y))
     kind = pts.schema["id"].dataType.simpleString()
-    tree = sampled_tree(pts, pts.count(), max(2 * distance, 1e-9), sample, leaf)
-    reach = distance * (1 + 1e-9)
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             xs, ys = b["x"].to_numpy(float), b["y"].to_numpy(float)
             home = tree.home(xs, ys)
             yield b.assign(leaf=home, own=True)
-            # no leaf is narrower than a point's square, so each leaf that meets the square holds a corner, side or middle of it
+            if not reach:
+                continue
+            # each leaf that meets a point's square holds a corner, side or middle of it
             seen = [home]
             for i, j in ((-1, -1), (-1, 1), (1, -1), (1, 1), (-1, 0), (1, 0), (0, -1), (0, 1)):
                 corner = tree.home(xs + i * reach, ys + j * reach)
@@ -156,7 +152,71 @@ def near_pairs(df: DataFrame, key: str, x: str, y: str, distance: float, *, samp
                     yield b[new].assign(leaf=corner[new], own=False)
                     seen.append(corner)
 
-    rows = pts.mapInPandas(placed, f"id {kind}, x double, y double, leaf long, own boolean")
+    return pts.mapInPandas(placed, f"id {kind}, x double, y double, leaf long, own boolean")
+
+
+def nearest(pts: DataFrame, others: DataFrame, distance: float, *, sample: int = SAMPLE, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
+    """``(id, other, distance)``: for each of ``pts(id, x, y)`` the nearest of ``others(id, x, y)`` at most ``distance`` away.
+
+    Of equally near ones the smaller id; points without one have no row.  Points and others meet in the leaves
+    of a quadtree over the others, in blocks where a leaf is full; in a block an R-tree is probed with boxes
+    that grow until they hold something, so that dense places aren't compared as a whole.
+    """
+    others = cut(points(others, "id", "x", "y"))
+    tree = sampled_tree(others, others.count(), max(2 * distance, 1e-9), sample, leaf)
+    left, right = _placed(points(pts, "id", "x", "y"), tree, 0.0).drop("own"), _placed(others, tree, distance * (1 + 1e-9)).drop("own")
+    full = lambda df, n: df.groupBy("leaf").agg(F.ceil(F.count("*") / block).alias(n))
+    blocks = cut(full(left, "pb").join(full(right, "ob"), "leaf"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("id", "x", "y"), F.col(n))
+    left = lookup_join(left, blocks, ["leaf"], "inner").withColumn("p", part("pb")).withColumn("o", each("ob")).drop("pb", "ob")
+    right = lookup_join(right, blocks, ["leaf"], "inner").withColumn("o", part("ob")).withColumn("p", each("pb")).drop("pb", "ob")
+    kinds = [df.schema["id"].dataType.simpleString() for df in (left, right)]
+
+    def probed(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        ids = b["id"].to_numpy()
+        xs, ys, ox, oy = a["x"].to_numpy(float), a["y"].to_numpy(float), b["x"].to_numpy(float), b["y"].to_numpy(float)
+        best, least = np.full(len(a), -1), np.full(len(a), np.inf)
+        boxes = RTree(ox, oy, ox, oy)
+        side = max(np.ptp(ox), np.ptp(oy)) if len(b) else 0.0
+        # about one other in the first box if they were spread evenly
+        r, todo = min(distance, max(side / max(np.sqrt(len(b)), 1.0), distance / 4096)), np.arange(len(a))
+        while len(todo) and len(b):
+            for k in range(0, len(todo), 4096):
+                own = todo[k : k + 4096]
+                q, i = boxes.probe(xs[own] - r, ys[own] - r, xs[own] + r, ys[own] + r)
+                q = own[q]
+                d = np.hypot(ox[i] - xs[q], oy[i] - ys[q])
+                near = d <= min(r, distance)
+                q, i, d = q[near], i[near], d[near]
+                order = np.lexsort((ids[i], d, q))
+                first = order[np.r_[True, q[order][1:] != q[order][:-1]]] if len(order) else order
+                best[q[first]], least[q[first]] = i[first], d[first]
+            if r >= distance:
+                break
+            todo, r = todo[best[todo] < 0], min(2 * r, distance)
+        found = best >= 0
+        return pd.DataFrame({"id": a["id"].to_numpy()[found], "other": ids[best[found]], "distance": least[found]})
+
+    key = ["leaf", "p", "o"]
+    met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(probed, f"id {kinds[0]}, other {kinds[1]}, distance double")
+    return met.groupBy("id").agg(F.min(F.struct("distance", "other")).alias("m")).select("id", "m.other", "m.distance")
+
+
+def near_pairs(df: DataFrame, key: str, x: str, y: str, distance: float, *, sample: int = SAMPLE, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
+    """``(id_a, id_b)``, smaller first: all pairs of different ids at most ``distance`` apart, each once.
+
+    Rows lacking an id or a finite coordinate are in no pair; repeated rows count once; an id at several
+    positions is near whatever any of them is near; an empty table gives no pair.  Other columns are ignored.
+    """
+    if not distance >= 0:
+        raise ValueError("distance must not be negative")
+    pts = cut(points(df, key, x, y))
+    kind = pts.schema["id"].dataType.simpleString()
+    tree = sampled_tree(pts, pts.count(), max(2 * distance, 1e-9), sample, leaf)
+    reach = distance * (1 + 1e-9)
+
+    rows = _placed(pts, tree, reach)
     # leaves fuller than the sample said are split into blocks; pairs of blocks are tasks of their own
     counts = cut(rows.groupBy("leaf").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block)).drop("n"))
     rows = lookup_join(rows, counts, ["leaf"]).withColumn("b", F.pmod(F.xxhash64("id", "x", "y"), F.col("blocks")))

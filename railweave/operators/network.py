@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from railweave.operators.near import nearest
 from railweave.operators.timetable import period_codes, transit_weights, with_ordinal
 from railweave.scale import cut, lookup_join, numbered
 
@@ -222,16 +223,13 @@ def _searched(usable: DataFrame, origins: DataFrame, kind: str, limit: float | N
 def snap(points: DataFrame, nodes: DataFrame, max_distance: float = 250.0, *, strict: bool = True) -> DataFrame:
     """``(point_id, node_id, distance)``: the nearest node of each point ``(point_id, x, y)``, the smaller id among equals.
 
-    Points and nodes meet in cells as wide as ``max_distance``, so each point sees the nodes of nine cells.
-    Nodes lacking a place are passed over.  ``strict``: raises ``ValueError`` if a point has no node near enough.
+    They meet in the leaves of a quadtree (``near.nearest``).  Nodes lacking a place are passed over.
+    ``strict``: raises ``ValueError`` if a point has no node near enough.
     """
-    cell = lambda c: F.floor(F.col(c) / max_distance).cast("long")
-    usable = nodes.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")).select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny")).withColumn("cx", cell("nx")).withColumn("cy", cell("ny"))
-    around = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread_ = points.select("point_id", "x", "y", F.explode(around).alias("o")).withColumn("cx", cell("x") + F.col("o.i")).withColumn("cy", cell("y") + F.col("o.j"))
-    close = spread_.join(usable, ["cx", "cy"]).withColumn("distance", F.hypot(F.col("nx") - F.col("x"), F.col("ny") - F.col("y"))).where(F.col("distance") <= max_distance)
-    found = close.groupBy("point_id").agg(F.min(F.struct("distance", "node_id")).alias("m")).select("point_id", "m.node_id", "m.distance")
+    found = nearest(points.select(F.col("point_id").alias("id"), "x", "y"), nodes.select(F.col("node_id").alias("id"), "x", "y"), max_distance)
+    found = found.select(F.col("id").alias("point_id"), F.col("other").alias("node_id"), "distance")
     if strict:
+        found = cut(found)
         lost = points.join(found, "point_id", "left_anti").limit(5).collect()
         if lost:
             raise ValueError(f"no node within {max_distance} of {', '.join(str(r['point_id']) for r in lost)}")
