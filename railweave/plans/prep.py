@@ -111,5 +111,29 @@ _VERSIONS_SQL = rf"""
     select file_id, dataset_id, file_before, sum(changed) over (partition by dataset_id order by published_at, file_id rows unbounded preceding)::int as version, fingerprint, n_fields from o"""
 
 
+#: The spellings of units in the driver's table, by unit, and what a unit is in km/h.
+_SPELLINGS = {"km/h": ("km/h", "kph", "kmh", "km / h", "km/hora"), "mph": ("mph", "m.p.h.", "mi/h", "miles per hour"), "knot": ("knots", "kn", "kt"), "m/s": ("m/s", "mps", "m s-1", "metres per second"), "0.1 km/h": ("hm/h", "× 0.1 km/h", "x0.1 km/h", "(0.1 km/h)")}
+_IN_KMH = {"km/h": "1.0", "mph": "1.609344", "knot": "1.852", "m/s": "3.6", "0.1 km/h": "0.1"}
+_NUMBER = r"\d+(?:[.,]\d+)?"
+_SPEEDS_SQL = rf"""
+    with d(sp, unit) as (values {", ".join(f"('{x}', '{u}')" for u, xs in _SPELLINGS.items() for x in xs)}), f(unit, factor) as (values {", ".join(f"('{u}', {v}::double)" for u, v in _IN_KMH.items())}),
+    q as (select edge_row, source, unnest(list_filter(string_split_regex(coalesce(spd_raw, ''), '[;|]'), lambda p: regexp_matches(p, '\d'))) as t from edges),
+    g0 as (select edge_row, source, replace(regexp_extract(t, '{_NUMBER}'), ',', '.')::double as v, trim(regexp_extract(t, '(?s){_NUMBER}(.*)$', 1), ' ') as after,
+           trim(regexp_replace(regexp_extract(t, '(?s)^([^\d]*)\d', 1), '(?i)\b(?:max|min|limit|approx|ca|about|aprox|speed|maxspeed|lim)\b\.?|[~<>=:≈]', ' ', 'g'), ' ') as before from q),
+    g as (select edge_row, source, v, lower(case when after <> '' then after else before end) as sp from g0),
+    n as (select g.*, d.unit from g left join d using (sp)),
+    hb as (select source, arg_max(unit, {{'n': n, 'u': unit}}) as habit from (select source, unit, count(*) as n from n where unit is not null and source is not null group by 1, 2) group by 1),
+    own as (select edge_row, coalesce(habit, 'km/h') as own, case when maxspeed >= 0 and not isnan(maxspeed) then maxspeed end as reading from edges left join hb using (source)),
+    m as (select n.edge_row, n.sp, n.unit, case when n.unit is not null then n.unit when n.sp = '' then own.own end as meant, v from n join own using (edge_row)),
+    x as (select m.*, round(v * factor, 9) as x from m left join f on f.unit = m.meant),
+    b as (select edge_row, max(case when x is not null then {{'x': x, 'u': meant}} end) as best, count(x) as n, max(case when sp <> '' and unit is null then sp end) as unknown_unit, bool_or(unit is not null) as named from x group by 1),
+    r as (select own.edge_row, best, coalesce(n, 0) as n, unknown_unit, case when not coalesce(named, false) and reading is not null then {{'x': round(reading * factor, 9), 'u': own.own}} end as plain from own left join b using (edge_row) join f on f.unit = own.own),
+    t as (select edge_row, case when best is null or (plain is not null and plain.x > best.x) then coalesce(plain, best) else best end as top, (n + (plain is not null)::int)::int as n_given, unknown_unit from r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p6_versions": _VERSIONS_SQL}
+    return {
+        "p6_versions": _VERSIONS_SQL,
+        "p7_speeds": f"{_SPEEDS_SQL} select edge_row, top.u as unit, round(top.x, 3) as kmh, n_given, unknown_unit from t",
+        "p7_found": f"{_SPEEDS_SQL} select edge_row, round(top.x)::bigint as kmh from t where top.u <> 'km/h'",
+    }
