@@ -131,8 +131,47 @@ _SPEEDS_SQL = rf"""
     t as (select edge_row, case when best is null or (plain is not null and plain.x > best.x) then coalesce(plain, best) else best end as top, (n + (plain is not null)::int)::int as n_given, unknown_unit from r)"""
 
 
+_PASSAGE = ("edge_id", "trip_id", "departure_time", "arrival_time", "travel_time_seconds", "service_date")
+
+
+def _clock_sql(name: str) -> str:
+    """The seconds of a clock that can be, in SQL; null for others."""
+    good = f"regexp_full_match(trim({name}), '\\s*\\d{{1,2}}\\s*:\\s*[0-5]?\\d\\s*:\\s*[0-5]?\\d\\s*') and regexp_extract({name}, '\\d+')::int <= 47"
+    part = lambda i: f"trim(split_part(trim({name}), ':', {i}))::int"
+    return f"case when {good} then {part(1)} * 3600 + {part(2)} * 60 + {part(3)} end"
+
+
+_REASONS_SQL = f"""
+    with c as (select {", ".join(_PASSAGE)}, min(sched_row) as id, list(sched_row) as ids from schedule group by {", ".join(_PASSAGE)}),
+    k as (select id, ids, edge_id, {_clock_sql('departure_time')} as dep, {_clock_sql('arrival_time')} as arr, coalesce(trim(departure_time), '') <> '' as gd, coalesce(trim(arrival_time), '') <> '' as ga, case when not isnan(travel_time_seconds) then travel_time_seconds end as reading, service_date from c),
+    r as (select id, ids, edge_id, reading, (arr - dep)::double as took, (gd and dep is null) or (ga and arr is null) as no_such_clock, datediff('day', date '2000-01-01', service_date) * 86400.0 + coalesce(dep, arr - greatest(coalesce(reading, 0), 0)) as at_ from k),
+    l as (select *, case when reading > 0 then ln(reading) end as lg, case when took > 0 then ln(took) end as lt from r),
+    s as (select edge_id, quantile_disc(lg, 0.5) as level, (quantile_disc(lg, 0.75) - quantile_disc(lg, 0.25)) / 2 as scatter from l where edge_id is not null group by 1),
+    t as (select l.*, level, scatter from l join s using (edge_id)),
+    w1 as (select *, median(lg) over (partition by edge_id order by at_, id rows between 15 preceding and 15 following) as middle from t where at_ is not null),
+    w2 as (select *, median(abs(lg - middle)) over (partition by edge_id order by at_, id rows between 15 preceding and 15 following) as rolled from w1),
+    w3 as (select *, greatest(3.5 * 1.4826 * greatest(rolled, scatter), ln(1.8)) as width, coalesce(middle, level) as m from w2),
+    w4 as (select *, coalesce(abs(lg - m) > width, false) as far, coalesce(abs(lt - m) > width, false) as tfar from w3),
+    v as (select *, case when not (tfar and not far) then coalesce(reading, took) end as value from w4),
+    i as (select *, sum((value <> b)::int) over (partition by edge_id order by at_, id) as island from (select *, lag(value) over (partition by edge_id order by at_, id) as b from v where value is not null)),
+    z as (select id from (select id, scatter, count(*) over (partition by edge_id, coalesce(island, 0)) as size from i) where size >= 8 and scatter > 0.004),
+    u as (select id, coalesce(abs(lg - level) > greatest(3.5 * 1.4826 * scatter, ln(1.8)), false) as far, coalesce(abs(lt - level) > greatest(3.5 * 1.4826 * scatter, ln(1.8)), false) as tfar from t where at_ is null),
+    j as (select id, far, tfar from w4 union all select * from u),
+    o as (select r.ids, concat_ws('|', case when no_such_clock then 'no_such_clock' end, case when reading <= 0 or took <= 0 then 'no_duration' end, case when far then 'spike' end, case when tfar then 'clock_spike' end, case when z.id is not null then 'stuck' end) as reasons from r left join j using (id) left join z using (id))"""
+
+_NEAR_SQL = f"""
+    with p as (select distinct node_id, x, y from nodes where node_id is not null and x is not null and y is not null and not isnan(x) and not isnan(y)),
+    seg as (select part_no, unnest(list_transform(range(1, len(ring)), lambda i: {{'a': ring[i].x, 'b': ring[i].y, 'c': ring[i + 1].x, 'd': ring[i + 1].y}})) as s from area_parts),
+    q as (select distinct node_id, x, y from nodes where in_area is null and node_id is not null and x is not null and y is not null and not isnan(x) and not isnan(y))
+    select distinct 'near' as kind, a.node_id as id_a, b.node_id as id_b from p a join p b on a.node_id < b.node_id and abs(a.x - b.x) <= {NEAR_METRES} and abs(a.y - b.y) <= {NEAR_METRES} where sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= {NEAR_METRES}
+    union all select distinct 'inside', part_no, node_id from (select node_id, x, y, part_no from q, seg where (s.b > y) <> (s.d > y) and x < (s.c - s.a) * (y - s.b) / (s.d - s.b) + s.a group by all having count(*) % 2 = 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": f"{_REASONS_SQL} select unnest(ids) as sched_row from o where reasons <> ''",
+        "p3_reasons": f"{_REASONS_SQL} select unnest(ids) as sched_row, reasons from o where reasons <> ''",
+        "p4_found": _NEAR_SQL,
         "p6_versions": _VERSIONS_SQL,
         "p7_speeds": f"{_SPEEDS_SQL} select edge_row, top.u as unit, round(top.x, 3) as kmh, n_given, unknown_unit from t",
         "p7_found": f"{_SPEEDS_SQL} select edge_row, round(top.x)::bigint as kmh from t where top.u <> 'km/h'",
