@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from railweave.operators.drift import chained_names, migration_rules, migration_steps, one_table, versions
 from railweave.operators.near import near_pairs, regions_holding
-from railweave.operators.packed import split_packed
+from railweave.operators.packed import PLACEHOLDERS, split_packed
 from railweave.operators.spikes import wrong_passages
 from railweave.operators.units import common_units
 from railweave.tables import table
@@ -167,8 +167,26 @@ _NEAR_SQL = f"""
     union all select distinct 'inside', part_no, node_id from (select node_id, x, y, part_no from q, seg where (s.b > y) <> (s.d > y) and x < (s.c - s.a) * (y - s.b) / (s.d - s.b) + s.a group by all having count(*) % 2 = 1)"""
 
 
+_BLANKS = r"[\s\x{00A0}\x{200B}\x{FEFF}]"
+_QUOTED = r"""\x22(?:[^\x22]|\x22\x22)*\x22|\x27[^\x27]*\x27"""
+_TOKENS = rf"{_QUOTED}|(?i:n/a)|[^;,|/+\t\n\r\x22\x27]+|[\x22\x27]"
+
+
+def _values_sql(least: int) -> str:
+    """The values of packed fields, in SQL: quoted or bare tokens, a list opened by taking its brackets off."""
+    strip = lambda t: f"regexp_replace({t}, '^{_BLANKS}+|{_BLANKS}+$', '', 'g')"
+    words = ", ".join(f"'{w}'" for w in PLACEHOLDERS)
+    return rf"""
+        with f as (select edge_row, field_name, {strip("v")} as v from (unpivot (select edge_row, highway, hwy_raw, lanes from edges) on highway, hwy_raw, lanes into name field_name value v)),
+        o as (select edge_row, field_name, case when regexp_full_match(v, '(?s)[\[{{(<].*[\]}})>]') then v[2:-2] else v end as v from f),
+        t as (select edge_row, field_name, list_transform(regexp_extract_all(v, '{_TOKENS}'), lambda x: {strip("x")}) as ts from o),
+        i as (select edge_row, field_name, list_filter(list_transform(ts, lambda x: case when regexp_full_match(x, '(?s){_QUOTED}') then {strip("x[2:-2]")} else x end), lambda x: x <> '' and not list_contains([{words}], lower(x)) and not regexp_full_match(x, '[\x22\x27]')) as items from t)
+        select edge_row, field_name, unnest(generate_series(1, len(items)))::int as pos, unnest(items) as item from i where len(items) >= {least}"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": _values_sql(2),
         "p3_found": f"{_REASONS_SQL} select unnest(ids) as sched_row from o where reasons <> ''",
         "p3_reasons": f"{_REASONS_SQL} select unnest(ids) as sched_row, reasons from o where reasons <> ''",
         "p4_found": _NEAR_SQL,
