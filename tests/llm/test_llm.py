@@ -46,6 +46,15 @@ def test_provinces_and_codes_decide(spark, places):
         names.match_names(df, "area_no", "area_name", places, max_entries=3)
 
 
+def test_words_of_another_language_are_a_parameter(spark):
+    german = names.Words({"st": "sankt", "bad": "bad"}, ("der", "die"), ("an", "der"), ("stadt", "gemeinde", "umgebung"), ("kreis",), ("kreis", "bezirk"))
+    listed = spark.createDataFrame([("Sankt Ulmen", "49010100001", "Gemeinde"), ("Die Aue", "49010100002", "Gemeinde"), ("Ulmen", "49010000000", "Kreis")], "nameunit string, natcode string, natlevname string")
+    typed = {"Stadt St. Ulmen": "49010100001", "Aue, die": "49010100002", "sankt ulemn": "49010100001", "Kreis Ulmen": "", "Ayuntamiento de Aue": ""}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(typed)], "area_no long, area_name string")
+    found = {r["area_no"]: r["code"] for r in names.match_names(df, "area_no", "area_name", listed, target="Gemeinde", of=german).collect()}
+    assert [found[i] for i in range(len(typed))] == list(typed.values())
+
+
 def test_longest_mention_wins():
     g = names.Gazetteer([("Ab", "34010101001", "Municipio"), ("Ab Cd", "34010101002", "Municipio"), ("Cd Ef", "34010101003", "Municipio")])
     assert g.mentions("ab cd ef".split()) == [(0, 2, "ab cd")]
@@ -132,6 +141,7 @@ def test_mixing_meets_shares_and_caps(spark):
     drawn = draws.collect()
     assert all(r["copies"] >= 1 for r in drawn) and not any(r["doc_id"] == 2002 for r in drawn)
     assert report["b"]["n_docs"] == 231  # those without a source are recognised
+    assert all(0 <= r["fit_miss"] < 1e-3 and 0 <= r["label_share"] <= 1 for r in report.values()) and abs(sum(r["expected_share"] for r in report.values()) - 1) < 1e-5
     total = sum(r["tokens"] * r["copies"] for r in drawn if r["source"] == "c")
     assert total == report["c"]["drawn_tokens"]
     _, small = mixing.mix(df, "doc_id", "text", "source", goals, total_tokens=1000.0, vocabulary=VOCABULARY)
@@ -205,6 +215,22 @@ def test_one_text_in_very_many_records_and_long_texts(spark):
     assert {r["doc_id"]: r["shared_chars"] for r in spans.shared_share(pair, "doc_id", "text").collect()} == {1: len(long) - 1, 2: 200, 3: len(long) - 1}
 
 
+def test_words_are_hashed_alike_and_rates_meet_targets():
+    one, two = mixing.WordBuckets(64), mixing.WordBuckets(64)
+    two.of(["other words first"])
+    a, b = one.of(["The (sea), the SEA!", "", "sea"]), two.of(["The (sea), the SEA!", "", "sea"])
+    assert (a[0] == b[0]).all() and list(a[1]) == [4, 0, 1] and a[0][1] == a[0][3] == a[0][4]
+    p = mixing.posteriors(*a, np.log(np.array([0.5, 0.5])), np.zeros((2, 64)))
+    assert np.allclose(p, 0.5)
+    rng = np.random.default_rng(1)
+    tokens, label = rng.uniform(10, 100, 40), np.arange(40) % 4
+    soft = rng.dirichlet(np.ones(4), 40) * 0.3 + np.eye(4)[label] * 0.7
+    by, caps = tokens[:, None] * soft, np.array([3.0, 2.0, 4.0, 5.0])
+    want = rng.uniform(0.2, 1.2, 40) @ by
+    rates, miss = mixing.fit_rates(label, tokens, by, want, caps, np.full(4, 0.5))
+    assert miss <= 1e-4 and np.allclose(rates @ by, want, rtol=1e-3) and (rates >= 0).all() and (rates <= caps[label]).all()
+
+
 def test_empty_corpus_and_bad_sizes(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert spans.sharing_pairs(df, "doc_id", "text").count() == 0 and spans.shared_share(df, "doc_id", "text").count() == 0
