@@ -76,10 +76,11 @@ def lookup_join(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "
     on = list(on)
     if is_small(small, max_rows, max_bytes) if n_rows is None else n_rows <= max_rows:
         return df.join(F.broadcast(small), on, how)
-    counts = cut(df.groupBy(*on).agg(F.count("*").alias("_c")))
-    total = counts.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
+    total = df.count()
     known = ~reduce(or_, [F.col(c).isNull() for c in on])
-    hot = cut(counts.where(known & (F.col("_c") * HOT_SHARE > total)).select(*on, F.ceil(F.col("_c") * HOT_SHARE / F.lit(total)).alias("_copies")))
+    counts = df.where(known).groupBy(*on).agg(F.count("*").alias("_c"))
+    # only the hot keys are kept, not the counts of all
+    hot = cut(counts.where(F.col("_c") * HOT_SHARE > total).select(*on, F.ceil(F.col("_c") * HOT_SHARE / F.lit(max(total, 1))).alias("_copies")))
     copies = F.coalesce("_copies", F.lit(1).cast("long"))
     # at most HOT_SHARE keys are hot, which bounds both broadcasts
     spread_ = df.where(known).withColumn("_row", F.monotonically_increasing_id()).join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64("_row"), copies)).drop("_row", "_copies")
