@@ -515,14 +515,21 @@ def node_roles(spark, d):
     return streets.role_counts(streets.topology_nodes(_shapes(spark, d)))
 
 
+def _made(x: str, y: str) -> str:
+    """The name of a node that is made from its place, in SQL."""
+    part = lambda c: f"round_even(round_even({c}, 3) * 1000, 0)::bigint"
+    return f"'street_topology_node_' || {part(x)} || '_' || {part(y)}"
+
+
 @query(f"""with {_LINES}, h as (select edge_row, length, (x1 + x2) / 2 + 7.0002 as mx, (y1 + y2) / 2 + 0.0002 as my, x1, y1, x2, y2 from ln),
     q as (select *, sqrt((mx - x1) ** 2 + (my - y1) ** 2) as a, sqrt((x2 - mx) ** 2 + (y2 - my) ** 2) as b from h)
-    select edge_row as edge, 1::bigint as part, round(length * a / (a + b), 6) as length from q union all select edge_row, 2, round(length * b / (a + b), 6) from q""")
+    select edge_row as edge, 1::bigint as part, {_made('x1', 'y1')} as from_node, {_made('mx', 'my')} as to_node, round(length * a / (a + b), 6) as length from q
+    union all select edge_row, 2, {_made('mx', 'my')}, {_made('x2', 'y2')}, round(length * b / (a + b), 6) from q""")
 def split_edges(spark, d):
     """Lines cut at every vertex that is a node, with their share of the length."""
     shapes = cut(_shapes(spark, d))
     nodes = streets.name_nodes(streets.topology_nodes(shapes), "street")
-    return streets.split_edges(shapes, nodes).select("edge", "part", F.round("length", 6).alias("length"))
+    return streets.split_edges(shapes, nodes).select("edge", "part", "from_node", "to_node", F.round("length", 6).alias("length"))
 
 
 _PARTS = "list_filter(list_transform(string_split(coalesce(hwy_raw, ''), ';'), lambda t: trim(t, ' ')), lambda t: t <> '')"
