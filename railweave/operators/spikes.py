@@ -196,9 +196,9 @@ def wrong_passages(df: DataFrame, *, last_hour: int = 47, **limits) -> DataFrame
         "no_duration": F.coalesce((reading <= 0) | (took <= 0), F.lit(False)),
     }
     every = df.select("sched_row", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), F.reverse(text)).alias("h2"), *[v.alias(k) for k, v in told.items()])
-    rows = every.groupBy("h1", "h2", *told).agg(F.min("sched_row").alias("id")).withColumn("tie", F.col("h1"))
+    rows = every.groupBy("h1", "h2", *told).agg(F.min("sched_row").alias("id"))
     rows = cut(rows)
-    judged = judge_readings(rows.select("id", "source", "at", "reading", "second", "tie"), **limits)
+    judged = judge_readings(rows.select("id", "source", "at", "reading", "second", F.col("h1").alias("tie")), **limits)
     impossible = rows.where(F.col("no_such_clock") | F.col("no_duration")).select("id", F.lit(False).alias("spike"), F.lit(False).alias("second_spike"), F.lit(False).alias("stuck"), "no_such_clock", "no_duration")
     flags = ["no_such_clock", "no_duration", "spike", "second_spike", "stuck"]
     all_found = judged.withColumn("no_such_clock", F.lit(False)).withColumn("no_duration", F.lit(False)).select("id", *flags).unionByName(impossible.select("id", *flags))
