@@ -83,7 +83,9 @@ def lookup_join(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "
     hot = cut(counts.where(F.col("_c") * HOT_SHARE > total).select(*on, F.ceil(F.col("_c") * HOT_SHARE / F.lit(max(total, 1))).alias("_copies")))
     copies = F.coalesce("_copies", F.lit(1).cast("long"))
     # at most HOT_SHARE keys are hot, which bounds both broadcasts
-    spread_ = df.where(known).withColumn("_row", F.monotonically_increasing_id()).join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64("_row"), copies)).drop("_row", "_copies")
+    # a row's copy is told by what it holds, so that a task that runs again after a loss makes the same choice
+    told = [c for c, t in df.dtypes if c not in on and "map<" not in t] or on
+    spread_ = df.where(known).join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(*told), copies)).drop("_copies")
     copied = small.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("_copies")
     joined = spread_.join(copied, [*on, "_salt"], how).drop("_salt")
     if how in ("inner", "left_semi"):
