@@ -69,7 +69,8 @@ def lookup_join(df: DataFrame, small: DataFrame, on: Sequence[str], how: str = "
 
     If ``small`` is small by rows and bytes (measured, or ``n_rows`` narrow ones as given) it is broadcast and
     ``df`` isn't shuffled.  Beyond, the rows of each key of ``df`` are counted; a hot key's are spread over as
-    many copies of its row of ``small`` as it has thousandths of all rows, so that no task gets more than that.
+    many copies of its row of ``small`` as it has thousandths of all rows, so that no task gets much more than
+    that (rows that are the same in every column stay together).
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"how must be left, inner, left_semi or left_anti, not {how!r}")
