@@ -122,7 +122,7 @@ def row_offsets(network: Network) -> DataFrame:
 
 
 def csr(network: Network, weight: str | None = None) -> tuple:
-    """``(indptr, indices, data)`` as NumPy arrays on the driver, for files and small networks."""
+    """``(indptr, indices, data)`` as NumPy arrays on the driver, for small networks."""
     weight = network.weight(weight)
     table = network.edges.select("row", "col", weight).orderBy("row", "col").toPandas()
     counts = np.bincount(table["row"].to_numpy(int), minlength=network.n_nodes()) if len(table) else np.zeros(network.n_nodes(), int)

@@ -844,7 +844,9 @@ def street_edge_layer(spark, d):
 def matrix_file(spark, d):
     """A matrix written to a file in compressed sparse row form and read again: the same entries."""
     path = Path(checkpoint_dir(spark).removeprefix("file://")) / f"matrix-{uuid.uuid4().hex}.npz"
-    return network.matrix_edges(read_matrix(spark, write_matrix(_network(spark, d), path)))
+    made = read_matrix(spark, write_matrix(_network(spark, d), path))
+    path.unlink()
+    return network.matrix_edges(made)
 
 
 @query(f"""with {_NODES}, a as (select * from nd where node_id % 100 = 0 and x is not null), b as (select * from nd where x is not null),

@@ -48,6 +48,12 @@ def put_shared(spark: SparkSession, local: str, *place: str) -> str:
     return target.toString()
 
 
+def drop_shared(spark: SparkSession, address: str) -> None:
+    """Removes a copy that ``put_shared`` made."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(address)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder and read from there: its lineage ends here.
 

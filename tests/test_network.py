@@ -2,6 +2,7 @@
 
 import heapq
 import itertools
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from railweave import api
 from railweave.functions.polygons import ring_area, union
 from railweave.operators import areas
 from railweave.operators import network as net
+from railweave.sources import streets
 from railweave.sources.streets import load_network, read_matrix, write_matrix
 
 
@@ -192,6 +194,46 @@ def test_files(spark, tmp_path):
             read_matrix(spark, tmp_path / "bad.npz")
 
 
+def checksum(network):
+    ids = network.nodes.select("row", "node_id", "x", "y", "in_area")
+    told = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("*").cast("decimal(38,0)"))).first())
+    return told(ids), told(network.edges.select("row", "col", *network.weights))
+
+
+def test_large_files_pass_the_driver_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streets, "PART_BYTES", 1 << 20, raising=False)
+    n = 150_000
+    nodes = spark.range(n).select(F.col("id").alias("row"), (F.col("id") * 7 + 3).alias("node_id"), F.rand(1).alias("x"), F.rand(2).alias("y"), (F.col("id") % 3 == 0).alias("in_area")).localCheckpoint()
+    # one row has more entries than are read at once, some have two, most have none
+    pairs = spark.range(80_000).select(F.floor(F.col("id") / 2).alias("row"), (F.col("id") % 2).alias("col")).unionByName(spark.range(2, n).select(F.lit(777).cast("long").alias("row"), F.col("id").alias("col")))
+    edges = pairs.select("row", "col", F.when(F.col("col") % 11 == 5, F.lit(np.inf)).otherwise(F.xxhash64("row", "col") / 1e9).alias("tts"), F.hash("col", "row").cast("double").alias("length"))
+    made = net.Network(nodes.repartition(3), edges.repartition(5, "col").localCheckpoint(), ("tts", "length"), {"default_weight": "length", "layer": "bike"})
+    tracemalloc.start()
+    again = read_matrix(spark, write_matrix(made, tmp_path / "matrix.npz"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24e6
+    assert checksum(again) == checksum(made) and again.weights == made.weights and again.default_weight == "length"
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["matrix.npz"]
+    with np.load(tmp_path / "matrix.npz") as data:
+        indptr, indices, lengths = net.csr(made, "length")
+        assert (data["indptr"] == indptr).all() and (data["indices"] == indices).all() and (data["data"] == lengths).all() and (data["w_length"] == lengths).all()
+        assert data["indptr"].dtype == data["indices"].dtype == np.int32 and data["shape"].tolist() == [n, n] and str(data["format"]) == "csr"
+        assert (data["node_id"] == np.arange(n) * 7 + 3).all() and set(data["node_layer"]) == {"bike"} and (data["node_in_area"] == (np.arange(n) % 3 == 0)).all()
+
+
+@pytest.mark.parametrize("ids", [["a", "Ñandú 木", "b"], []])
+def test_files_of_text_ids(spark, tmp_path, ids):
+    nodes = spark.createDataFrame([(i, v, None if i else 1.5, 2.0, True, f"layer{i}") for i, v in enumerate(ids)], "row long, node_id string, x double, y double, in_area boolean, layer string")
+    edges = spark.createDataFrame([(2, 0, 4.0), (0, 1, np.inf)][: len(ids)], "row long, col long, w double")
+    again = read_matrix(spark, write_matrix(net.Network(nodes, edges, ("w",)), tmp_path / "matrix.npz"))
+    assert {(r["src"], r["dst"], r["w"]) for r in net.matrix_edges(again).collect()} == ({("b", "a", 4.0), ("a", "Ñandú 木", np.inf)} if ids else set())
+    assert [(r["node_id"], r["layer"]) for r in again.nodes.orderBy("row").collect()] == [(v, f"layer{i}") for i, v in enumerate(ids)]
+    if ids:
+        with pytest.raises(ValueError):
+            write_matrix(net.Network(nodes.withColumn("node_id", F.nullif("node_id", F.lit("b"))), edges, ("w",)), tmp_path / "lost.npz")
+
+
 def test_components(spark):
     _, edges = town(9, n=60, m=45)
     root = {}
